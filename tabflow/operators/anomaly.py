@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,8 +220,6 @@ def _margin(df: DataFrame, vector: str, lift: RandomFourier, weights: np.ndarray
             return pd.Series([], dtype=float)
         return pd.Series(np.stack(s.to_numpy()) @ weights)
 
-    from pyspark.ml.functions import vector_to_array
-
     return lifted.withColumn("margin", dot(vector_to_array("__phi"))).drop("__phi")
 
 
@@ -235,36 +234,33 @@ def one_class_boundary(df: DataFrame, vector: str, nu: float = 0.2, gamma: float
     lift = RandomFourier(1.0 / dims if gamma == "auto" else float(gamma), dims, size, seed)
     rows = df.select(F.col(vector).alias("v"))
     n = rows.count()
-
-    rng_like = RandomFourier(lift.gamma, dims, size, seed)
-
-    def feature_sum(part: DataFrame) -> np.ndarray:
-        from pyspark.ml.functions import vector_to_array
-
-        lifted = rng_like.transform(part, "v", "__phi").select(vector_to_array("__phi").alias("phi"))
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for b in batches:
-                if len(b):
-                    s = np.stack(b["phi"].to_numpy()).sum(axis=0)
-                    total = s if total is None else total + s
-            if total is not None:
-                yield pd.DataFrame({"pos": np.arange(len(total)), "s": total})
-
-        sums = lifted.mapInPandas(add, "pos int, s double").groupBy("pos").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(size)
-        for r in sums:
-            out[r["pos"]] = r["s"]
-        return out
-
-    rank = max(0, math.ceil(nu * n) - 1)
-    weights = feature_sum(rows) / n
-    offset = kth_smallest(_margin(rows, "v", lift, weights), "margin", rank)
+    weights = _feature_sum(rows, lift) / n
     for step in range(1, steps + 1):
-        below = _margin(rows, "v", lift, weights).filter(F.col("margin") < F.lit(offset)).select("v")
+        scored = _margin(rows, "v", lift, weights)
+        # A step needs the offset only roughly; the last one below is exact.
+        offset = scored.agg(F.percentile_approx("margin", nu, 10_000)).first()[0]
+        below = scored.filter(F.col("margin") < F.lit(offset)).select("v")
         rate = 1.0 / (step + 1)
         # Minimise |w|^2 / 2 - offset + sum(max(0, offset - w.phi)) / (nu n) in w.
-        weights = (1 - rate) * weights + rate * feature_sum(below) / (nu * n)
-        offset = kth_smallest(_margin(rows, "v", lift, weights), "margin", rank)
-    return OneClass(lift, weights, float(offset))
+        weights = (1 - rate) * weights + rate * _feature_sum(below, lift) / (nu * n)
+    rank = max(0, math.ceil(nu * n) - 1)
+    return OneClass(lift, weights, float(kth_smallest(_margin(rows, "v", lift, weights), "margin", rank)))
+
+
+def _feature_sum(rows: DataFrame, lift: RandomFourier) -> np.ndarray:
+    """Sum of the lifted rows; each task sends one number per feature."""
+    lifted = lift.transform(rows, "v", "__phi").select(vector_to_array("__phi").alias("phi"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                s = np.stack(b["phi"].to_numpy()).sum(axis=0)
+                total = s if total is None else total + s
+        if total is not None:
+            yield pd.DataFrame({"pos": np.arange(len(total)), "s": total})
+
+    out = np.zeros(lift.size)
+    for r in lifted.mapInPandas(add, "pos int, s double").groupBy("pos").agg(F.sum("s").alias("s")).collect():
+        out[r["pos"]] = r["s"]
+    return out

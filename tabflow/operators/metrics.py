@@ -82,11 +82,13 @@ def threshold_sweep(df: DataFrame, true: str, p: str, steps: int = 1000) -> Data
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, labels: Sequence) -> DataFrame:
     """``(y_true, y_pred, n)`` for every pair of the given labels, zeros included."""
-    counts = df.groupBy(F.col(true).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+    labels = list(labels)
+    named = df.filter(F.col(true).isin(labels) & F.col(pred).isin(labels))
+    counts = named.groupBy(F.col(true).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
     kind = df.schema[true].dataType.simpleString()
     grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], f"y_true {kind}, y_pred {kind}")
-    # The grid is the small side: one row per label pair.
-    return F.broadcast(grid).join(counts, ["y_true", "y_pred"], "left").na.fill(0, ["n"])
+    # No more counts than label pairs.
+    return grid.join(F.broadcast(counts), ["y_true", "y_pred"], "left").na.fill(0, ["n"])
 
 
 def f1_multiclass(df: DataFrame, true: str, pred: str, average: str) -> DataFrame:

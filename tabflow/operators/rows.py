@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tabflow.functions.hashing import key_bits
 from tabflow.operators.quantiles import kth_smallest
+from tabflow.session import attach
 
 RANGE_ROWS = 250_000
 MAX_RANGES = 16_384
@@ -85,20 +86,16 @@ def _earlier(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = left[_RANGE] == right[_RANGE]
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _add_offsets(rows: DataFrame, offsets: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Add what lies before each range. The rows are already laid out by the join keys."""
     if not keys:
         # One row per range, at most MAX_RANGES.
         offsets = F.broadcast(offsets)
-    kept = [rows[c] for c in rows.columns if c not in values and c != _RANGE]
-    sums = [(rows[v] + F.coalesce(offsets[f"{v}__before"], F.lit(0))).alias(v) for v in values]
-    return rows.join(offsets, _same_keys(rows, offsets, keys), "left").select(*kept, *sums)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    sums = {v: F.when(known, F.col(v) + F.coalesce(f"{v}__before", F.lit(0))) for v in values}
+    return rows.join(offsets, [*keys, _RANGE], "left").withColumns(sums).select(*[c for c in rows.columns if c != _RANGE])
 
 
 def row_index(
@@ -109,11 +106,16 @@ def row_index(
     start: int = 0,
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Number the rows in order, optionally inside each series, from ``start``."""
+    """Number the rows in order, optionally inside each series, from ``start``.
+
+    A row whose series key is NULL belongs to no series and gets NULL.
+    """
     cut, ranges = with_ranges(df, order_by[0], range_rows)
     within = Window.partitionBy(*partition_by, *([_RANGE] if ranges > 1 else [])).orderBy(*order_by)
     numbered = cut.withColumn(name, F.row_number().over(within).cast("long") + F.lit(start - 1))
     if ranges == 1:
+        for k in partition_by:
+            numbered = numbered.withColumn(name, F.when(F.col(k).isNotNull(), F.col(name)))
         return numbered.drop(_RANGE)
     totals = cut.groupBy(*partition_by, _RANGE).agg(F.count(F.lit(1)).alias("__n"))
     offsets = totals.withColumn(f"{name}__before", F.sum("__n").over(_earlier(partition_by))).drop("__n")
@@ -145,7 +147,7 @@ def min_rank(df: DataFrame, by: str, name: str = "rank", range_rows: int = RANGE
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(by))
     running = prefix_sums(sizes, ["__down"], {"__upto": F.col("__n")}, range_rows=range_rows)
     ranks = running.select(by, (F.col("__upto") - F.col("__n") + 1).alias(name))
-    return df.join(ranks, by)
+    return df.join(ranks, by, "left")
 
 
 def head_tail(df: DataFrame, order_by: Sequence[str], last: int, **kw) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +172,7 @@ def tumbling(
     placed = row_index(df, order_by, _POS, partition_by, **kw)
     if partition_by:
         lengths = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n"))
-        placed = placed.join(lengths, list(partition_by))
+        placed = attach(placed, lengths, list(partition_by))
         full = F.floor(F.col("__n") / F.lit(size)) * size
     else:
         full = F.lit(df.count() // size * size)
@@ -225,5 +227,6 @@ def split_stratified(
     mixed = df.withColumn("__h", key_bits(key, seed))
     placed = row_index(mixed, ["__h", key], _POS, [label], **kw)
     sizes = df.groupBy(label).agg(F.ceil(F.round(F.count(F.lit(1)) * F.lit(share), 9)).alias("__m"))
-    marked = placed.join(sizes, label).withColumn(name, (F.col(_POS) < F.col("__m")).cast("int"))
+    is_test = F.coalesce((F.col(_POS) < F.col("__m")).cast("int"), F.lit(0))
+    marked = attach(placed, sizes, [label]).withColumn(name, is_test)
     return marked.select(*df.columns, name)

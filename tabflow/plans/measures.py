@@ -9,6 +9,7 @@ from tabflow.functions.arrays import mean_square_gap
 from tabflow.operators import clean, metrics, models, neighbors, rows, series, stats, tune
 from tabflow.operators.anomaly import fit_gaussian
 from tabflow.plans.registry import R, Tables, query, r, rounded
+from tabflow.session import attach
 
 BANDS = ["click", "error", "purchase", "signup", "view"]
 _STAT_SQL = {
@@ -261,7 +262,7 @@ def row_mse(t: Tables) -> DataFrame:
     cells = t.image.select("label", F.posexplode("pixels").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("m"))
     # One array entry per vector position.
     means = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))
-    return rounded(t.image.join(means, "label").select("image_id", mean_square_gap(F.col("pixels"), F.col("mean")).alias("mse")))
+    return rounded(attach(t.image, means, ["label"]).select("image_id", mean_square_gap(F.col("pixels"), F.col("mean")).alias("mse")))
 
 
 _THETA = [0.1, -0.2, 0.3, 0.05]
