@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabflow.session import LOOKUP_ROWS
+
 SMALL = 1_000_000
 # Distinct values that may come to the driver at the end of a narrowing search.
 FINAL = 20_000
@@ -81,22 +83,23 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = sizes.filter(F.col("__n") > F.lit(hot_rows))
     median = F.percentile(value, 0.5).alias(name)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return rows.groupBy(*keys).agg(median)
     hot_keys = hot.select(*keys)
-    if n_hot <= 100_000:
-        hot_keys = F.broadcast(hot_keys)
+    found = hot_keys.limit(LOOKUP_ROWS + 1).collect()
+    if not found:
+        return rows.groupBy(*keys).agg(median)
+    few = len(found) <= LOOKUP_ROWS
+    if few:
+        hot_keys = F.broadcast(df.sparkSession.createDataFrame(found, hot_keys.schema))
     cold = rows.join(hot_keys, keys, "left_anti").groupBy(*keys).agg(median)
-    return cold.unionByName(_bracket_median(rows.join(hot_keys, keys, "left_semi"), keys, value, name, n_hot))
+    return cold.unionByName(_bracket_median(rows.join(hot_keys, keys, "left_semi"), keys, value, name, few))
 
 
-def _bracket_median(rows: DataFrame, keys: list[str], value: str, name: str, n_groups: int) -> DataFrame:
+def _bracket_median(rows: DataFrame, keys: list[str], value: str, name: str, few: bool) -> DataFrame:
     slack = 4 / _SKETCH
     sketch = F.percentile_approx(value, [0.5 - slack, 0.5 + slack], _SKETCH)
     brackets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__b"))
     brackets = brackets.select(*keys, "__n", F.col("__b")[0].alias("__low"), F.col("__b")[1].alias("__high"))
-    if n_groups <= 100_000:
+    if few:
         brackets = F.broadcast(brackets)
     placed = rows.join(brackets, keys)
     v = F.col(value)

@@ -55,9 +55,13 @@ def with_ranges(df: DataFrame, name: str, range_rows: int = RANGE_ROWS) -> tuple
     else:
         step = len(borders) / wanted
         borders = [borders[int(i * step)] for i in range(1, wanted)]
-    splits = [-math.inf, *sorted(set(borders)), math.inf]
+    splits = [-math.inf, *sorted({b for b in borders if math.isfinite(b)}), math.inf]
+    if len(splits) < 3:
+        return df.withColumn(_RANGE, F.lit(0)), 1
     cut = Bucketizer(splits=splits, inputCol="__number", outputCol="__cut")
-    out = cut.transform(df.withColumn("__number", number))
+    # NULL sorts first and NaN last, in the ranges as in the order itself.
+    placed = F.when(F.isnan(number), F.lit(math.inf)).otherwise(F.coalesce(number, F.lit(-math.inf)))
+    out = cut.transform(df.withColumn("__number", placed))
     return out.withColumn(_RANGE, F.col("__cut").cast("int")).drop("__number", "__cut"), len(splits) - 1
 
 
@@ -144,7 +148,7 @@ def prefix_sums(
 
 def min_rank(df: DataFrame, by: str, name: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rank by falling value where ties share the smallest rank."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(by))
+    sizes = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(by))
     running = prefix_sums(sizes, ["__down"], {"__upto": F.col("__n")}, range_rows=range_rows)
     ranks = running.select(by, (F.col("__upto") - F.col("__n") + 1).alias(name))
     return df.join(ranks, by, "left")

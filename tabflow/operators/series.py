@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabflow.functions.maths import ratio_squared
 from tabflow.operators.quantiles import SMALL, group_median
 from tabflow.operators.rows import _RANGE, RANGE_ROWS, row_index, with_ranges
+from tabflow.session import cut_lineage
 
 # Prefixes of the five per-band statistics, in column order.
 STATS = ["mn", "md", "mx", "mi", "st"]
@@ -170,7 +171,8 @@ def pair_lag_kernel(
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumn("__o", F.coalesce(F.sum("__gout").over(before), F.lit(0.0))).withColumn("__i", F.sum("__gin").over(upto))
 
-    totals = cut.groupBy(*parts).agg(F.sum("__gin").alias("__tin"), F.sum("__gout").alias("__tout"))
+    # One row per series, range and block; both carries below start from the written rows.
+    totals = cut_lineage(cut.groupBy(*parts).agg(F.sum("__gin").alias("__tin"), F.sum("__gout").alias("__tout")))
     same = Window.partitionBy(series, "__block").orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *parts,
