@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BITS = 52
+HASH_RANGE = 2**_BITS
 
 
 def key_md5(key: str, seed: int | str) -> Column:
@@ -26,7 +27,7 @@ def key_bits(key: str, seed: int | str) -> Column:
 
 def uniform(key: str, seed: int | str) -> Column:
     """Uniform draw in the open interval (0, 1)."""
-    return (key_bits(key, seed).cast("double") + F.lit(0.5)) / F.lit(float(2**_BITS))
+    return (key_bits(key, seed).cast("double") + F.lit(0.5)) / F.lit(float(HASH_RANGE))
 
 
 def normal(key: str, seed: int | str) -> Column:

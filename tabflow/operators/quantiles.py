@@ -16,59 +16,118 @@ from pyspark.sql import functions as F
 
 from tabflow.session import LOOKUP_ROWS
 
-SMALL = 1_000_000
+# Rows of one group, or of a whole column, that the built-in exact percentile may keep.
+SMALL = 100_000
 # Distinct values that may come to the driver at the end of a narrowing search.
 FINAL = 20_000
 _SKETCH = 20_000
 
 
-def kth_smallest(df: DataFrame, value: str, rank: int, small: int = FINAL):
-    """The value at zero-based ``rank`` in ascending order; NULLs are not counted."""
+def find_rank(df: DataFrame, value: str, rank: int, small: int = FINAL, bracket: tuple | None = None):
+    """Value at zero-based ``rank`` in ascending order, the rows below it and the rows equal to it.
+
+    NULLs are not counted. ``bracket`` may name borders the value is expected between.
+    """
     rows = df.select(value).na.drop()
     v = F.col(value)
+    n, passed = rows.count(), 0
     while True:
-        n = rows.count()
         if n <= small:
-            found = rows.groupBy(value).count().orderBy(value).collect()
-            for item in found:
+            for item in rows.groupBy(value).count().orderBy(value).collect():
+                if rank < item["count"]:
+                    return item[value], passed, item["count"]
                 rank -= item["count"]
-                if rank < 0:
-                    return item[value]
+                passed += item["count"]
             raise ValueError("rank is outside the column")
-        p = rank / n
-        slack = 4 / _SKETCH
-        low, high = rows.agg(
-            F.percentile_approx(v, [max(0.0, p - slack), min(1.0, p + slack)], _SKETCH)
-        ).first()[0]
-        below, upto, bottom, top = rows.agg(
-            F.count(F.when(v < F.lit(low), 1)), F.count(F.when(v <= F.lit(high), 1)), F.min(v), F.max(v)
-        ).first()
-        if low == high and below <= rank < upto:
-            return low
-        if rank < below:
-            low, high, below = bottom, low, 0
-        elif rank >= upto:
-            low, high = high, top
-            below = rows.filter(v < F.lit(low)).count()
-        rows = rows.filter((v >= F.lit(low)) & (v <= F.lit(high)))
+        if bracket is None:
+            slack = 4 / _SKETCH
+            probs = [max(0.0, rank / n - slack), min(1.0, rank / n + slack)]
+            bracket = rows.agg(F.percentile_approx(v, probs, _SKETCH)).first()[0]
+        low, high = bracket
+        bracket = None
+        below, upto = rows.agg(F.count(F.when(v < F.lit(low), 1)), F.count(F.when(v <= F.lit(high), 1))).first()
+        if below <= rank < upto:
+            if low == high:
+                return low, passed + below, upto - below
+            rows = rows.filter((v >= F.lit(low)) & (v <= F.lit(high)))
+            n = upto - below
+        elif rank < below:
+            rows, n, below = rows.filter(v < F.lit(low)), below, 0
+        else:
+            rows, n, below = rows.filter(v > F.lit(high)), n - upto, upto
         rank -= below
+        passed += below
+
+
+def kth_smallest(df: DataFrame, value: str, rank: int, small: int = FINAL):
+    """The value at zero-based ``rank`` in ascending order; NULLs are not counted."""
+    return find_rank(df, value, rank, small)[0]
 
 
 def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], small: int = SMALL) -> dict[str, list]:
-    """Linearly interpolated quantiles of whole columns, ``{column: [value per probability]}``."""
-    counts = df.agg(*[F.count(c).alias(c) for c in values]).first()
-    if max(counts) <= small:
+    """Linearly interpolated quantiles of whole columns, ``{column: [value per probability]}``.
+
+    Three passes whatever the number of columns: sketches give the brackets, counts check them,
+    and the few values inside are fetched. A rank its bracket missed, or one with too many values
+    left, is searched for on its own.
+    """
+    slack = 4 / _SKETCH
+    wanted = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+    seen = df.agg(*[F.struct(F.count(c), F.percentile_approx(F.col(c).cast("double"), wanted, _SKETCH)).alias(c) for c in values]).first()
+    counts = {c: seen[c][0] for c in values}
+    if max(counts.values()) <= small:
         row = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in values]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in values}
-    out = {}
+
+    full = [c for c in values if counts[c]]
+    brackets = {(c, i): tuple(seen[c][1][2 * i : 2 * i + 2]) for c in full for i in range(len(probs))}
+    names = {k: f"__b{n}" for n, k in enumerate(brackets)}
+    sides = [
+        F.struct(F.count(F.when(F.col(c) < F.lit(low), 1)), F.count(F.when(F.col(c) <= F.lit(high), 1))).alias(names[c, i])
+        for (c, i), (low, high) in brackets.items()
+    ]
+    sizes = df.agg(*sides).first()
+    inside = _fetch(df, full, brackets) if sum(s[1] - s[0] for s in sizes) <= FINAL * len(brackets) else {}
+
+    def at(c: str, i: int, rank: int) -> float:
+        below, upto = sizes[names[c, i]]
+        low, high = brackets[c, i]
+        if below <= rank < upto and low == high:
+            return low
+        if c in inside and below <= rank < upto:
+            for v, n in inside[c]:
+                if low <= v <= high:
+                    below += n
+                    if rank < below:
+                        return v
+        return float(kth_smallest(df, c, rank, min(small, FINAL)))
+
+    out: dict[str, list] = {}
     for c in values:
         out[c] = []
-        for p in probs:
+        for i, p in enumerate(probs):
+            if not counts[c]:
+                out[c].append(None)
+                continue
             place = p * (counts[c] - 1)
-            low = float(kth_smallest(df, c, math.floor(place), min(small, FINAL)))
-            high = float(kth_smallest(df, c, math.ceil(place), min(small, FINAL)))
             share = place - math.floor(place)
-            out[c].append((1 - share) * low + share * high)
+            out[c].append((1 - share) * at(c, i, math.floor(place)) + share * at(c, i, math.ceil(place)))
+    return out
+
+
+def _fetch(df: DataFrame, cols: Sequence[str], brackets: dict) -> dict[str, list[tuple[float, int]]]:
+    """Sorted ``(value, count)`` pairs of each column that lie in one of its brackets."""
+    cells = []
+    for n, c in enumerate(cols):
+        hit = F.lit(False)
+        for (name, _), (low, high) in brackets.items():
+            if name == c:
+                hit = hit | F.col(c).between(F.lit(low), F.lit(high))
+        cells.append(F.struct(F.lit(n).alias("n"), F.when(hit, F.col(c).cast("double")).alias("v")))
+    kept = df.select(F.explode(F.filter(F.array(*cells), lambda x: x["v"].isNotNull())).alias("x")).select("x.*")
+    out: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
+    for r in kept.groupBy("n", "v").count().orderBy("n", "v").collect():
+        out[cols[r["n"]]].append((r["v"], r["count"]))
     return out
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.functions.hashing import key_bits
-from tabflow.operators.quantiles import kth_smallest
+from tabflow.functions.hashing import HASH_RANGE, key_bits
+from tabflow.operators.quantiles import find_rank
 from tabflow.session import attach
 
 RANGE_ROWS = 250_000
@@ -216,11 +216,15 @@ def split_random(df: DataFrame, key: str, share: float, seed: int = 157, name: s
     m = math.ceil(round(share * n, 9))
     if m == 0:
         return df.withColumn(name, F.lit(0))
-    border = int(kth_smallest(mixed, "__h", m - 1))
-    below = mixed.filter(F.col("__h") < F.lit(border)).count()
-    ties = mixed.filter(F.col("__h") == F.lit(border)).orderBy(key).limit(m - below).collect()
-    last = ties[-1][key]
-    is_test = (F.col("__h") < F.lit(border)) | ((F.col("__h") == F.lit(border)) & (F.col(key) <= F.lit(last)))
+    # The hash is uniform, so its m-th smallest value lies near share * range.
+    p = m / n
+    reach = 8 * math.sqrt(p * (1 - p) / n) + 2 / n
+    bracket = (int((p - reach) * HASH_RANGE), int((p + reach) * HASH_RANGE))
+    border, below, equal = find_rank(mixed, "__h", m - 1, bracket=bracket)
+    is_test = F.col("__h") <= F.lit(border)
+    if below + equal > m:
+        last = mixed.filter(F.col("__h") == F.lit(border)).orderBy(key).limit(m - below).collect()[-1][key]
+        is_test = (F.col("__h") < F.lit(border)) | ((F.col("__h") == F.lit(border)) & (F.col(key) <= F.lit(last)))
     return mixed.withColumn(name, is_test.cast("int")).drop("__h")
 
 

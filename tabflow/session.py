@@ -35,9 +35,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so later steps start from the written rows."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder so later steps start from the written rows.
+
+    A table, unlike a plain checkpoint, lets those steps read only the columns they need.
+    """
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
