@@ -17,6 +17,7 @@ from tabflow.operators.models import RandomFourier
 from tabflow.operators.quantiles import exact_quantiles, kth_smallest
 from tabflow.operators.scale import Pca, fit_pca
 from tabflow.operators.stats import mean_cov
+from tabflow.session import cut_lineage
 
 LOG_2PI = math.log(2 * math.pi)
 _WIDE = 24
@@ -191,7 +192,11 @@ def isolation_forest(df: DataFrame, key: str, vector: str, trees: int = 50, samp
 
 
 def flag_share(scored: DataFrame, score: str, share: float, out: str = "is_outlier") -> DataFrame:
-    """Call the rows above the ``1 - share`` quantile of the score outliers."""
+    """Call the rows above the ``1 - share`` quantile of the score outliers.
+
+    The scored rows are written once, so that the quantile does not score them again.
+    """
+    scored = cut_lineage(scored)
     border = exact_quantiles(scored, [score], [1 - share])[score][0]
     return scored.withColumn(out, (F.col(score) > F.lit(border)).cast("int"))
 
@@ -244,7 +249,8 @@ def one_class_boundary(df: DataFrame, vector: str, nu: float = 0.2, gamma: float
         # Minimise |w|^2 / 2 - offset + sum(max(0, offset - w.phi)) / (nu n) in w.
         weights = (1 - rate) * weights + rate * _feature_sum(below, lift) / (nu * n)
     rank = max(0, math.ceil(nu * n) - 1)
-    return OneClass(lift, weights, float(kth_smallest(_margin(rows, "v", lift, weights), "margin", rank)))
+    margins = cut_lineage(_margin(rows, "v", lift, weights).select("margin"))
+    return OneClass(lift, weights, float(kth_smallest(margins, "margin", rank)))
 
 
 def _feature_sum(rows: DataFrame, lift: RandomFourier) -> np.ndarray:

@@ -20,6 +20,8 @@ from tabflow.session import LOOKUP_ROWS
 SMALL = 100_000
 # Distinct values that may come to the driver at the end of a narrowing search.
 FINAL = 20_000
+# Rows inside all brackets up to which their distinct values are fetched in one go.
+_FETCH_ROWS = 50_000_000
 _SKETCH = 20_000
 
 
@@ -87,7 +89,7 @@ def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
         for (c, i), (low, high) in brackets.items()
     ]
     sizes = df.agg(*sides).first()
-    inside = _fetch(df, full, brackets) if sum(s[1] - s[0] for s in sizes) <= FINAL * len(brackets) else {}
+    inside = _fetch(df, full, brackets) if sum(s[1] - s[0] for s in sizes) <= _FETCH_ROWS else {}
 
     def at(c: str, i: int, rank: int) -> float:
         below, upto = sizes[names[c, i]]
@@ -116,18 +118,23 @@ def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
 
 
 def _fetch(df: DataFrame, cols: Sequence[str], brackets: dict) -> dict[str, list[tuple[float, int]]]:
-    """Sorted ``(value, count)`` pairs of each column that lie in one of its brackets."""
-    cells = []
+    """Sorted ``(value, count)`` pairs of each column that lie in one of its brackets; none if there are too many."""
+    cells, any_hit = [], F.lit(False)
     for n, c in enumerate(cols):
         hit = F.lit(False)
         for (name, _), (low, high) in brackets.items():
             if name == c:
                 hit = hit | F.col(c).between(F.lit(low), F.lit(high))
+        any_hit = any_hit | hit
         cells.append(F.struct(F.lit(n).alias("n"), F.when(hit, F.col(c).cast("double")).alias("v")))
-    kept = df.select(F.explode(F.filter(F.array(*cells), lambda x: x["v"].isNotNull())).alias("x")).select("x.*")
+    kept = df.filter(any_hit).select(F.explode(F.array(*cells)).alias("x")).select("x.*").na.drop()
     out: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
-    for r in kept.groupBy("n", "v").count().orderBy("n", "v").collect():
-        out[cols[r["n"]]].append((r["v"], r["count"]))
+    most = FINAL * len(brackets)
+    found = kept.groupBy("n", "v").count().limit(most + 1).collect()
+    if len(found) > most:
+        return {}
+    for n, v, count in sorted(found):
+        out[cols[n]].append((v, count))
     return out
 
 

@@ -154,9 +154,25 @@ def min_rank(df: DataFrame, by: str, name: str = "rank", range_rows: int = RANGE
     return df.join(ranks, by, "left")
 
 
+def _unique_at(df: DataFrame, order_by: Sequence[str], position: int):
+    """Key of the row at a position, where one numeric key orders the rows and is unique there.
+
+    A cut at that row is then a comparison that reaches the scan, without any sort.
+    """
+    if len(order_by) > 1 or not isinstance(df.schema[order_by[0]].dataType, T.NumericType):
+        return None
+    if df.filter(F.col(order_by[0]).isNull()).limit(1).count():
+        return None
+    border, _, equal = find_rank(df, order_by[0], position)
+    return border if equal == 1 else None
+
+
 def head_tail(df: DataFrame, order_by: Sequence[str], last: int, **kw) -> tuple[DataFrame, DataFrame]:
     """Split off the last rows: everything before them, and the rows themselves."""
     n = df.count()
+    border = _unique_at(df, order_by, n - last) if 0 < last <= n else None
+    if border is not None:
+        return df.filter(F.col(order_by[0]) < F.lit(border)), df.filter(F.col(order_by[0]) >= F.lit(border))
     placed = row_index(df, order_by, _POS, **kw)
     is_tail = F.col(_POS) >= F.lit(n - last)
     return placed.filter(~is_tail).drop(_POS), placed.filter(is_tail).drop(_POS)
@@ -164,6 +180,9 @@ def head_tail(df: DataFrame, order_by: Sequence[str], last: int, **kw) -> tuple[
 
 def split_at(df: DataFrame, order_by: Sequence[str], position: int, **kw) -> tuple[DataFrame, DataFrame]:
     """Label-style split: the row at ``position`` belongs to both parts."""
+    border = _unique_at(df, order_by, position) if 0 <= position < df.count() else None
+    if border is not None:
+        return df.filter(F.col(order_by[0]) <= F.lit(border)), df.filter(F.col(order_by[0]) >= F.lit(border))
     placed = row_index(df, order_by, _POS, **kw)
     first = placed.filter(F.col(_POS) <= F.lit(position)).drop(_POS)
     return first, placed.filter(F.col(_POS) >= F.lit(position)).drop(_POS)

@@ -36,11 +36,10 @@ class Affine:
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> Affine:
     """Mean and population standard deviation, NULLs left out."""
-    stats = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c), F.min(c), F.max(c)).alias(c) for c in cols]).first()
-    # A constant column must come out as zero even where rounding leaves a tiny deviation.
-    spread = {c: 0.0 if stats[c][2] == stats[c][3] else stats[c][1] for c in cols}
-    shift = {c: stats[c][2] if stats[c][2] == stats[c][3] else stats[c][0] for c in cols}
-    return Affine(shift, spread)
+    stats = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c), F.min(c)).alias(c) for c in cols]).first()
+    # The mean of a constant column may be off in the last digit; its one value is not.
+    shift = {c: stats[c][0] if stats[c][1] else stats[c][2] for c in cols}
+    return Affine(shift, {c: stats[c][1] for c in cols})
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from tabflow.operators import anomaly, metrics, models, rows, tune
 from tabflow.operators.models import with_features
 from tabflow.plans.measures import scaled_sensors
 from tabflow.plans.registry import Tables, query
+from tabflow.session import spread
 
 DIMS = 64
 CLASSES = 10
@@ -36,7 +37,7 @@ def answer(scored: DataFrame, key: str, *cols) -> DataFrame:
 
 @query("linreg_many")
 def linreg_many(t: Tables) -> DataFrame:
-    data = with_features(scaled_sensors(t), ["s1", "s3", "s4"])
+    data = with_features(spread(scaled_sensors(t)), ["s1", "s3", "s4"])
     return models.linreg(data, "s2").transform(data).select("row_key", "prediction")
 
 
@@ -94,7 +95,7 @@ def gradient_boost_clf(t: Tables) -> DataFrame:
 
 @query("gradient_boost_reg")
 def gradient_boost_reg(t: Tables) -> DataFrame:
-    data = with_features(scaled_sensors(t), ["s1", "s3", "s4"])
+    data = with_features(spread(scaled_sensors(t)), ["s1", "s3", "s4"])
     return models.gradient_boost_reg(data, "s2", 10, 0.1).transform(data).select("row_key", "prediction")
 
 
@@ -120,7 +121,7 @@ def reconstruction_anomaly(t: Tables) -> DataFrame:
 
 @query("isolation_forest")
 def isolation_forest(t: Tables) -> DataFrame:
-    data = t.light_curve_obs.select("obs_id", F.array("flux", "flux_err", "mjd").alias("v"))
+    data = spread(t.light_curve_obs.select("obs_id", F.array("flux", "flux_err", "mjd").alias("v")))
     forest = anomaly.isolation_forest(data, "obs_id", "v", 50)
     return anomaly.flag_share(data.select("obs_id", forest.score("v").alias("score")), "score", 0.18)
 

@@ -137,8 +137,10 @@ def query(name: str, sql: str | None = None):
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison across engines; the addition turns -0.0 into 0.0."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded half away from zero for comparison across engines; the addition turns -0.0 into 0.0."""
+    c = F.col(c) if isinstance(c, str) else c
+    unit = F.lit(float(10**digits))
+    return F.signum(c) * F.floor(F.abs(c) * unit + F.lit(0.5)) / unit + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -44,6 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that was read from too few splits.
+
+    For fits and scoring, which work long on each row. Tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join per-group values back onto rows without shuffling ``df`` where that is safe.
 
