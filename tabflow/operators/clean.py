@@ -62,6 +62,16 @@ def drop_low_cardinality(df: DataFrame, cols: Sequence[str], fewest: int = 100)
     return df.drop(*low)
 
 
+def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs in ``ids``; the ids are made distinct before they meet the rows."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key does not occur in ``ids``."""
+    return df.join(ids.select(key).distinct(), key, "left_anti")
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Frequency of every value that is not NULL."""
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -70,11 +80,20 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent value per column, ties to the smallest: ``(column, value, n)``.
 
-    All columns are counted in one pass; the shuffle carries partial counts only.
+    All columns are counted in one pass; the shuffle carries partial counts only. Values come
+    back as text, numbers still tie by size.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
-    counts = df.select(pairs.alias("p")).select("p.*").na.drop().groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("k"), "value", "n")).alias("b")
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+            (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("size"),
+        )
+        for c in cols
+    ]
+    pairs = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").na.drop(subset=["value"])
+    counts = pairs.groupBy("column", "value", "size").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("k"), "size", "value", "n")).alias("b")
     return counts.groupBy("column").agg(best).select("column", "b.value", "b.n")
 
 

@@ -67,8 +67,8 @@ def mean_cov(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def gram_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and centred sum of products of an array column.
 
-    Every task merges its batches into one centred p x p summary; the summaries are added up by
-    rows of the matrix, so no task or shuffle row is larger than the matrix itself.
+    Every task adds its batches up to one centred p x p matrix. The matrices are summed line by
+    line: a group holds one line per task, whatever the number of rows.
     """
     rows = df.select(vector).na.drop()
 
@@ -93,10 +93,14 @@ def gram_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarra
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "line": list(total)})
 
-    lines = rows.mapInPandas(products, "i int, line array<double>").select("i", F.posexplode("line").alias("j", "v"))
+    def add_lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "line": [np.stack(pdf["line"].to_numpy()).sum(axis=0)]})
+
+    shape = "i int, line array<double>"
+    lines = rows.mapInPandas(products, shape).groupBy("i").applyInPandas(add_lines, shape)
     gram = np.zeros((len(mean), len(mean)))
-    for r in lines.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        gram[r["i"], r["j"]] = r["v"]
+    for r in lines.collect():
+        gram[r["i"]] = r["line"]
     return n, mean, gram
 
 

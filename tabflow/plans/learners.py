@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tabflow.operators import anomaly, metrics, models, rows, tune
 from tabflow.operators.models import with_features
-from tabflow.plans.measures import scaled_sensors
-from tabflow.plans.registry import Tables, query
+from tabflow.plans.measures import _SCALED, scaled_sensors
+from tabflow.plans.registry import R, Tables, query, rounded
 from tabflow.session import spread
 
 DIMS = 64
@@ -35,10 +35,16 @@ def answer(scored: DataFrame, key: str, *cols) -> DataFrame:
     return scored.select(key, F.col("prediction").cast("int").alias("prediction"), *cols)
 
 
-@query("linreg_many")
+@query(
+    "linreg_many",
+    f"""select row_key, {R('my + b1 * (s1 - m1) + b3 * (s3 - m3)')} as prediction from {_SCALED}, (select m1, m3, my,
+    (c1y * c33 - c3y * c13) / (c11 * c33 - c13 * c13) as b1, (c3y * c11 - c1y * c13) / (c11 * c33 - c13 * c13) as b3 from (select avg(s1) as m1,
+    avg(s3) as m3, avg(s2) as my, var_pop(s1) as c11, var_pop(s3) as c33, covar_pop(s1, s3) as c13, covar_pop(s1, s2) as c1y,
+    covar_pop(s3, s2) as c3y from {_SCALED}))""",
+)
 def linreg_many(t: Tables) -> DataFrame:
-    data = with_features(spread(scaled_sensors(t)), ["s1", "s3", "s4"])
-    return models.linreg(data, "s2").transform(data).select("row_key", "prediction")
+    data = with_features(scaled_sensors(t), ["s1", "s3"])
+    return rounded(models.linreg(data, "s2").transform(data).select("row_key", "prediction"))
 
 
 @query("logreg_l2")

@@ -170,7 +170,7 @@ def distinct_count(t: Tables) -> DataFrame:
 @query(
     "mode_value",
     "\nunion all ".join(
-        f"(select '{c}' as \"column\", cast({c} as varchar) as value, count(*) as n from orders group by {c} order by count(*) desc, cast({c} as varchar) limit 1)"
+        f"(select '{c}' as \"column\", cast({c} as varchar) as value, count(*) as n from orders group by {c} order by count(*) desc, {c} limit 1)"
         for c in ["o_orderstatus", "o_orderpriority", "o_custkey"]
     ),
 )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tabflow.functions.arrays import argmax
 from tabflow.functions.maths import ratio_squared
 from tabflow.functions.text import after_comma_word
 from tabflow.operators import clean, rows, stats
-from tabflow.operators.models import load_model, save_model, with_features
+from tabflow.operators.models import load_model, save_model
 from tabflow.plans.registry import R, Tables, query, rounded
 from tabflow.session import attach, fresh_path
 from tabflow.sources import tables as io
@@ -111,12 +112,12 @@ def submission_table(t: Tables) -> DataFrame:
     return io.submission(scored, "vec_id", "best", ("image_id", "label"))
 
 
-@query("model_store")
+@query("model_store", f"select id, {R('regr_slope(y, x) over () * x + regr_intercept(y, x) over ()')} as prediction from regression_xy")
 def model_store(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "model")
-    data = with_features(t.image, "pixels")
-    save_model(Pipeline(stages=[LogisticRegression(labelCol="label", maxIter=5)]).fit(data), path)
-    return load_model(path).transform(data).select("image_id", F.col("prediction").cast("int").alias("prediction"))
+    stages = [VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y", solver="normal")]
+    save_model(Pipeline(stages=stages).fit(t.regression_xy), path)
+    return rounded(load_model(path).transform(t.regression_xy).select("id", "prediction"))
 
 
 _GAPS = """select o_orderkey, case when o_orderkey % 10 = 0 then null else o_orderstatus end as o_orderstatus,
@@ -285,21 +286,21 @@ def _both(t: Tables) -> DataFrame:
 def split_back(t: Tables) -> DataFrame:
     everything = _both(t).drop("segment")
     test_ids = t.supplier.select(F.col("s_name").alias("name"))
-    test = everything.join(test_ids, "name", "left_semi").withColumn("part", F.lit("test"))
-    train = everything.join(test_ids, "name", "left_anti").withColumn("part", F.lit("train"))
+    test = clean.keep_ids(everything, test_ids, "name").withColumn("part", F.lit("test"))
+    train = clean.drop_ids(everything, test_ids, "name").withColumn("part", F.lit("train"))
     return train.unionByName(test)
 
 
 @query("semi_join_ids", "select * from customer where c_custkey in (select o_custkey from orders)")
 def semi_join_ids(t: Tables) -> DataFrame:
     buyers = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.join(buyers, "c_custkey", "left_semi")
+    return clean.keep_ids(t.customer, buyers, "c_custkey")
 
 
 @query("anti_join_ids", "select * from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def anti_join_ids(t: Tables) -> DataFrame:
     dear = t.orders.filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.join(dear, "c_custkey", "left_anti")
+    return clean.drop_ids(t.customer, dear, "c_custkey")
 
 
 # --- positions, folds and splits ---
