@@ -197,16 +197,17 @@ def _predict(model: Model, df: DataFrame) -> DataFrame:
     return plain.transform(df)
 
 
-def adaboost(df: DataFrame, label: str, rounds: int = 10, rate: float = 1.0, depth: int = 1, trees: int = 0, features: str = "features") -> AdaBoost:
+def adaboost(df: DataFrame, label: str, rounds: int = 10, rate: float = 1.0, depth: int = 1, trees: int = 0, features: str = "features", cut_every: int = 5) -> AdaBoost:
     """SAMME boosting of weighted trees, or of weighted forests with ``trees > 0``.
 
-    A round is one weighted fit, one aggregate for its error and a new weight column. The rows are
-    written to the shared folder each round, so a round never replays the earlier ones.
+    A round is one weighted fit, one aggregate for its error and a new weight column. Scoring a
+    row again with a few trees is cheaper than storing it, so the rows are written to the shared
+    folder only every ``cut_every`` rounds; no round replays more models than that.
     """
     rows = df.select(features, F.col(label).cast("double").alias("__y"))
     n, classes = rows.agg(F.count(F.lit(1)), F.max("__y") + 1).first()
     classes = int(classes)
-    rows = cut_lineage(rows.withColumn("__w", F.lit(1.0 / n)))
+    rows = rows.withColumn("__w", F.lit(1.0 / n))
     kept: list[tuple[Model, float]] = []
     errors: list[float] = []
     for i in range(rounds):
@@ -231,7 +232,9 @@ def adaboost(df: DataFrame, label: str, rounds: int = 10, rate: float = 1.0, dep
         grown = F.col("__w") * F.exp(F.lit(alpha) * F.col("__miss"))
         # The sum after growth follows from the error, so the weights are scaled in the same pass.
         after = total * ((1 - error) + error * math.exp(alpha))
-        rows = cut_lineage(judged.withColumn("__w", grown / F.lit(after)).drop("__miss"))
+        rows = judged.withColumn("__w", grown / F.lit(after)).drop("__miss")
+        if (i + 1) % cut_every == 0 and i + 1 < rounds:
+            rows = cut_lineage(rows)
     return AdaBoost(kept, classes, errors)
 
 

@@ -47,8 +47,8 @@ def with_ranges(df: DataFrame, name: str, range_rows: int = RANGE_ROWS) -> tuple
         return _text_ranges(df, name, range_rows)
     few = 256
     n, borders = df.agg(F.count(F.lit(1)), _borders(number, few)).first()
-    wanted = min(MAX_RANGES, math.ceil(n / range_rows))
-    if wanted <= 1:
+    wanted = _range_count(n, range_rows, MAX_RANGES)
+    if wanted == 1:
         return df.withColumn(_RANGE, F.lit(0)), 1
     if wanted > few:
         borders = df.agg(_borders(number, wanted)).first()[0]
@@ -65,6 +65,11 @@ def with_ranges(df: DataFrame, name: str, range_rows: int = RANGE_ROWS) -> tuple
     return out.withColumn(_RANGE, F.col("__cut").cast("int")).drop("__number", "__cut"), len(splits) - 1
 
 
+def _range_count(n: int, range_rows: int, most: int) -> int:
+    """One range up to ``range_rows`` rows. Beyond, smaller ones, which spread more evenly over tasks."""
+    return 1 if n <= range_rows else min(most, math.ceil(2.5 * n / range_rows))
+
+
 def _borders(number: Column, parts: int) -> Column:
     return F.percentile_approx(number, [i / parts for i in range(1, parts)], max(10_000, parts * 8))
 
@@ -72,8 +77,8 @@ def _borders(number: Column, parts: int) -> Column:
 def _text_ranges(df: DataFrame, name: str, range_rows: int) -> tuple[DataFrame, int]:
     """Ranges of a text column. The sample only places the borders; no row is left out."""
     n = df.count()
-    wanted = min(MAX_RANGES // 4, math.ceil(n / range_rows))
-    if wanted <= 1:
+    wanted = _range_count(n, range_rows, MAX_RANGES // 4)
+    if wanted == 1:
         return df.withColumn(_RANGE, F.lit(0)), 1
     share = min(1.0, 40 * wanted / n)
     seen = sorted(r[0] for r in df.select(name).na.drop().sample(share, seed=157).collect())
