@@ -165,9 +165,19 @@ def best_first(df: DataFrame, score: str, ordinal: str) -> DataFrame:
     return df.orderBy(F.col(score).desc(), ordinal).limit(1)
 
 
-def grid_summary(df: DataFrame, config: str, score: str, **kw) -> DataFrame:
-    """Mean, population deviation and min-rank of split scores per configuration."""
-    means = df.groupBy(config).agg(F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
+def grid_summary(df: DataFrame, config: str, score: str, weight: str | None = None, **kw) -> DataFrame:
+    """Mean, population deviation and min-rank of split scores per configuration.
+
+    ``weight`` names the size of each split, for means over rows instead of splits.
+    """
+    if weight is None:
+        found = [F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score")]
+    else:
+        w, s = F.col(weight), F.col(score)
+        mean = F.sum(w * s) / F.sum(w)
+        square = F.sum(w * s * s) / F.sum(w) - mean * mean
+        found = [mean.alias("mean_score"), F.sqrt(F.greatest(F.lit(0.0), square)).alias("std_score")]
+    means = df.groupBy(config).agg(*found)
     # Equal scores summed in another order must still tie.
     ranked = min_rank(means.withColumn("__m", F.round("mean_score", 12)), "__m", "rank_score", **kw)
     return ranked.drop("__m")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.maths import linear, sigmoid
-from tabflow.session import cut_lineage
+from tabflow.session import cut_lineage, in_parallel
 
 SEED = 157
 
@@ -239,8 +240,12 @@ def adaboost(df: DataFrame, label: str, rounds: int = 10, rate: float = 1.0, dep
 
 
 def kmeans(df: DataFrame, k: int = 2, starts: int = 20, max_iter: int = 500, features: str = "features") -> Model:
-    """Best of several starts by cost."""
-    fits = [KMeans(featuresCol=features, k=k, maxIter=max_iter, seed=SEED + i).fit(df) for i in range(starts)]
+    """Best of several starts by cost; a few starts run side by side."""
+
+    def start(i: int) -> Model:
+        return KMeans(featuresCol=features, k=k, maxIter=max_iter, seed=SEED + i).fit(df)
+
+    fits = in_parallel(df.sparkSession, [partial(start, i) for i in range(starts)], 4)
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 

@@ -29,6 +29,11 @@ def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFram
     return df.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*")
 
 
+def distinct_count(df: DataFrame, col: str, approx: bool = False, name: str = "n") -> DataFrame:
+    """Number of distinct values; ``approx=True`` takes it from a sketch, without shuffling the values."""
+    return df.agg((F.approx_count_distinct(col, 0.01) if approx else F.count_distinct(col)).alias(name))
+
+
 def column_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, min, max)``."""
     one = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c) for c in cols])

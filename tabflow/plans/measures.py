@@ -164,7 +164,7 @@ def distinct_values(t: Tables) -> DataFrame:
 
 @query("distinct_count", "select count(distinct l_partkey) as n_parts from lineitem")
 def distinct_count(t: Tables) -> DataFrame:
-    return t.lineitem.agg(F.count_distinct("l_partkey").alias("n_parts"))
+    return stats.distinct_count(t.lineitem, "l_partkey", name="n_parts")
 
 
 @query(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 # A lookup side of at most this many rows is sent to every executor.
 LOOKUP_ROWS = 50_000
@@ -53,6 +56,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]], most: int) -> list:
+    """Results of several driver-side calls, in order; their Spark jobs share the cluster."""
+    if not jobs:
+        return []
+    start = inheritable_thread_target(spark)
+    with ThreadPool(min(most, len(jobs))) as pool:
+        return pool.map(lambda job: start(job)(), jobs)
+
+
 def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join per-group values back onto rows without shuffling ``df`` where that is safe.
 

@@ -82,6 +82,13 @@ def test_best_worst_and_first_on_ties(spark):
     assert metrics.best_first(df, "s", "i").first()["c"] == "b"
 
 
+def test_grid_summary_weighted(spark):
+    df = spark.createDataFrame([(1, 0.5, 10.0), (1, 1.0, 30.0), (2, 0.875, 1.0), (2, 0.875, 9.0)], "c int, s double, w double")
+    got = {r["c"]: r for r in metrics.grid_summary(df, "c", "s", "w").collect()}
+    assert got[1]["mean_score"] == 0.875 and got[1]["std_score"] == pytest.approx(math.sqrt(0.75 * 0.125**2 + 0.25 * 0.375**2))
+    assert got[2]["std_score"] == 0.0 and got[1]["rank_score"] == got[2]["rank_score"] == 1
+
+
 def test_r2_is_not_squared_correlation(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (3.0, 7.0)], "y double, p double")
     assert metrics.regression_scores(df, "y", "p").first()["r2"] == pytest.approx(1 - 29 / 2)
@@ -232,6 +239,7 @@ def test_grid_search_table(spark, rings):
     got = tune.grid_search(folded, "fold", 3, "y", configs, lambda d, c: models.random_forest(d, "y", 3, c["depth"])).orderBy("config_id").collect()
     assert [r["rank_test_score"] for r in got] == [3, 1, 1]
     r = got[1]
+    assert r["param_depth"] == "4" and r["mean_fit_time"] > 0 and r["split0_train_score"] >= 0.5 and "std_train_score" in r
     splits = [r[f"split{i}_test_score"] for i in range(3)]
     assert r["mean_test_score"] == pytest.approx(np.mean(splits)) and r["std_test_score"] == pytest.approx(np.std(splits))
 
