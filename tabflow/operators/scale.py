@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.operators.quantiles import exact_quantiles
-from tabflow.operators.stats import gram_moments, mean_cov
+from tabflow.operators.stats import gram_moments, mean_cov, unpivot
 from tabflow.session import attach
 
 
+_SIDE_BY_SIDE = 8
+
+
 @dataclass(frozen=True)
 class Affine:
     """``(x - shift) / spread`` per column; a spread of zero only shifts."""
@@ -35,11 +38,20 @@ class Affine:
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> Affine:
-    """Mean and population standard deviation, NULLs left out."""
-    stats = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c), F.min(c)).alias(c) for c in cols]).first()
+    """Mean and population standard deviation, NULLs left out.
+
+    A few columns are aggregated side by side. For many, one short aggregate over cells grouped by
+    column beats a long expression list, which outgrows compiled code.
+    """
+    if len(cols) <= _SIDE_BY_SIDE:
+        found = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c), F.min(c)).alias(c) for c in cols]).first().asDict()
+    else:
+        v = F.col("value")
+        cells = unpivot(df, [], cols).groupBy("column").agg(F.struct(F.avg(v), F.stddev_pop(v), F.min(v)).alias("s"))
+        found = dict.fromkeys(cols, (None, None, None)) | {r["column"]: r["s"] for r in cells.collect()}
     # The mean of a constant column may be off in the last digit; its one value is not.
-    shift = {c: stats[c][0] if stats[c][1] else stats[c][2] for c in cols}
-    return Affine(shift, {c: stats[c][1] for c in cols})
+    shift = {c: found[c][0] if found[c][1] else found[c][2] for c in cols}
+    return Affine(shift, {c: found[c][1] for c in cols})
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:

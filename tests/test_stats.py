@@ -149,6 +149,16 @@ def test_scalers(spark):
     assert fit.shift["x"] == pytest.approx(7 / 3)
 
 
+def test_wide_scaler_equals_narrow(spark):
+    df = spark.range(50).select(*[(F.col("id") * i + i).cast("double").alias(f"c{i}") for i in range(12)], F.lit(None).cast("double").alias("gap"))
+    wide, narrow = scale.fit_standard(df, df.columns), scale.fit_standard(df, ["c0", "c7", "gap"])
+    for c in ("c0", "c7"):
+        assert wide.shift[c] == pytest.approx(narrow.shift[c]) and wide.spread[c] == pytest.approx(narrow.spread[c])
+    assert wide.shift["gap"] is None and narrow.shift["gap"] is None
+    assert wide.transform(df).agg(F.count("gap"), F.max("c0")).first()[:] == (0, 0.0)
+    assert scale.fit_standard(df.filter("false"), df.columns).shift["c1"] is None
+
+
 def test_scaler_runs_on_a_stream(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, x double")
     df.write.parquet(str(tmp_path / "in"))
