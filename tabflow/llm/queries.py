@@ -37,3 +37,11 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.bpe import bpe_round_trip
 
     return bpe_round_trip(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query
+def op5_boosted_spans(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.pii import fit_candidates, span_digest
+
+    docs = table(spark, folder, "documents")
+    return span_digest(docs, fit_candidates(docs))
