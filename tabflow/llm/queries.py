@@ -45,3 +45,10 @@ def op5_boosted_spans(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return span_digest(docs, fit_candidates(docs))
+
+
+@query
+def op6_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.urls import url_verdicts
+
+    return url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"))
