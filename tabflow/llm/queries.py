@@ -52,3 +52,10 @@ def op6_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.urls import url_verdicts
 
     return url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+@query
+def op10_chosen_paths(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.pathjoin import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
