@@ -59,3 +59,10 @@ def op10_chosen_paths(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.pathjoin import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op7_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.substrings import repeated_windows
+
+    return repeated_windows(table(spark, folder, "documents"))

@@ -84,12 +84,19 @@ def word_hashes(dictionary: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(dictionary))
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every run of ``width`` neighbours; entry i starts at i. Runs may cross texts, callers mask those."""
-    n = len(hashes) - width + 1
-    if n <= 0:
+    if len(hashes) < width or width <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    return spread64(out)
+
+    def joined(w: int) -> np.ndarray:
+        if w == 1:
+            return hashes
+        half = joined(w // 2)
+        n = len(hashes) - w + 1
+        if w % 2 == 0:
+            return half[:n] * np.uint64(pow(base, w // 2, 1 << 64)) + half[w // 2 : w // 2 + n]
+        front = half[: n + 1] * np.uint64(pow(base, w // 2, 1 << 64)) + half[w // 2 : w // 2 + n + 1]
+        return front[:n] * np.uint64(base) + hashes[w - 1 :]
+
+    return spread64(joined(width))
