@@ -66,3 +66,10 @@ def op7_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.substrings import repeated_windows
 
     return repeated_windows(table(spark, folder, "documents"))
+
+
+@query
+def op9_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
