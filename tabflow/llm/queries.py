@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +74,13 @@ def op9_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.leaks import leaked_items
 
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_random_field(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.crf import fit_languages, languages, remainder
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = fit_languages(docs, learn=remainder(F.col("doc_id"), 3) != 1)
+    return languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"]).drop("lang_runs")
