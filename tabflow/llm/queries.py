@@ -84,3 +84,13 @@ def op3_random_field(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = fit_languages(docs, learn=remainder(F.col("doc_id"), 3) != 1)
     return languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"]).drop("lang_runs")
+
+
+@query
+def op2_maximum_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.crf import remainder
+    from tabflow.llm.maxent import lm_scores
+
+    rest = remainder(F.col("doc_id"), 10)
+    docs = table(spark, folder, "documents").select("doc_id", "text", (rest != 0).alias("learn"), F.coalesce(rest == 0, F.lit(False)).alias("held_out"))
+    return lm_scores(docs, keep=("held_out",))

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabflow.llm import exchange as X
 from tabflow.llm import words as W
 
 # Every difference modulo PERIOD is a difference of two members of COVER (fixed values). So for any two positions there is
@@ -100,30 +101,12 @@ class Block:
         return np.cumsum(gone)[:n] > 0
 
 
-def _cut(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers in use for ascending hashes, and where each begins."""
-    bucket = ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    at = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(bucket) else np.zeros(0, np.int64)
-    return bucket[at].astype(np.int64), at
-
-
-def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """One binary per range of ``values``."""
-    ends = (np.concatenate([at, [len(values)]]) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _held(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
-    return np.concatenate([*parts, np.zeros(0, kind)]).astype(kind), np.array([len(p) for p in parts], np.int64)
-
-
 def _replies(block: np.ndarray, base: np.ndarray, sizes: np.ndarray, hit: np.ndarray) -> pa.Table:
     """For rows of ``sizes`` values, the numbers of the hit values, one row for each row with a hit."""
     row = np.repeat(np.arange(len(sizes)), sizes)[hit]
     number = (base[row] + hit - (np.cumsum(sizes) - sizes)[row]).astype(np.uint32)
     at = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0] if len(row) else np.zeros(0, np.int64)
-    return pa.table({"block": pa.array(block[row[at]], pa.int64()), "numbers": _packed(number, at)})
+    return pa.table({"block": pa.array(block[row[at]], pa.int64()), "numbers": X.packed(number, at)})
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
@@ -149,12 +132,12 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     def anchors(table: pa.Table) -> pa.Table:
         found = Block(table, window).anchors
-        bucket, at = _cut(found, blocks)
+        bucket, at = X.cut(found, blocks)
         block = table.column("block")[0].as_py()
-        return pa.table({"bucket": bucket, "block": pa.array(np.full(len(at), block)), "base": pa.array(at.astype(np.int64)), "hashes": _packed(found, at)})
+        return pa.table({"bucket": bucket, "block": pa.array(np.full(len(at), block)), "base": pa.array(at.astype(np.int64)), "hashes": X.packed(found, at)})
 
     def shared(table: pa.Table) -> pa.Table:
-        values, sizes = _held(table.column("hashes"), "<u8")
+        values, sizes = X.held(table.column("hashes"), "<u8")
         order = np.argsort(values, kind="stable")
         same = values[order][1:] == values[order][:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
@@ -162,7 +145,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     def marked(block: Block, replies: pa.Table) -> np.ndarray:
         out = np.zeros(len(block.anchors), bool)
-        out[_held(replies.column("numbers"), "<u4")[0]] = True
+        out[X.held(replies.column("numbers"), "<u4")[0]] = True
         return out
 
     def windows(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -173,12 +156,12 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             own = Block(table, window)
             big, small, least, _, _ = own.sent(marked(own, replies))
             block = table.column("block")[0].as_py()
-        bucket, at = _cut(big, blocks)
+        bucket, at = X.cut(big, blocks)
         return pa.table({"bucket": bucket, "block": pa.array(np.full(len(at), block, np.int64)), "base": pa.array(at.astype(np.int64)),
-                         "big": _packed(big, at), "small": _packed(small, at), "least": _packed(least, at)})
+                         "big": X.packed(big, at), "small": X.packed(small, at), "least": X.packed(least, at)})
 
     def later(table: pa.Table) -> pa.Table:
-        (big, sizes), (small, _), (least, _) = _held(table.column("big"), "<u8"), _held(table.column("small"), "<u4"), _held(table.column("least"), "<i8")
+        (big, sizes), (small, _), (least, _) = X.held(table.column("big"), "<u8"), X.held(table.column("small"), "<u4"), X.held(table.column("least"), "<i8")
         order = np.lexsort((least, small, big))
         new = np.ones(len(order), bool)
         new[1:] = (big[order][1:] != big[order][:-1]) | (small[order][1:] != small[order][:-1])
@@ -192,7 +175,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())][: len(names)], names=names)
         own = Block(table, window)
         kind = replies.column("kind").to_numpy()
-        gone = own.removed(marked(own, replies.filter(pa.array(kind == 0))), _held(replies.filter(pa.array(kind == 1)).column("numbers"), "<u4")[0])
+        gone = own.removed(marked(own, replies.filter(pa.array(kind == 0))), X.held(replies.filter(pa.array(kind == 1)).column("numbers"), "<u4")[0])
         n_words, n_removed = np.diff(own.starts), W.per_text(gone, own.starts)
         kept = np.concatenate([[0], np.cumsum(n_words - n_removed)])
         left = own.flat.filter(pa.array(~gone))
