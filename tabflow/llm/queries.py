@@ -94,3 +94,11 @@ def op2_maximum_entropy(spark: SparkSession, folder: str) -> DataFrame:
     rest = remainder(F.col("doc_id"), 10)
     docs = table(spark, folder, "documents").select("doc_id", "text", (rest != 0).alias("learn"), F.coalesce(rest == 0, F.lit(False)).alias("held_out"))
     return lm_scores(docs, keep=("held_out",))
+
+
+@query
+def op8_recurrent_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.pages import extracted, fit_pages
+
+    pages = table(spark, folder, "pages")
+    return extracted(pages, fit_pages(pages))
