@@ -281,13 +281,14 @@ def languages(docs: DataFrame, model: Model | None, text: str = "text", out: tup
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c not in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in columns], F.col(text).alias("_text_"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text_"), f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` string"])
+    held = text if text in columns else "_text_"
+    rows = docs.select(*[F.col(c) for c in columns], *([] if held == text else [F.col(text).alias(held)]))
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in W.steps(whole, "_text_"):
-                names, scores, runs = _predict(sent.value, W.filled(batch.column("_text_")))
+            for batch in W.steps(whole, held):
+                names, scores, runs = _predict(sent.value, W.filled(batch.column(held)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores), pa.array(runs, pa.string())], names=[*columns, *out])
 
     return rows.mapInArrow(run, schema)

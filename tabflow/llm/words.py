@@ -99,4 +99,4 @@ def rolling(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> n
         front = half[: n + 1] * np.uint64(pow(base, w // 2, 1 << 64)) + half[w // 2 : w // 2 + n + 1]
         return front[:n] * np.uint64(base) + hashes[w - 1 :]
 
-    return spread64(joined(width))
+    return spread64(joined(int(width)))
