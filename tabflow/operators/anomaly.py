@@ -53,7 +53,11 @@ class Gaussian:
             d = np.stack(s.to_numpy()).astype(float) - mean
             return pd.Series(-0.5 * (base + np.einsum("ni,ij,nj->n", d, inverse, d)))
 
-        return score(F.array(*[F.col(c).cast("double") for c in self.cols]))
+        # NULL in, NULL out, as in the narrow form.
+        filled = F.lit(True)
+        for c in self.cols:
+            filled = filled & F.col(c).isNotNull()
+        return F.when(filled, score(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.cols])))
 
     def diagonal_log_density(self) -> Column:
         """Log density with all covariances between columns set to zero."""

@@ -52,7 +52,17 @@ def find_rank(df: DataFrame, value: str, rank: int, small: int = FINAL, bracket:
             if low == high:
                 return low, passed + below, upto - below
             rows = rows.filter((v >= F.lit(low)) & (v <= F.lit(high)))
-            n = upto - below
+            if upto - below == n:
+                # The bracket holds every row: its borders are the least and the largest value. They are settled by
+                # their counts, and the search goes on strictly between them, so it always gets smaller.
+                lows, highs = rows.agg(F.count(F.when(v == F.lit(low), 1)), F.count(F.when(v == F.lit(high), 1))).first()
+                if rank < lows:
+                    return low, passed, lows
+                if rank >= n - highs:
+                    return high, passed + n - highs, highs
+                rows, n, below = rows.filter((v > F.lit(low)) & (v < F.lit(high))), n - lows - highs, lows
+            else:
+                n = upto - below
         elif rank < below:
             rows, n, below = rows.filter(v < F.lit(low)), below, 0
         else:

@@ -7,6 +7,8 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def column_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def mean_cov(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sample covariance and both means of every column pair, ``(col_i, col_j, mean_i, mean_j, cov)``.
 
-    Few columns are aggregated side by side. With many, the expression list would outgrow
-    generated code, so each batch of rows adds its own matrix and only sums are shuffled.
+    A mean is over the rows where the column is filled, a covariance over those where both are, NULL below two of
+    them; a NaN among these rows gives NaN. Few columns are aggregated side by side. With many, the expression list would
+    outgrow generated code, so tasks add up matrices and only sums are shuffled; NULL and NaN count alike in both.
     """
     pairs = list(combinations_with_replacement(cols, 2))
     if len(pairs) <= _PAIRS_IN_ONE_AGG:
@@ -61,52 +64,98 @@ def mean_cov(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             for i, (a, b) in enumerate(pairs)
         ]
         return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    n, mean, gram = gram_moments(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")), "v")
-    rows = [
-        (cols[i], cols[j], float(mean[i]), float(mean[j]), float(gram[i, j] / (n - 1)))
-        for i, j in combinations_with_replacement(range(len(cols)), 2)
-    ]
+    mean, cov = pair_moments(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")), "v")
+    rows = [(cols[i], cols[j], mean[i], mean[j], cov[i][j]) for i, j in combinations_with_replacement(range(len(cols)), 2)]
     return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, mean_i double, mean_j double, cov double")
 
 
-def gram_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and centred sum of products of an array column.
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of an array column with 0 for NULL and NaN, and where a value is filled, and where it is NaN."""
+    vectors = batch.column(0).drop_null()
+    flat = vectors.flatten()
+    filled = flat.is_valid().to_numpy(zero_copy_only=False)
+    x = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    nan = np.isnan(x)
+    shape = (len(vectors), -1) if len(vectors) else (0, 0)
+    return np.where(nan, 0.0, x).reshape(shape), filled.reshape(shape), nan.reshape(shape)
 
-    Every task adds its batches up to one centred p x p matrix. The matrices are summed line by
-    line: a group holds one line per task, whatever the number of rows.
-    """
-    rows = df.select(vector).na.drop()
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b.iloc[:, 0].to_numpy()).astype(float)
-                yield pd.DataFrame({"n": [len(x)], "total": [x.sum(axis=0)]})
+def _matrix_sums(rows: DataFrame, make, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Sum of the square matrices that ``make`` gives for each batch, by name.
 
-    sums = rows.mapInPandas(summarise, "n long, total array<double>")
-    parts = sums.select("n", F.posexplode("total")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s"))
-    found = sorted(parts.collect(), key=lambda r: r["pos"])
-    n = found[0]["n"]
-    mean = np.array([r["s"] / r["n"] for r in found])
+    Every task adds up its batches. The matrices are summed line by line: a group holds one line per task, whatever the
+    number of rows.
+    """
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
-            if len(b):
-                x = np.stack(b.iloc[:, 0].to_numpy()).astype(float) - mean
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "line": list(total)})
+        for batch in batches:
+            if batch.num_rows > batch.column(0).null_count:
+                found = make(batch)
+                total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        for k, m in enumerate(total or []):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["k", "i", "line"])
 
     def add_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf["i"].iloc[:1], "line": [np.stack(pdf["line"].to_numpy()).sum(axis=0)]})
-
-    shape = "i int, line array<double>"
-    lines = rows.mapInPandas(products, shape).groupBy("i").applyInPandas(add_lines, shape)
-    gram = np.zeros((len(mean), len(mean)))
-    for r in lines.collect():
-        gram[r["i"]] = r["line"]
-    return n, mean, gram
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "i": pdf["i"].iloc[:1], "line": [np.stack(pdf["line"].to_numpy()).sum(axis=0)]})
+
+    shape = "k int, i int, line array<double>"
+    lines = sorted(rows.mapInArrow(run, shape).groupBy("k", "i").applyInPandas(add_lines, shape).collect(), key=lambda r: (r["k"], r["i"]))
+    return {name: np.array([r["line"] for r in lines if r["k"] == k]) for k, name in enumerate(names)}
+
+
+def pair_moments(df: DataFrame, vector: str) -> tuple[list, list]:
+    """Mean of every entry of an array column, and sample covariance of every pair, over the rows where both are filled.
+
+    None where there are too few rows; NaN where one of the rows has it.
+    """
+    rows = df.select(vector)
+
+    def first(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x, filled, nan = _entries(batch)
+        return [np.stack([x.sum(axis=0), filled.sum(axis=0), nan.sum(axis=0)]).astype(float)]
+
+    sums = _matrix_sums(rows, first, ["s"])["s"]
+    if not len(sums):
+        return [], []
+    centre = sums[0] / np.maximum(sums[1] - sums[2], 1)
+
+    def second(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x, filled, nan = _entries(batch)
+        m, bad = filled.astype(float), nan.astype(float)
+        x = np.where(filled & ~nan, x - centre, 0.0)
+        # Pairs of filled entries, sums of one where the other is filled, products, and pairs with a NaN.
+        return [m.T @ m, x.T @ m, x.T @ x, bad.T @ m + m.T @ bad]
+
+    found = _matrix_sums(rows, second, ["n", "s", "p", "nan"])
+    n, s, p, nan = (found[k] for k in ("n", "s", "p", "nan"))
+    with np.errstate(all="ignore"):
+        cov = (p - s * s.T / n) / (n - 1)
+    size = range(len(centre))
+    mean = [None if not sums[1][i] else float("nan") if sums[2][i] else float(sums[0][i] / sums[1][i]) for i in size]
+    return mean, [[None if n[i, j] < 2 else float("nan") if nan[i, j] else float(cov[i, j]) for j in size] for i in size]
+
+
+def gram_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and centred sum of products of an array column, over the rows without NULL or NaN in it."""
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = df.select(F.col(vector).cast("array<double>").alias(vector)).filter(whole)
+
+    def first(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x = _entries(batch)[0]
+        return [np.stack([x.sum(axis=0), np.full(x.shape[1], float(len(x)))])]
+
+    sums = _matrix_sums(rows, first, ["s"])["s"]
+    if not len(sums):
+        raise ValueError("no row is filled")
+    n = int(sums[1][0])
+    mean = sums[0] / n
+
+    def second(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x = _entries(batch)[0] - mean
+        return [x.T @ x]
+
+    return n, mean, _matrix_sums(rows, second, ["p"])["p"]
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

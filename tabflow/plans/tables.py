@@ -35,7 +35,25 @@ def collapse_titles(title):
 def scan_csv_header(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "csv")
     io.write_csv(t.customer, path)
-    return io.read_csv(t.spark, path, t.customer.schema)
+    return io.read_csv(t.spark, path, t.customer.schema, exact=True)
+
+
+@query("csv_round_trip", "select * from documents union all select -doc_id, case when doc_id % 2 = 0 then '' end, null, concat(' \\N\\n\\', chr(10), chr(13), '\"', source, ' '), n_chars from documents")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Texts with line breaks, quotes, blanks and backslashes, empty texts and NULLs, written and read back."""
+    path = fresh_path(t.spark, "csv")
+    text = F.when(F.col("doc_id") % 2 == 0, "")
+    odd = F.concat(F.lit(' \\N\\n\\\n\r"'), "source", F.lit(" "))
+    more = t.documents.select((-F.col("doc_id")).alias("doc_id"), text.alias("text"), F.lit(None).cast("string").alias("lang"), odd.alias("source"), "n_chars")
+    io.write_csv(t.documents.unionByName(more), path)
+    return io.read_csv(t.spark, path, t.documents.schema, exact=True)
+
+
+@query("scan_csv_inferred", "select cast(p_partkey as integer) as p_partkey, p_name, p_brand, cast(p_size as integer) as p_size, p_retailprice from part")
+def scan_csv_inferred(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "csv")
+    io.write_csv(t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), path)
+    return io.read_csv(t.spark, path, exact=True)
 
 
 @query("scan_csv_named", "select s_suppkey as id, s_name as name, s_nationkey as nation, s_acctbal as balance from supplier")
@@ -57,7 +75,7 @@ def scan_incremental_append(t: Tables) -> DataFrame:
     io.write_csv(columns.filter(F.col("l_linestatus") == "O"), path, append=True)
     io.write_csv(columns.filter(F.col("l_linestatus") != "O"), path, append=True)
     q = F.col("l_quantity")
-    out = io.read_csv(t.spark, path, columns.schema).groupBy("l_orderkey").agg(
+    out = io.read_csv(t.spark, path, columns.schema, exact=True).groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n"), F.avg(q).alias("mean"), F.percentile(q, 0.5).alias("median"),
         F.max(q).alias("top"), F.min(q).alias("low"), F.stddev_samp(q).alias("std"),
     )
@@ -103,7 +121,7 @@ def sink_csv(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "sink")
     io.write_csv(t.orders.filter(F.col("o_orderstatus") == "F"), path)
     io.write_csv(t.orders.filter(F.col("o_orderstatus") != "F"), path, append=True)
-    return io.read_csv(t.spark, path, t.orders.schema)
+    return io.read_csv(t.spark, path, t.orders.schema, exact=True)
 
 
 @query("submission_table", "select vec_id as image_id, cast(list_position(embedding, list_max(embedding)) - 1 as integer) as label from embeddings")

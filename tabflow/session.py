@@ -15,26 +15,45 @@ from pyspark.util import inheritable_thread_target
 LOOKUP_ROWS = 50_000
 
 
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    folder of its own, because executors on other machines could not read it.
+    The cluster names it in ``spark.checkpoint.dir``; the session's own settings are only read. A local session
+    without one gets a folder of its own, because its executors are on the same machine.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            named = tempfile.mkdtemp(prefix="tabflow-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = "file:" + tempfile.mkdtemp(prefix="tabflow-")
+        named = _LOCAL[sc.applicationId]
+    return f"{named.rstrip('/')}/tabflow-{sc.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has written to yet."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing has written to yet; ``release`` deletes it."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far and return how many there were.
+
+    For callers who are done with all results: a DataFrame that still reads from one of them fails afterwards.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

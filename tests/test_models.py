@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabflow.operators import anomaly, images, metrics, models, rows, tune
-from tabflow.session import attach, fresh_path, work_dir
+from tabflow.session import attach, fresh_path, release, work_dir
 from tabflow.sources import tables as io
 
 
@@ -263,23 +263,42 @@ def test_augmentation(spark):
 
 
 def test_csv_round_trips(spark):
-    df = spark.createDataFrame([(1, "a,b", 0.1), (2, None, None), (3, "q\"x", float("nan"))], "id long, s string, x double")
+    texts = ["a,b", None, 'q"x', "", " outer ", "two\nlines", "\r\n", "\\N", "\\n", "\\", "\\s\\", '"', "\t", "null", "é,\U0001d4b3\n\"\""]
+    df = spark.createDataFrame([(i, t, float(i) if i else float("nan")) for i, t in enumerate(texts)], "id long, s string, x double")
     path = fresh_path(spark, "t")
     io.write_csv(df, path)
     io.write_csv(df, path, append=True)
-    got = sorted(map(tuple, io.read_csv(spark, path, df.schema).collect()))
-    assert len(got) == 6 and got[0] == (1, "a,b", 0.1) and got[2][1:] == (None, None) and got[4][2] is None
+    got = sorted((r.id, r.s, r.x) for r in io.read_csv(spark, path, df.schema, exact=True).filter("id > 0").collect())
+    assert got == sorted([(i, t, float(i)) for i, t in enumerate(texts) if i] * 2)
+    assert io.read_csv(spark, path, df.schema, exact=True).filter("x is null").count() == 2
+    assert io.read_csv(spark, path, exact=True).dtypes == [("id", "int"), ("s", "string"), ("x", "double")]
     with pytest.raises(Exception, match="exists"):
         io.write_csv(df, path)
 
 
+def test_csv_of_others(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('id,name\n1,"two\nlines"\n2,\n3,"say ""x"""\n')
+    rows = io.read_csv(spark, str(tmp_path / "f.csv"), multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, None), (3, 'say "x"')]
+
+
+def test_release(spark):
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    before = spark.sparkContext.getCheckpointDir()
+    assert release(spark) >= 1 and release(spark) == 0
+    assert spark.sparkContext.getCheckpointDir() == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_attach_both_ways(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, k string")
     side = spark.createDataFrame([("a", 1.0)], "k string, m double")
     small = sorted(map(str, attach(df, side, ["k"]).collect()))
     monkeypatch.setattr("tabflow.session.LOOKUP_ROWS", 0)
     assert sorted(map(str, attach(df, side, ["k"]).collect())) == small
-    assert work_dir(spark).startswith("file:")
+    assert work_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
 def test_probability_vector_shape(rings):

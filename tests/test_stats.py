@@ -189,6 +189,62 @@ def test_covariance_both_ways(spark):
             assert r["mean_i"] == pytest.approx(x[:, i].mean())
 
 
+def test_covariance_with_gaps_both_ways(spark, monkeypatch):
+    """NULL, NaN, a constant, an empty and a nearly empty column: the wide way equals the narrow one."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 30)) + 1e3
+    rows = [[None if rng.random() < 0.2 and j % 3 == 0 else float(v) for j, v in enumerate(line)] for line in x]
+    for i, line in enumerate(rows):
+        line[1], line[2], line[4] = 7.0, None, 5.0 if i == 3 else None
+        if i in (5, 6):
+            line[8] = float("nan")
+        line[9] = None if i == 5 else line[9]
+        line[10] = None if i in (5, 6) else line[10]
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(4)
+    found = {}
+    for limit in (0, 10_000):
+        monkeypatch.setattr(stats, "_PAIRS_IN_ONE_AGG", limit)
+        found[limit] = {(r.col_i, r.col_j): (r.mean_i, r.mean_j, r["cov"]) for r in stats.mean_cov(df, cols).collect()}
+    assert set(found[0]) == set(found[10_000])
+    for k, narrow in found[10_000].items():
+        for a, b in zip(found[0][k], narrow, strict=True):
+            assert (a is None) == (b is None), (k, found[0][k], narrow)
+            assert a is None or a == pytest.approx(b, nan_ok=True, abs=1e-9), (k, found[0][k], narrow)
+    assert found[0]["c8", "c10"][2] == pytest.approx(found[0]["c8", "c10"][2]) and np.isnan(found[0]["c8", "c9"][2]) and found[0]["c2", "c3"] == (None, pytest.approx(found[0]["c0", "c3"][1]), None)
+    monkeypatch.setattr(stats, "_PAIRS_IN_ONE_AGG", 0)
+    clean = [c for c in cols if c not in ("c2", "c4", "c8")]
+    assert "c1" not in scale.independent_columns(df, clean) and len(scale.independent_columns(df, clean)) == len(clean) - 1
+    assert {r["corr"] for r in stats.corr_matrix(df, clean).filter("col_i = 'c1'").collect()} == {None}
+
+
+def test_gram_moments_leave_out_gaps(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 5.0],), ([None, 1.0],), ([float("nan"), 1.0],), (None,)], "v array<double>")
+    n, mean, gram = stats.gram_moments(df, "v")
+    assert n == 2 and mean.tolist() == [2.0, 3.5] and gram.tolist() == [[2.0, 3.0], [3.0, 4.5]]
+
+
+@pytest.mark.parametrize("values", [[0, 1], [5], [1, 1, 1, 2], list(range(7)), [0, 0, 0, 0, 1, 9], [-1.5, 2.5, 2.5]])
+def test_rank_search_ends_on_ties(spark, values):
+    """Flags, constants and heavy ties at every kind of border, with small limits."""
+    import itertools
+
+    column = sorted(itertools.islice(itertools.cycle(values), 600))
+    df = spark.createDataFrame([(float(v),) for v in column] + [(None,)], "x double").repartition(3)
+    edges = [i for i in range(1, 600) if column[i] != column[i - 1]]
+    for rank in sorted({0, 1, 299, 300, 301, 599, *edges[:3], *(e - 1 for e in edges[:3])}):
+        value, below, equal = quantiles.find_rank(df, "x", rank, small=2)
+        assert (value, below, equal) == (column[rank], column.index(column[rank]), column.count(column[rank]))
+
+
+def test_quantiles_of_flags(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_FETCH_ROWS", 10)
+    monkeypatch.setattr(quantiles, "FINAL", 2)
+    df = spark.range(1000).select((F.col("id") % 2).cast("double").alias("flag"), (F.col("id") % 4 == 0).cast("double").alias("rare"), F.lit(3.0).alias("same"))
+    got = quantiles.exact_quantiles(df, ["flag", "rare", "same"], [0.0, 0.25, 0.5, 0.75, 1.0], small=50)
+    assert got == {"flag": [0, 0, 0.5, 1, 1], "rare": [0, 0, 0, 0.25, 1], "same": [3] * 5}
+
+
 def test_whitened_covariance_is_identity(spark):
     x, df = matrix(spark)
     pca = scale.fit_pca(df, "v", 4)
