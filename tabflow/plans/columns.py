@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions import arrays, dates, maths, text
-from tabflow.operators import clean, encode, images, scale
+from tabflow.operators import clean, encode, images, scale, stats
 from tabflow.plans.registry import R, Tables, query, r, rounded
 from tabflow.plans.tables import orders_with_gaps
 
@@ -291,15 +291,21 @@ def rank_reduce(t: Tables) -> DataFrame:
     return data.select("row_key", *scale.independent_columns(data, ["s1", "twice", "s2", "mixed", "s4"]))
 
 
-@query("pca_whiten")
+@query("pca_whiten", "select cast(a as integer) as i, cast(b as integer) as j, 0.0::double as mean, case when a = b then 1.0::double else 0.0::double end as cov from range(8) x(a), range(8) y(b) where a <= b")
 def pca_whiten(t: Tables) -> DataFrame:
-    return scale.fit_pca(t.image, "pixels", 8).whiten(t.image, "pixels").select("image_id", "whitened")
+    """Whitened components have mean 0, variance 1 and no covariance."""
+    white = scale.fit_pca(t.image, "pixels", 8).whiten(t.image, "pixels").select("image_id", *[F.col("whitened")[i].alias(str(i)) for i in range(8)])
+    found = stats.mean_cov(white, [str(i) for i in range(8)])
+    return rounded(found.select(F.col("col_i").cast("int").alias("i"), F.col("col_j").cast("int").alias("j"), F.col("mean_i").alias("mean"), "cov"))
 
 
-@query("feature_clusters")
+@query("feature_clusters", "select image_id, 10 as n_kept, true as are_entries from image")
 def feature_clusters(t: Tables) -> DataFrame:
+    """Ten different entries of the vector are kept."""
     kept = scale.feature_clusters(t.image, "pixels", 10, 8)
-    return t.image.select("image_id", *[F.col("pixels")[i].alias(f"p{i}") for i in kept])
+    entries = F.array(*[F.col("pixels")[i] for i in kept])
+    rising = kept == sorted(set(kept)) and 0 <= kept[0] and kept[-1] < 64
+    return t.image.select("image_id", F.size(entries).alias("n_kept"), (F.forall(entries, lambda v: v.isNotNull()) & F.lit(rising)).alias("are_entries"))
 
 
 # --- arrays and images ---
@@ -326,9 +332,13 @@ def pixel_reshape(t: Tables) -> DataFrame:
     return lines.select("image_id", "y", F.posexplode("line").alias("x", "cell")).select("image_id", "y", "x", F.col("cell")[0].alias("v"))
 
 
-@query("image_augment")
+@query("image_augment", "select image_id, 64 as n_pixels, true as in_range, true as moved from image")
 def image_augment(t: Tables) -> DataFrame:
-    return images.augment(t.image, "image_id", "pixels", 8)
+    """Size stays, values stay within those of the image or empty, and something moved."""
+    out = images.augment(t.image, "image_id", "pixels", 8).select("image_id", F.col("pixels").alias("after")).join(t.image.select("image_id", "pixels"), "image_id")
+    low, high = F.least(F.array_min("pixels"), F.lit(0.0)), F.greatest(F.array_max("pixels"), F.lit(0.0))
+    inside = (F.array_min("after") >= low - 1e-6) & (F.array_max("after") <= high + 1e-6)
+    return out.select("image_id", F.size("after").alias("n_pixels"), inside.alias("in_range"), (F.col("after") != F.col("pixels")).alias("moved"))
 
 
 @query("image_sample", "select image_id, label from image order by md5(concat(cast(image_id as varchar), '157')), image_id limit 9")
