@@ -6,6 +6,17 @@ import numpy as np
 import pyarrow as pa
 
 
+def layout(total_bytes: int, block_bytes: int, most_blocks: int = 4096, largest: int = 32 << 20) -> tuple[int, int]:
+    """Blocks of texts, and buckets of hashes.
+
+    Blocks grow to ``largest`` bytes of text before there are more than ``most_blocks``. A bucket gets what about eight blocks send, a few
+    bytes for every word. Blocks send one row for each bucket they have hashes in, so never more rows than hashes.
+    """
+    block_bytes = max(block_bytes, min(largest, -(-total_bytes // most_blocks)))
+    blocks = max(1, -(-total_bytes // block_bytes))
+    return blocks, max(min(blocks, 32), -(-blocks // 8))
+
+
 def cut(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers in use for ascending hashes, and where each begins."""
     bucket = ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

@@ -126,13 +126,13 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         raise ValueError(f"window is at least {PERIOD}")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    blocks = max(1, -(-size // block_bytes))
+    blocks, buckets = X.layout(size, block_bytes)
     # Repeated rows are dealt out, too.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(blocks))).repartition("block")
 
     def anchors(table: pa.Table) -> pa.Table:
         found = Block(table, window).anchors
-        bucket, at = X.cut(found, blocks)
+        bucket, at = X.cut(found, buckets)
         block = table.column("block")[0].as_py()
         return pa.table({"bucket": bucket, "block": pa.array(np.full(len(at), block)), "base": pa.array(at.astype(np.int64)), "hashes": X.packed(found, at)})
 
@@ -156,7 +156,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             own = Block(table, window)
             big, small, least, _, _ = own.sent(marked(own, replies))
             block = table.column("block")[0].as_py()
-        bucket, at = X.cut(big, blocks)
+        bucket, at = X.cut(big, buckets)
         return pa.table({"bucket": bucket, "block": pa.array(np.full(len(at), block, np.int64)), "base": pa.array(at.astype(np.int64)),
                          "big": X.packed(big, at), "small": X.packed(small, at), "least": X.packed(least, at)})
 
