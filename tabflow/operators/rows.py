@@ -1,6 +1,6 @@
 """Positions without a global sort: row numbers, prefix sums, slices, folds and splits.
 
-Rows are first cut into contiguous ranges of the leading order column. The range borders are
+Rows are first cut into contiguous ranges of the leading order columns. The range borders are
 literals, so recomputing a lost task assigns every row to the same range. Per-range totals (at
 most ``MAX_RANGES`` rows per series) give each range its offset, and only rows of one range are
 sorted together. A series that holds a third of the table is therefore spread over many tasks.
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -37,32 +39,67 @@ def _as_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def with_ranges(df: DataFrame, name: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """Add the range number of column ``name``; also return how many ranges there are.
+def with_ranges(df: DataFrame, order_by: str | Sequence[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """Add the range number of the rows in an order; also return how many ranges there are.
 
-    The number never decreases with the column, so ranges can be laid end to end.
+    The number never decreases along the order, so ranges can be laid end to end. Ranges are cut by the first column; a value
+    of it that alone fills several ranges is cut by the second column, if that is a number or a time.
     """
-    number = _as_number(df, name)
+    names = [order_by] if isinstance(order_by, str) else list(order_by)
+    number = _as_number(df, names[0])
     if number is None:
-        return _text_ranges(df, name, range_rows)
+        return _text_ranges(df, names[0], range_rows)
     few = 256
-    n, borders = df.agg(F.count(F.lit(1)), _borders(number, few)).first()
+    n, borders, nulls = df.agg(F.count(F.lit(1)), _borders(number, few), F.count(F.when(number.isNull(), 1))).first()
     wanted = _range_count(n, range_rows, MAX_RANGES)
     if wanted == 1:
         return df.withColumn(_RANGE, F.lit(0)), 1
-    if wanted > few:
+    borders = borders or []
+    if wanted > few and borders:
         borders = df.agg(_borders(number, wanted)).first()[0]
-    else:
+    elif borders:
         step = len(borders) / wanted
         borders = [borders[int(i * step)] for i in range(1, wanted)]
-    splits = [-math.inf, *sorted({b for b in borders if math.isfinite(b)}), math.inf]
-    if len(splits) < 3:
-        return df.withColumn(_RANGE, F.lit(0)), 1
-    cut = Bucketizer(splits=splits, inputCol="__number", outputCol="__cut")
+    borders = [b for b in borders if math.isfinite(b)]
+    splits = [-math.inf, *sorted(set(borders)), math.inf]
     # NULL sorts first and NaN last, in the ranges as in the order itself.
-    placed = F.when(F.isnan(number), F.lit(math.inf)).otherwise(F.coalesce(number, F.lit(-math.inf)))
-    out = cut.transform(df.withColumn("__number", placed))
-    return out.withColumn(_RANGE, F.col("__cut").cast("int")).drop("__number", "__cut"), len(splits) - 1
+    placed = df.withColumn("__number", F.when(F.isnan(number), F.lit(math.inf)).otherwise(F.coalesce(number, F.lit(-math.inf))))
+    if len(splits) < 3:
+        out = placed.withColumn("__cut", F.lit(0.0))
+    else:
+        out = Bucketizer(splits=splits, inputCol="__number", outputCol="__cut").transform(placed)
+    tied = {v: m for v, m in Counter(borders).items() if m > 1}
+    if nulls * wanted > 2 * n:
+        tied[-math.inf] = nulls * wanted // n
+    second = _as_number(df, names[1]) if len(names) > 1 else None
+    if not tied or second is None:
+        return out.withColumn(_RANGE, F.col("__cut").cast("int")).drop("__number", "__cut"), len(splits) - 1
+    return _tied_ranges(out, second, splits, tied)
+
+
+def _tied_ranges(out: DataFrame, second: Column, splits: list[float], tied: dict[float, int]) -> tuple[DataFrame, int]:
+    """Cut the ranges that begin with a value that fills several by the second column."""
+    spark, parts = out.sparkSession, max(tied.values()) + 1
+    after = F.when(F.isnan(second), F.lit(math.inf)).otherwise(F.coalesce(second, F.lit(-math.inf)))
+    heavy = spark.createDataFrame([(v,) for v in tied], "__number double")
+    # One row per value that fills several ranges, of which there are at most MAX_RANGES / 2.
+    found = out.join(F.broadcast(heavy), "__number", "left_semi").groupBy("__number").agg(_borders(after, parts).alias("b")).collect()
+    inner = {}
+    for v, b in found:
+        m = tied[v]
+        inner[v] = sorted({b[min(len(b) - 1, round(k * len(b) / (m + 1)))] for k in range(1, m + 1)})
+    table, offset = [], 0
+    # A constant column has one range, which begins with its value.
+    starts = splits[:-1] if len(splits) > 2 or -math.inf in tied else [next(iter(tied))]
+    for k, low in enumerate(starts):
+        table.append((float(k), offset, low if low in inner else None, inner.get(low, [])))
+        offset += 1 + (len(inner[low]) + 1 if low in inner else 0)
+    # At most MAX_RANGES rows.
+    known = F.broadcast(spark.createDataFrame(table, "__cut double, __off int, __tie double, __inner array<double>"))
+    own = F.when(F.col("__number") == F.col("__tie"), F.size(F.filter("__inner", lambda b: b <= after))).when(F.col("__number") < F.col("__tie"), F.lit(0))
+    place = F.when(F.col("__tie").isNull(), F.lit(0)).otherwise(F.coalesce(own, F.size("__inner") + 1))
+    out = out.join(known, "__cut").withColumn(_RANGE, (F.col("__off") + place).cast("int"))
+    return out.drop("__number", "__cut", "__off", "__tie", "__inner"), offset
 
 
 def _range_count(n: int, range_rows: int, most: int) -> int:
@@ -86,7 +123,10 @@ def _text_ranges(df: DataFrame, name: str, range_rows: int) -> tuple[DataFrame,
 
     @F.pandas_udf("int")
     def place(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: 0 if v is None else bisect.bisect_right(borders, v)).astype("int32")
+        codes, distinct = pd.factorize(s)
+        spots = np.array([bisect.bisect_right(borders, v) for v in distinct], "int32")
+        # NULL has the code -1 and belongs to the first range.
+        return pd.Series(np.where(codes < 0, 0, spots[codes] if len(spots) else 0).astype("int32"))
 
     return df.withColumn(_RANGE, place(F.col(name))), len(borders) + 1
 
@@ -119,7 +159,7 @@ def row_index(
 
     A row whose series key is NULL belongs to no series and gets NULL.
     """
-    cut, ranges = with_ranges(df, order_by[0], range_rows)
+    cut, ranges = with_ranges(df, order_by, range_rows)
     within = Window.partitionBy(*partition_by, *([_RANGE] if ranges > 1 else [])).orderBy(*order_by)
     numbered = cut.withColumn(name, F.row_number().over(within).cast("long") + F.lit(start - 1))
     if ranges == 1:
@@ -139,7 +179,7 @@ def prefix_sums(
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Running sums in order, the current row included."""
-    cut, ranges = with_ranges(df.withColumns(sums), order_by[0], range_rows)
+    cut, ranges = with_ranges(df.withColumns(sums), order_by, range_rows)
     parts = [*partition_by, *([_RANGE] if ranges > 1 else [])]
     within = Window.partitionBy(*parts).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     running = cut.withColumns({s: F.sum(s).over(within) for s in sums})

@@ -131,3 +131,19 @@ def test_stratified_folds_keep_shares(spark):
     counts = rows.stratified_folds(df, "id", "label", 8, range_rows=50).groupBy("fold").agg(F.sum("label"), F.count("*")).collect()
     assert len(counts) == 8
     assert all(12 <= c[1] <= 13 and 49 <= c[2] <= 51 for c in counts)
+
+
+@pytest.mark.parametrize("leads", [[0.0, 1.0], [5.0], [0.0, 1.0, 1.0, 2.0] * 40 + [float("nan")], [0.0, 0.0, 0.0, 1.0, 2.0, None, None], [None], [float(i) for i in range(40)] + [7.0] * 60])
+def test_tied_leading_key_is_spread(spark, leads):
+    rng = random.Random(7)
+    data = [(rng.choice(leads), None if rng.random() < 0.02 else float("nan") if rng.random() < 0.02 else rng.randrange(1500) / 8, i) for i in range(6000)]
+    df = spark.createDataFrame(data, "a double, b double, id long").repartition(5)
+    cut, ranges = rows.with_ranges(df, ["a", "b", "id"], 300)
+    sizes = {r[0]: r[1] for r in cut.groupBy("__range").count().collect()}
+    assert max(sizes) < ranges and max(sizes.values()) <= 900
+
+    def order(v):
+        return (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+
+    want = {r[2]: i for i, r in enumerate(sorted(data, key=lambda r: (order(r[0]), order(r[1]), r[2])))}
+    assert {r["id"]: r["idx"] for r in rows.row_index(df, ["a", "b", "id"], range_rows=300).collect()} == want
