@@ -51,12 +51,14 @@ def threshold_sweep(df: DataFrame, true: str, p: str, steps: int = 1000) -> Data
 
     One pass: each row falls in the first threshold that calls it positive, and running totals
     over at most ``steps + 1`` buckets give every threshold its counts. The first best threshold
-    wins, and the counts returned are its own.
+    wins, and the counts returned are its own. As in ``apply_threshold``, a NaN score is never below a threshold, and
+    rows with a NULL do not count.
     """
-    rows = df.select(F.col(true).alias("__y"), F.col(p).cast("double").alias("__p")).na.drop()
-    low, high, n, positives = rows.agg(F.min("__p"), F.max("__p"), F.count(F.lit(1)), F.sum(F.col("__y").cast("long"))).first()
+    rows = df.select(F.col(true).alias("__y"), F.col(p).cast("double").alias("__p")).filter("__y is not null and __p is not null")
+    real = F.when(~F.isnan("__p"), F.col("__p"))
+    low, high, n, positives = rows.agg(F.min(real), F.max(real), F.count(F.lit(1)), F.sum(F.col("__y").cast("long"))).first()
     names = ["epsilon", "tp", "tn", "fp", "fn", "precision", "recall", "f1"]
-    if not n or low == high:
+    if low is None or low == high:
         return df.sparkSession.createDataFrame([], "epsilon double, tp long, tn long, fp long, fn long, precision double, recall double, f1 double")
     step = (high - low) / steps
 
@@ -67,7 +69,7 @@ def threshold_sweep(df: DataFrame, true: str, p: str, steps: int = 1000) -> Data
     # Rounding may put the guess off by one either way; the strict comparison decides.
     first = F.when(F.col("__p") < edge(guess), guess).when(F.col("__p") < edge(guess + 1), guess + 1).otherwise(guess + 2)
     first = F.when((guess > 0) & (F.col("__p") < edge(guess - 1)), guess - 1).otherwise(first)
-    tally = rows.groupBy(F.least(first, F.lit(steps)).alias("i")).agg(
+    tally = rows.filter(~F.isnan("__p")).groupBy(F.least(first, F.lit(steps)).alias("i")).agg(
         F.sum((F.col("__y") == 1).cast("long")).alias("pos"), F.sum((F.col("__y") == 0).cast("long")).alias("neg")
     )
     grid = df.sparkSession.range(steps).select(F.col("id").alias("i"))

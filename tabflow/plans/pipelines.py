@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions import text
+from tabflow.functions.hashing import integer_jitter
 from tabflow.functions.maths import ratio_squared
 from tabflow.operators import anomaly, clean, encode, metrics, rows, scale, series
 from tabflow.plans.registry import R, Tables, query, rounded
 from tabflow.plans.tables import KEPT_TITLES, collapse_titles
-from tabflow.session import cut_lineage
+from tabflow.session import attach, cut_lineage
 
 # Metadata columns that are not features.
 NOT_FEATURES = ["distmod", "hostgal_specz", "target", "object_id", "decl", "hostgal_photoz", "hostgal_photoz_err"]
@@ -86,34 +88,73 @@ def light_curve_features_old_query(t: Tables) -> DataFrame:
     return rounded(light_curve_features(t.light_curve_obs, t.object_meta, BANDS, "old"))
 
 
-def passenger_features(
-    df: DataFrame, key: str, label: str, categorical: Sequence[str] = ("embarked",), seed: int = 157
-) -> DataFrame:
-    """Scaled feature table of passengers: titles, family, imputed and binned age, binned fare, indicators."""
-    known = df.filter(F.col("embarked").isNotNull())
-    base = known.withColumns(
-        {
-            "title": text.after_comma_word(F.col("name")),
-            "surname": text.before_comma(F.col("name")),
-            "alone": ((F.col("sibsp") == 0) & (F.col("parch") == 0)).cast("int"),
-            "family_count": F.col("sibsp") + F.col("parch"),
-        }
-    )
-    base = encode.label_encode(base, "surname").drop("surname")
-    aged = clean.impute_group_mean(base, key, "title", "age", ["Mr", "Mrs", "Miss"], seed)
-    ages, fares = encode.equal_width_edges(aged, "age", 5), encode.quantile_edges(aged, "fare", 4)
-    binned = aged.withColumns(
-        {
-            "age_range": encode.bin_by_edges(F.col("age"), ages),
-            "fare_range": encode.bin_by_edges(F.col("fare"), fares),
-            "title": collapse_titles(F.col("title")),
-        }
+@dataclass(frozen=True)
+class PassengerFeatures:
+    """What was learnt from one table of passengers: codes, means, edges, categories and scales; ``transform`` prepares any other alike.
+
+    A surname that was not seen has no code and is scaled as NULL, a title that was not seen has no mean age, an age or fare
+    beyond the edges is in the outer bin. Rows without a port are left out, as in the fit.
+    """
+
+    key: str
+    keep: list[str]
+    categorical: list[str]
+    seed: int
+    surnames: DataFrame
+    mean_age: DataFrame
+    ages: list[float]
+    fares: list[float]
+    values: dict[str, list]
+    scaler: scale.Affine | None = None
+
+    def _filled(self, df: DataFrame) -> DataFrame:
+        known = df.filter(F.col("embarked").isNotNull()).withColumns(
+            {
+                "title": text.after_comma_word(F.col("name")),
+                "surname": text.before_comma(F.col("name")),
+                "alone": ((F.col("sibsp") == 0) & (F.col("parch") == 0)).cast("int"),
+                "family_count": F.col("sibsp") + F.col("parch"),
+            }
+        )
+        coded = encode.label_encode(known, "surname", codes=self.surnames).drop("surname")
+        jitter = F.when(F.col("title").isin(["Mr", "Mrs", "Miss"]), integer_jitter(self.key, self.seed)).otherwise(F.lit(0))
+        filled = attach(coded, self.mean_age, ["title"])
+        return filled.withColumn("age", F.coalesce("age", F.ceil("__mean").cast("double") + jitter)).drop("__mean")
+
+    def _coded(self, filled: DataFrame) -> DataFrame:
+        binned = filled.withColumns(
+            {
+                "age_range": encode.bin_by_edges(F.col("age"), self.ages),
+                "fare_range": encode.bin_by_edges(F.col("fare"), self.fares),
+                "title": collapse_titles(F.col("title")),
+            }
+        )
+        kept = binned.select(self.key, *[c for c in self.keep if c in binned.columns], "surname_code", "alone", "family_count", *self.categorical, "age_range", "fare_range", "title")
+        return encode.one_hot(kept, [*self.categorical, "age_range", "fare_range", "title"], self.values)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.scaler.transform(self._coded(self._filled(df)))
+
+
+def fit_passengers(df: DataFrame, key: str, label: str, categorical: Sequence[str] = ("embarked",), seed: int = 157) -> PassengerFeatures:
+    """Learn all that the feature table of passengers needs; the label is carried along where a table has it."""
+    known = cut_lineage(
+        df.filter(F.col("embarked").isNotNull()).withColumns({"title": text.after_comma_word(F.col("name")), "surname": text.before_comma(F.col("name"))})
     )
-    kept = binned.select(key, label, "surname_code", "alone", "family_count", *categorical, "age_range", "fare_range", "title")
-    values = {"age_range": range(5), "fare_range": range(4), "title": sorted([*KEPT_TITLES, "Other"])}
+    surnames = cut_lineage(encode.label_codes(known, "surname"))
+    mean_age = cut_lineage(known.groupBy("title").agg(F.avg("age").alias("__mean")))
+    values = {"age_range": list(range(5)), "fare_range": list(range(4)), "title": sorted([*KEPT_TITLES, "Other"])}
     values |= {c: encode.categories(known, c) for c in categorical}
-    coded = encode.one_hot(kept, [*categorical, "age_range", "fare_range", "title"], {c: list(v) for c, v in values.items()})
-    return scale.standardise(coded, [c for c in coded.columns if c not in (key, label)])
+    fit = PassengerFeatures(key, [label], list(categorical), seed, surnames, mean_age, [], [], values)
+    filled = cut_lineage(fit._filled(df))
+    fit = replace(fit, ages=encode.equal_width_edges(filled, "age", 5), fares=encode.quantile_edges(filled, "fare", 4))
+    coded = fit._coded(filled)
+    return replace(fit, scaler=scale.fit_standard(coded, [c for c in coded.columns if c not in (key, label)]))
+
+
+def passenger_features(df: DataFrame, key: str, label: str, categorical: Sequence[str] = ("embarked",), seed: int = 157) -> DataFrame:
+    """Scaled feature table of passengers: titles, family, imputed and binned age, binned fare, indicators."""
+    return fit_passengers(df, key, label, categorical, seed).transform(df)
 
 
 _TITLE = "split_part(split_part(name, ', ', 2), '.', 1)"
@@ -145,13 +186,36 @@ def passenger_features_query(t: Tables) -> DataFrame:
     return rounded(passenger_features(t.passenger, "passenger_id", "survived"))
 
 
+@dataclass(frozen=True)
+class HouseFeatures:
+    """Fills, codes of text columns and scales learnt from one table; a text that was not seen has no code and is scaled as NULL."""
+
+    fill: dict
+    required: list[str]
+    codes: dict[str, DataFrame]
+    scaler: scale.Affine | None = None
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        full = df.na.fill(self.fill).na.drop(subset=self.required)
+        for c, codes in self.codes.items():
+            full = encode.label_encode(full, c, codes=codes).drop(c).withColumnRenamed(f"{c}_code", c)
+        return full
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.scaler.transform(self._coded(df))
+
+
+def fit_houses(train: DataFrame, key: str, label: str, fill: dict, required: Sequence[str]) -> HouseFeatures:
+    full = train.na.fill(fill).na.drop(subset=list(required))
+    codes = {c: cut_lineage(encode.label_codes(full, c)) for c in clean.columns_of_type(full, "string")}
+    fit = HouseFeatures(fill, list(required), codes)
+    coded = fit._coded(train)
+    return replace(fit, scaler=scale.fit_standard(coded, [c for c in coded.columns if c not in (key, label)]))
+
+
 def house_features(train: DataFrame, key: str, label: str, fill: dict, required: Sequence[str]) -> DataFrame:
     """Fill gaps, drop rows without the required columns, encode text columns, scale."""
-    full = train.na.fill(fill).na.drop(subset=list(required))
-    names = clean.columns_of_type(full, "string")
-    for c in names:
-        full = encode.label_encode(full, c).drop(c).withColumnRenamed(f"{c}_code", c)
-    return scale.standardise(full, [c for c in full.columns if c not in (key, label)])
+    return fit_houses(train, key, label, fill, required).transform(train)
 
 
 @query(
@@ -165,6 +229,62 @@ def house_features_query(t: Tables) -> DataFrame:
     return rounded(house_features(t.house, "id", "sale_price", {"lot_frontage": 0.0, "alley": "NA"}, ["sale_type"]))
 
 
+_PARTS = """with x as (select *, case when row_number() over (order by md5(concat(cast({key} as varchar), '157'))) <= ceil(0.2 * (select count(*) from {table})) then 1 else 0 end as is_test from {table}"""
+
+
+def _apart(e: str, name: str) -> str:
+    """A column of the test rows on the scale of the training rows."""
+    spread = f"(select stddev_pop({e}) from j where is_test = 0)"
+    return R(f"(({e}) - (select avg({e}) from j where is_test = 0)) / case when {spread} = 0 then 1 else {spread} end") + f" as {name}"
+
+
+@query(
+    "house_fit_transform",
+    _PARTS.format(key="id", table="house")
+    + f"""), f as (select id, sale_price, is_test, coalesce(lot_frontage, 0) as f, coalesce(alley, 'NA') as a, sale_type as s from x where sale_type is not null),
+    ca as (select a, row_number() over (order by a) - 1 as ac from (select distinct a from f where is_test = 0)),
+    cs as (select s, row_number() over (order by s) - 1 as sc from (select distinct s from f where is_test = 0)),
+    j as (select f.*, ac, sc from f left join ca on f.a = ca.a left join cs on f.s = cs.s)
+    select id, sale_price, {_apart('f', 'lot_frontage')}, {_apart('ac', 'alley')}, {_apart('sc', 'sale_type')} from j where is_test = 1""",
+)
+def house_fit_transform(t: Tables) -> DataFrame:
+    """Learnt from four fifths of the rows, applied to the rest."""
+    parts = cut_lineage(rows.split_random(t.house, "id", 0.2))
+    train, test = (parts.filter(F.col("is_test") == i).drop("is_test") for i in (0, 1))
+    return rounded(fit_houses(train, "id", "sale_price", {"lot_frontage": 0.0, "alley": "NA"}, ["sale_type"]).transform(test))
+
+
+@query(
+    "passenger_fit_transform",
+    _PARTS.format(key="passenger_id", table="passenger")
+    + f"""), a as (select *, {_TITLE} as title, split_part(name, ', ', 1) as surname, case when sibsp = 0 and parch = 0 then 1 else 0 end as alone, sibsp + parch as family_count
+    from x where embarked is not null),
+    c as (select surname, row_number() over (order by surname) - 1 as surname_code from (select distinct surname from a where is_test = 0)),
+    m as (select title, avg(age) as mean from a where is_test = 0 group by 1),
+    b as (select a.* exclude (age), surname_code, coalesce(a.age, ceil(mean) + case when a.title in ('Mr', 'Mrs', 'Miss') then {_JITTER} else 0 end) as age,
+    case when a.title = 'Mme' then 'Miss' when a.title in ('Mr', 'Mrs', 'Miss', 'Master') then a.title else 'Other' end as short from a left join c on a.surname = c.surname left join m on a.title = m.title),
+    e as (select min(age) as lo, max(age) as hi, quantile_cont(fare, [0.25, 0.5, 0.75]) as q from b where is_test = 0),
+    j as (select b.*, case when age is null then 0 when age <= floor(lo + (hi - lo) / 5) then 0 when age <= floor(lo + 2 * (hi - lo) / 5) then 1 when age <= floor(lo + 3 * (hi - lo) / 5) then 2
+    when age <= floor(lo + 4 * (hi - lo) / 5) then 3 else 4 end as age_range,
+    case when fare is null then 0 when fare <= q[1] then 0 when fare <= q[2] then 1 when fare <= q[3] then 2 else 3 end as fare_range from b, e)
+    select passenger_id, survived, {_apart('surname_code', 'surname_code')}, {_apart('alone', 'alone')}, {_apart('family_count', 'family_count')},
+    """
+    + ", ".join(
+        _apart(f"case when {c} then 1 else 0 end", n)
+        for n, c in [
+            *((f"embarked_{s}", f"embarked = '{s}'") for s in _SEGMENTS), *((f"age_range_{i}", f"age_range = {i}") for i in range(5)),
+            *((f"fare_range_{i}", f"fare_range = {i}") for i in range(4)), *((f"title_{v}", f"short = '{v}'") for v in [*KEPT_TITLES, "Other"]),
+        ]
+    )
+    + " from j where is_test = 1",
+)
+def passenger_fit_transform(t: Tables) -> DataFrame:
+    """Learnt from four fifths of the passengers, applied to the rest, some of whose surnames are new."""
+    parts = cut_lineage(rows.split_random(t.passenger, "passenger_id", 0.2))
+    train, test = (parts.filter(F.col("is_test") == i).drop("is_test") for i in (0, 1))
+    return rounded(fit_passengers(train, "passenger_id", "survived").transform(test))
+
+
 def gaussian_detection(train: DataFrame, validation: DataFrame, test: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Fit a normal distribution on ``train``, choose the threshold on ``validation``, score ``test``.
 
