@@ -164,3 +164,24 @@ def test_fewer_rows_than_k(spark):
 def test_layout_does_not_matter(points):
     a, b = (rows.tumbling(points.repartition(n), ["mjd", "id"], 5, ["object_id"], range_rows=90).select("id", "window_id") for n in (1, 7))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_hashed_neighbors(spark):
+    """Clustered vectors are found in buckets, crowded ones in pieces; vectors without structure are searched exactly."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 24)) * 3
+    x = centres[rng.integers(30, size=900)] + rng.normal(size=(900, 24)) * 0.5
+    x[:5] = 40 * rng.normal(size=(5, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    planes = neighbors.fit_hash(df, "id", "v", 6)
+    assert planes is not None
+    want = {(r.query_id, r.neighbor_id) for r in neighbors.knn(df, df, "id", "v", 6, exclude_self=True).collect()}
+    for size in (4000, 20):
+        got = {(r.query_id, r.neighbor_id) for r in neighbors.knn_by_hash(df, df, "id", "v", 6, planes, True, piece_rows=size).collect()}
+        assert len(got & want) >= 0.9 * len(want)
+    rows = neighbors.knn_approx(df, df, "id", "v", 6, exclude_self=True).collect()
+    assert len(rows) == 900 * 6 and {r["rank"] for r in rows} == set(range(1, 7))
+    noise = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))], "id long, v array<double>")
+    assert neighbors.fit_hash(noise, "id", "v", 5) is None
+    assert neighbors.knn_approx(noise, noise, "id", "v", 5).count() == 1500
+    assert neighbors.fit_hash(noise.limit(0), "id", "v", 5) is None
