@@ -115,13 +115,14 @@ def window_features(t: Tables) -> DataFrame:
 
 @query(
     "broadcast_window_features",
-    f"""select event_id, user_id, window_id, v as value, {R('m')} as mean, hi as maximum, lo as minimum from ({_WINDOWED})""",
+    f"""with w as ({_WINDOWED}), f as (select user_id, window_id, {', '.join(f"{e if n in _WHOLE else R(e)} as {n}" for n, e in _FEATURES.items())} from w group by 1, 2)
+    select w.event_id, w.v as value, f.* from w join f on w.user_id = f.user_id and w.window_id = f.window_id""",
 )
 def broadcast_window_features(t: Tables) -> DataFrame:
-    placed = rows.tumbling(t.events, ["ts", "event_id"], 5, ["user_id"])
-    feats = series.window_features(placed, ["user_id", "window_id"], ["ts", "event_id"], "value").select("user_id", "window_id", "mean", "maximum", "minimum")
-    out = series.spread_window_features(placed.select("event_id", "user_id", "window_id", "value"), feats, ["user_id", "window_id"])
-    return out.withColumn("mean", r("mean"))
+    """All features of a window on each of its rows; the windows are laid out once."""
+    placed = cut_lineage(rows.tumbling(t.events.select("event_id", "user_id", "ts", "value"), ["ts", "event_id"], 5, ["user_id"]))
+    feats = rounded(series.window_features(placed, ["user_id", "window_id"], ["ts", "event_id"], "value"))
+    return series.spread_window_features(placed.select("event_id", "user_id", "window_id", "value"), feats, ["user_id", "window_id"])
 
 
 @query("label_series_window", "select idx // 6 as block, idx as time, value from (select value, row_number() over (order by event_id) - 1 as idx from events)")
