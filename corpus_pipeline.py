@@ -13,8 +13,8 @@ from tabflow.llm.pathjoin import near_duplicates
 from tabflow.llm.pii import fit_candidates, redact
 from tabflow.session import cut_lineage, fresh_path
 
-# A text whose words speak for one language less than this is rejected.
-LEAST_LANGUAGE = 0.5
+# A text is rejected if no language has at least this share of its words; one that mixes two languages stays.
+LEAST_LANGUAGE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
