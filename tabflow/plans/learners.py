@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.operators import anomaly, metrics, models, rows, tune
+from tabflow.operators import anomaly, metrics, models, neighbors, rows, tune
 from tabflow.operators.models import with_features
 from tabflow.operators.scale import fit_pca
 from tabflow.plans.measures import _SCALED, scaled_sensors
@@ -252,6 +252,25 @@ def param_sweep(t: Tables) -> DataFrame:
         F.bool_and(F.col("score").between(0, 1)).alias("scores_are_shares"))
 
 
+@query("pca_neighbor_sweep", "select cast(i as integer) as config_id, true as mean_holds, true as rank_holds, true as better_than_chance from range(4) r(i)")
+def pca_neighbor_sweep(t: Tables) -> DataFrame:
+    """Components of the vectors x neighbours, F1 averaged over three folds; components are fitted on the training folds only."""
+    folded = rows.stratified_folds(images(t).select("image_id", "pixels", "half"), "image_id", "half", 3)
+
+    def run(train: DataFrame, test: DataFrame, c: dict) -> float | None:
+        pca = fit_pca(train, "pixels", c["components"])
+        known, asked = (cut_lineage(pca.whiten(part, "pixels")) for part in (train, test))
+        near = neighbors.knn(known, asked, "image_id", "whitened", c["neighbors"])
+        voted = neighbors.classify(near, known, "image_id", "half").withColumnRenamed("query_id", "image_id")
+        return metrics.f1_binary(voted.join(asked.select("image_id", "half"), "image_id"), "half", "prediction").first()["f1"]
+
+    table = tune.fold_sweep(folded, "fold", 3, [{"components": n, "neighbors": k} for n in (16, 64) for k in (5, 25)], run)
+    mean = (F.col("fold0") + F.col("fold1") + F.col("fold2")) / 3
+    rank = F.rank().over(Window.orderBy(F.desc(F.round("mean_score", 12))))
+    return table.select(
+        "config_id", (F.abs(mean - F.col("mean_score")) < 1e-12).alias("mean_holds"), (rank == F.col("rank")).alias("rank_holds"), (F.col("mean_score") > 0.4).alias("better_than_chance"))
+
+
 @query(
     "light_curve_classes",
     """select y_true, count(*) as n_test, true as loss_is_positive, true as micro_is_accuracy from (select cast(dense_rank() over (order by target) - 1 as integer) as y_true,

@@ -304,3 +304,28 @@ def test_attach_both_ways(spark, monkeypatch):
 def test_probability_vector_shape(rings):
     m = models.mlp(rings, "y", [2, 4, 2], max_iter=10)
     assert m.transform(rings).select(F.size(vector_to_array("probability"))).distinct().first()[0] == 2
+
+
+def test_fold_sweep_means_and_ranks(spark):
+    df = spark.range(9).select("id", (F.col("id") % 3).cast("int").alias("fold"))
+    table = {"a": [0.5, 0.7, None], "b": [0.4, 0.4, 0.4], "c": [0.1, 0.2, 0.0]}
+    seen = []
+
+    def run(train, test, c):
+        folds = sorted(r.fold for r in test.select("fold").distinct().collect())
+        seen.append((train.count(), test.count()))
+        return table[c["name"]][folds[0]]
+
+    rows = tune.fold_sweep(df, "fold", 3, [{"name": n} for n in "abc"], run, parallelism=1).orderBy("config_id").collect()
+    assert [(round(r.mean_score, 12), r["rank"]) for r in rows] == [(0.4, 1), (0.4, 1), (0.1, 3)]
+    assert set(seen) == {(6, 3)}
+
+
+def test_sweep_and_threshold_agree_on_nan(spark):
+    data = [(1, 0.1), (1, float("nan")), (0, 0.9), (0, 0.8), (1, 0.2), (None, 0.3), (1, None)]
+    df = spark.createDataFrame(data, "y int, p double")
+    best = metrics.threshold_sweep(df, "y", "p", 10).first()
+    assert (best.tp, best.fn, best.fp, best.tn) == (2, 1, 0, 2)
+    again = metrics.apply_threshold(df.filter("y is not null and p is not null"), "y", "p", best.epsilon).first()
+    assert (again.tp, again.fn, again.fp, again.tn, again.f1) == (best.tp, best.fn, best.fp, best.tn, best.f1)
+    assert metrics.threshold_sweep(df.filter("isnan(p)"), "y", "p").count() == 0
