@@ -20,6 +20,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+# Words of every text, as SQL.
+_WORDS = r"w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents)"
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -59,7 +63,20 @@ def op6_path_templates(spark: SparkSession, folder: str) -> DataFrame:
 def op10_chosen_paths(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.pathjoin import near_duplicates
 
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).drop("mark")
+
+
+SQL["op10_chosen_paths"] = f"""with recursive {_WORDS},
+    l as (select doc_id, list_sort(list_distinct(case when len(words) >= 5 then [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]
+        when len(words) > 0 then [array_to_string(words, ' ')] else [] end)) as sh from w),
+    g as (select sh, min(doc_id) as rep, count(*) as copies from l where len(sh) > 0 group by sh),
+    u as (select rep, len(sh) as n, unnest(sh) as x from g),
+    p as (select a.rep as a, b.rep as b from u a join u b on a.x = b.x and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n having 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+    reach(a, b) as (select rep, rep from g union select r.a, p.b from reach r join p on r.b = p.a),
+    c as (select a as rep, min(b) as class_id from reach group by 1),
+    k as (select a as rep, count(*) as n from p group by 1)
+    select l.doc_id, coalesce(class_id, l.doc_id) as class_id, coalesce(k.n, 0) as n_links, coalesce(copies, 1) as n_copies, coalesce(class_id, l.doc_id) = l.doc_id as is_first
+    from l left join g on l.sh = g.sh left join c on g.rep = c.rep left join k on g.rep = k.rep"""
 
 
 @query
@@ -69,6 +86,17 @@ def op7_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows(table(spark, folder, "documents"))
 
 
+SQL["op7_difference_cover"] = f"""with {_WORDS},
+    k as (select doc_id, i, array_to_string(words[i:i + 19], ' ') as t from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from w where len(words) >= 20)),
+    f as (select doc_id, i, min(doc_id) over (partition by t) as first_doc, min(i) over (partition by t, doc_id) as first_i from k),
+    c as (select distinct doc_id, unnest(range(i, i + 20)) as p from f where doc_id > first_doc or i > first_i),
+    r as (select doc_id, count(*) as n from c group by 1),
+    a as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p from w),
+    s as (select a.doc_id, string_agg(word, ' ' order by a.p) as kept from a anti join c on a.doc_id = c.doc_id and a.p = c.p group by 1)
+    select w.doc_id, len(words) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from w left join r on w.doc_id = r.doc_id left join s on w.doc_id = s.doc_id"""
+
+
 @query
 def op9_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.leaks import leaked_items
