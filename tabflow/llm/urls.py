@@ -36,13 +36,12 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, VARIABLE, "*"), "/+$", "")
 
 
-def path_templates(urls: DataFrame, depth: int = 4, max_children: int = 50, min_pages: int = 5, z: float = 2.6, prior: float = 20.0, least_purity: float = 0.5) -> DataFrame:
+def path_templates(urls: DataFrame, depth: int = 4, min_pages: int = 5, z: float = 2.6, prior: float = 20.0, least_purity: float = 0.5) -> DataFrame:
     """Templates and verdicts of all shapes.
 
     ``urls`` has host, shape, bad (1, 0, or null for no label) and n, the pages of the row. Top down, for each host: a segment stays
-    literal if its node has at most ``max_children`` different segments, at least ``min_pages`` pages use it and its share of
-    bad labels differs from that of its siblings by ``z`` standard errors or more; all others are merged into one ``*``
-    branch. Segments beyond ``depth`` count as one ``**``. The purity of a template is its share of good labels, drawn by
+    literal if at least ``min_pages`` pages use it and its share of bad labels differs from that of its siblings by ``z``
+    standard errors or more, however many siblings there are; all others are merged into one ``*`` branch. Segments beyond ``depth`` count as one ``**``. The purity of a template is its share of good labels, drawn by
     ``prior`` labels' weight towards that of its host, which is drawn alike towards that of all pages; a template below
     ``least_purity`` is blocked. Returns host, shape, template, n_labels, purity, verdict; each host and shape once.
     Without any label all is allowed. Counts are summed before anything is joined, so a host with a third of all pages is
@@ -59,12 +58,12 @@ def path_templates(urls: DataFrame, depth: int = 4, max_children: int = 50, min_
     for d in range(1, depth + 1):
         shapes = shapes.withColumn("more", F.size(parts) > d).withColumn("child", F.coalesce(F.get(parts, F.lit(d)), F.lit("")))
         nodes = shapes.filter("more").groupBy("host", "template", "child").agg(*sums)
-        siblings = nodes.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+        siblings = nodes.groupBy("host", "template").agg(F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
         rest = F.col("all_lab") - F.col("lab")
         share = F.col("all_bad") / F.col("all_lab")
         error = F.sqrt(share * (1 - share) * (1 / F.col("lab") + 1 / rest))
         gap = F.abs(F.col("bad") / F.col("lab") - (F.col("all_bad") - F.col("bad")) / rest)
-        stays = (F.col("child") != "*") & (F.col("width") <= max_children) & (F.col("n") >= min_pages) & (F.col("lab") > 0) & (rest > 0) & (error > 0)
+        stays = (F.col("child") != "*") & (F.col("n") >= min_pages) & (F.col("lab") > 0) & (rest > 0) & (error > 0)
         literal = nodes.join(siblings, ["host", "template"]).filter(stays).filter(gap >= z * error).select("host", "template", "child", F.lit(True).alias("stays"))
         step = F.when(F.col("stays"), F.col("child")).otherwise("*")
         shapes = cut_lineage(

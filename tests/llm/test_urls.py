@@ -105,3 +105,12 @@ def test_empty_and_repeated(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted((r.page_id or 0, r.host, r.verdict, r.purity) for r in url_verdicts(pages, labels).collect()) == [(0, "", "allow", 1.0), (1, "a.net", "allow", 1.0), (1, "a.net", "allow", 1.0)]
     assert url_verdicts(pages.limit(0), labels).count() == 0
+
+
+def test_many_siblings(spark):
+    """A bad section stays apart from the others, however many segments its node has."""
+    urls = [(i, f"x://big.net/{'deals' if i % 2 else 'news'}/{i}") for i in range(200)] + [(1000 + i, f"x://big.net/rare-{i}") for i in range(300)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = Counter((r.template, r.verdict) for r in url_verdicts(pages, labels).collect() if r.page_id < 1000)
+    assert got == {("/deals/*", "block"): 100, ("/news/*", "allow"): 100}
