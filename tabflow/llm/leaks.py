@@ -21,7 +21,7 @@ K1, B = 1.2, 0.75
 INDEX_UNITS, RANGE = 4000, 16
 # Share of a unit's own score that a passage reaches, and of the shingles of question and answer it holds.
 LEAST_SCORE, LEAST_OVERLAP, SHINGLE = 0.5, 0.6, 3
-# Items of fewer words are ordinary phrases and match nothing.
+# Items of fewer words match where all their words stand in a row.
 LEAST_WORDS = 5
 # The share of a unit's score that its common words may add up to; they are looked at last.
 COMMON = 0.2
@@ -59,11 +59,15 @@ class Index:
         self.number: dict[str, int] = {}
         postings: dict[int, list[tuple[int, float]]] = {}
         self.item_of, self.question, self.answer, self.words = [], [], [], []
+        self.exact: dict[tuple[int, ...], list[int]] = {}
         for k, (_, terms, n_question) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number)) for w in terms]
             self.question.append(_shingles(ids[:n_question]))
             self.answer.append(_shingles(ids[n_question:]))
             self.words.append(len(ids))
+            if len(ids) < LEAST_WORDS:
+                self.exact.setdefault(tuple(ids), []).append(k)
+                continue
             n_units = max(1, round(len(ids) / UNIT))
             for part in np.array_split(np.array(ids), n_units):
                 values, times = np.unique(part, return_counts=True)
@@ -75,8 +79,12 @@ class Index:
                     postings.setdefault(int(v), []).append((unit, float(x)))
         n, units = len(self.number), len(self.item_of)
         self.ranges = -(-units // RANGE)
-        self.lists = [([u for u, _ in postings[t]], [x for _, x in postings[t]]) for t in range(n)]
-        self.largest = [max(x) for _, x in self.lists]
+        self.lists = [([u for u, _ in postings.get(t, ())], [x for _, x in postings.get(t, ())]) for t in range(n)]
+        self.largest = [max(x, default=0.0) for _, x in self.lists]
+        # For each place in short items of one length, the words that may stand there; the last entry is for unknown words.
+        self.places: dict[int, np.ndarray] = {}
+        for run in self.exact:
+            self.places.setdefault(len(run), np.zeros((len(run), n + 1), bool))[np.arange(len(run)), run] = True
         self.range_largest: list[dict[int, float]] = []
         for us, xs in self.lists:
             best: dict[int, float] = {}
@@ -115,7 +123,7 @@ class Index:
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Units whose score for a set of terms is LEAST_SCORE or more, by block-max WAND."""
         theta, end = LEAST_SCORE - 1e-9, len(self.item_of)
-        cursors = [[self.lists[t][0][0], 0, t] for t in terms]
+        cursors = [[self.lists[t][0][0], 0, t] for t in terms if self.lists[t][0]]
         found = []
 
         def seek(c: list, unit: int) -> None:
@@ -162,6 +170,19 @@ class Index:
                     if c[0] < unit:
                         seek(c, unit)
 
+    def runs(self, terms: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Position and item for every short item whose words stand in a row inside one text."""
+        for n, may in self.places.items():
+            ends = len(terms) - n + 1
+            if ends < 1:
+                continue
+            fits = doc[:ends] == doc[n - 1 :]
+            for k in range(n):
+                fits &= may[k][terms[k : k + ends]]
+            for i in np.nonzero(fits)[0].tolist():
+                for item in self.exact.get(tuple(terms[i : i + n].tolist()), ()):
+                    yield i, item
+
     def overlaps(self, item: int, terms: list[int]) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles among those of ``terms``."""
         sizes = {len(x) for part in (self.question[item], self.answer[item]) for x in list(part)[:1]}
@@ -177,17 +198,22 @@ def leaks(index: Index, texts: pa.Array) -> list[tuple[int, int, int, float, flo
     if not len(codes) or not index.number:
         return []
     number = index.number
-    known = np.fromiter((number.get(plain(w), -1) for w in distinct.to_pylist()), np.int64, len(distinct))
-    terms = known[codes]
+    bare = [plain(w) for w in distinct.to_pylist()]
+    # Words of punctuation only count in neither items nor texts; ``place`` is where the others stand.
+    place = np.nonzero(np.fromiter(map(bool, bare), bool, len(bare))[codes])[0]
+    whole, starts = starts, np.searchsorted(place, starts)
+    terms = np.fromiter((number.get(w, -1) for w in bare), np.int64, len(bare))[codes[place]]
     sizes = np.diff(starts)
     chunks = -(-sizes // STRIDE)
     # An empty stretch after each text: no passage runs into the next.
     first = np.cumsum(chunks + 1) - (chunks + 1)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    chunk = first[doc] + (np.arange(len(codes)) - starts[:-1][doc]) // STRIDE
+    chunk = first[doc] + (np.arange(len(terms)) - starts[:-1][doc]) // STRIDE
     hopeful = np.nonzero(index.hopeful(terms, chunk, int((chunks + 1).sum())))[0]
     owner = np.searchsorted(first, hopeful, "right") - 1
     best: dict[tuple[int, int], tuple] = {}
+    for i, item in index.runs(terms, doc):
+        best.setdefault((int(doc[i]), item), (1.0, -i, 1.0, 1.0))
     for c, d in zip(hopeful.tolist(), owner.tolist(), strict=True):
         lo = int(starts[d]) + (c - int(first[d])) * STRIDE
         hi = min(lo + PASSAGE, int(starts[d + 1]))
@@ -202,7 +228,7 @@ def leaks(index: Index, texts: pa.Array) -> list[tuple[int, int, int, float, flo
                 found = (score, -lo, q, a)
                 if found > best.get((d, item), (0.0,)):
                     best[d, item] = found
-    return [(d, item, -lo - int(starts[d]), score, q, a) for (d, item), (score, lo, q, a) in sorted(best.items())]
+    return [(d, item, int(place[-lo] - whole[d]), score, q, a) for (d, item), (score, lo, q, a) in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", most_units: int = INDEX_UNITS) -> Iterator[Index]:
@@ -216,7 +242,7 @@ def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", mos
                 [batch.column("item"), pa.array([w for w, _ in split], pa.list_(pa.string())), pa.array([n for _, n in split], pa.int32())], names=["item", "words", "n_question"])
 
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).mapInArrow(run, f"item {kind}, words array<string>, n_question int")
-    items = items.filter(F.size("words") >= LEAST_WORDS)
+    items = items.filter(F.size("words") > 0)
     total = items.agg(F.count("*").alias("n"), F.sum(F.ceil(F.size("words") / UNIT)).alias("units"), F.sum(F.size("words")).alias("words")).first()
     if not total.n:
         return
@@ -240,7 +266,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     and an item counts if ``LEAST_OVERLAP`` of the shingles of its question and of its answer lie near the passage. Nothing is shuffled. The
     index is sent to all tasks; it holds ``most_units`` units, and more items take more passes over the texts.
 
-    Null and empty texts hold nothing; items of fewer than ``LEAST_WORDS`` words or null match nothing; repeated texts and items each
+    Words of punctuation only are passed over in items and texts, but count in n_before. An item of fewer than ``LEAST_WORDS`` words counts
+    where all of them stand in a row, with score and overlaps 1. Null and empty texts hold nothing; items without a word match nothing; repeated texts and items each
     give their rows. Other columns are ignored. Without items there are no rows.
     """
     spark = docs.sparkSession

@@ -78,3 +78,20 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in decontaminated(docs, items).collect()) == [2, 4, 5, 6, 7, 8]
     assert leaked_items(docs.limit(0), items).count() == leaked_items(docs, items.limit(0)).count() == 0
     assert decontaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_free_standing_signs(spark):
+    items = spark.createDataFrame([(1, "What do we get ? x - y + z = 7 , or not : never"), (2, "Quelle est la somme de ces nombres ? 3 + 4")], "item_id long, text string")
+    texts = [r.text for r in items.orderBy("item_id").collect()]
+    docs = spark.createDataFrame([(1, f"some - words before ! {texts[0]} and after"), (2, texts[1]), (3, "x - y + z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_before, r.question_overlap, r.answer_overlap) for r in leaked_items(docs, items).collect())
+    assert got == [(1, 1, 0, 1.0, 1.0), (2, 2, 0, 1.0, 1.0)]
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "3 + 4 = 7"), (2, "Muddy Wump?"), (3, "muddy wump"), (4, "Wump"), (5, "? !"), (6, "a longer item of more than five words. It stays as it is")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so - 3 + 4 = 7 ."), (2, "the MUDDY - Wump, the muddy wump"), (3, "wumps are muddy"), (4, "ends with muddy"), (5, "wump begins"), (6, "3 4 8 7"), (7, "? !")], "doc_id long, text string").coalesce(1)
+    want = [(1, 1, 2), (2, 2, 1), (2, 3, 1), (2, 4, 3), (5, 4, 0)]
+    assert sorted((r.doc_id, r.item_id, r.n_before) for r in leaked_items(docs, items).collect()) == want
+    assert sorted((r.doc_id, r.item_id, r.n_before) for r in leaked_items(docs, items.filter("item_id < 6")).collect()) == want
+    assert sorted(r.doc_id for r in decontaminated(docs, items, most_units=1).collect()) == [3, 4, 6, 7]
