@@ -6,8 +6,11 @@ import html
 import re
 from dataclasses import dataclass
 
-# Elements whose content is never text of the page, read up to their end tag.
-RAW = "script|style|noscript|template|iframe|textarea|title|object|svg|math|canvas|audio|video|select"
+# Elements whose content is never text of the page, read up to their end tag; one that closes itself has none.
+RAW = "script|style|noscript|template|iframe|textarea|title"
+# Elements inside a block: what stands in them is a block of its own, and a paragraph around them goes on. Choices of a select are no text.
+INSIDE = frozenset("svg object canvas audio video select".split())
+CHOICES = frozenset("select option".split())
 # Elements that begin and end a block (fixed values).
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -18,7 +21,7 @@ LIKE = frozenset("p li dd dt td th tr option tbody thead tfoot".split())
 SECTIONS = frozenset("article aside footer form header main nav section dialog menu".split())
 VOID = frozenset("hr br img input meta link wbr".split())
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:>.*?(?:</\1\s*+>|\Z)|\Z)|<(/?+)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?+)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:/>|[^>]*+(?:(?<=[\"'\s]/)>|>.*?(?:</\1\s*+>|\Z)|\Z))|<(/?+)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?+)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
@@ -37,12 +40,12 @@ class Block:
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes[:2000]))
+    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
     return tuple(sorted({w.lower() for w in _WORD.findall(found)}))[:12]
 
 
 def page_blocks(page: str) -> list[Block]:
-    """Non-empty blocks. Character references are decoded, white space is one space; inline tags leave no trace, a line break is white space."""
+    """Non-empty blocks. Only ``RAW`` elements without an end reach to the end of the page. Character references are decoded, white space is one space; inline tags leave no trace, a line break is white space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     open_tags: dict[str, int] = {}
@@ -57,7 +60,7 @@ def page_blocks(page: str) -> list[Block]:
             if "&" in text:
                 text = html.unescape(text)
             text = " ".join(text.split())
-            if text:
+            if text and not (open_tags.get("select") and stack[-1][0] in CHOICES):
                 out.append(Block(text, path(), min(linked, len(text))))
             pieces.clear()
         linked = 0
@@ -91,16 +94,20 @@ def page_blocks(page: str) -> list[Block]:
                 pieces.append(" ")
             elif tag == "a":
                 links = 0 if closing else 1
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag in INSIDE:
+                if tag in INSIDE and not closing and attributes.endswith("/"):
+                    pieces.append(" ")
+                    continue
                 flush()
-                links = 0
+                if tag in BLOCK:
+                    links = 0
                 if closing:
                     if open_tags.get(tag):
                         while stack[-1][0] != tag:
                             pop()
                         pop()
                 elif tag not in VOID and not attributes.endswith("/"):
-                    if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in LIKE)):
+                    if stack and ((stack[-1][0] == "p" and tag in BLOCK) or (stack[-1][0] == tag and tag in LIKE)):
                         pop()
                     entry = (tag, _names(attributes))
                     stack.append(entry)

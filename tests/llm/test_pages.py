@@ -95,3 +95,19 @@ def test_edges(spark, model):
     assert max(r.n_chars for r in out if r.page_id == 5) == 25 * 4000 - 1 and sum(r.text == "" for r in out if r.page_id == 5) == 2
     assert extracted(pages.limit(0), model).count() == 0
     assert isinstance(fit_pages(pages.limit(0)), Labeller) and isinstance(train([]), Labeller)
+
+
+def test_embedded_elements_lose_nothing():
+    texts = lambda page: [b.text for b in page_blocks(page)]
+    assert texts('<svg class="i"/><p>two</p><p>three</p>') == ["two", "three"]
+    assert texts('<p>one <svg class="i"><title/><path d="x"/></svg> more</p><p>two') == ["one", "more", "two"]
+    for tag in ("object", "video", "audio", "canvas", "svg", "select"):
+        assert texts(f"<article><p>one</p><{tag} data=a><p>rest</p></article><p>two") == ["one", "rest", "two"]
+    assert texts('<p>We have <math display="x"><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p>') == ["We have x=1 here."]
+    assert texts('<script src="a"/><p>one</p><iframe src="b" /><textarea/><p>two</p><script>no</script><script src=/c/>no</script>') == ["one", "two"]
+    assert texts("<p>one</p><select><option>a<optgroup label=x><option>b</select><p>two</p><video>no video</video>") == ["one", "two", "no video"]
+    path = page_blocks(f"<div style='{'x' * 5000}' data-a='{'y' * 5000}' class=footer>one</div>")[0].path
+    assert ".footer" in path
+    assert "video" in page_blocks("<p>a<video>b</video>c")[1].path and page_blocks("<p>a<video>b</video>c")[2].path == page_blocks("<p>c")[0].path
+    page = '<video src="a">' * 20_000 + "<script>" * 20_000
+    assert texts(page + "<p>x") == []
