@@ -41,8 +41,8 @@ def _without(marked: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontaminated(docs, Q.table(spark, folder, "benchmark"))
+    """Documents that hold no item of the benchmark, nor a passage of a long one."""
+    return decontaminated(docs, Q.table(spark, folder, "benchmark"), in_part=True)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

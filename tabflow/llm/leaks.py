@@ -59,6 +59,7 @@ class Index:
         self.number: dict[str, int] = {}
         postings: dict[int, list[tuple[int, float]]] = {}
         self.item_of, self.question, self.answer, self.words = [], [], [], []
+        self.unit: list[set] = []
         self.exact: dict[tuple[int, ...], list[int]] = {}
         for k, (_, terms, n_question) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number)) for w in terms]
@@ -70,6 +71,8 @@ class Index:
                 continue
             n_units = max(1, round(len(ids) / UNIT))
             for part in np.array_split(np.array(ids), n_units):
+                # Units of longer items are looked at by themselves, too.
+                self.unit.append(_shingles(part.tolist()) if n_units > 1 else set())
                 values, times = np.unique(part, return_counts=True)
                 idf = np.array([math.log(1 + (n_items - f + 0.5) / (f + 0.5)) for f in (frequency.get(terms[ids.index(v)], 1) for v in values)])
                 impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(part) / max(mean_words, 1.0)))
@@ -183,6 +186,11 @@ class Index:
                 for item in self.exact.get(tuple(terms[i : i + n].tolist()), ()):
                     yield i, item
 
+    def unit_overlap(self, unit: int, terms: list[int]) -> float:
+        """Share of the shingles of a unit of a longer item among those of ``terms``; 0 for an item of one unit."""
+        own = self.unit[unit]
+        return len(own & _shingles(terms)) / len(own) if own else 0.0
+
     def overlaps(self, item: int, terms: list[int]) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles among those of ``terms``."""
         sizes = {len(x) for part in (self.question[item], self.answer[item]) for x in list(part)[:1]}
@@ -191,8 +199,8 @@ class Index:
         return share(self.question[item]), share(self.answer[item])
 
 
-def leaks(index: Index, texts: pa.Array) -> list[tuple[int, int, int, float, float, float]]:
-    """Text, item, first word of the best passage, its score, and the overlaps, for every verified pair."""
+def leaks(index: Index, texts: pa.Array, in_part: bool = False) -> list[tuple[int, int, int, float, float, float]]:
+    """Text, item, first word of the best passage, its score, and the overlaps, for every verified pair; ``in_part``: also by one unit of a longer item."""
     flat, starts = W.split_words(texts)
     codes, distinct = W.coded(flat)
     if not len(codes) or not index.number:
@@ -224,7 +232,11 @@ def leaks(index: Index, texts: pa.Array) -> list[tuple[int, int, int, float, flo
             item = index.item_of[unit]
             wide = index.words[item]
             q, a = index.overlaps(item, terms[max(int(starts[d]), lo - wide) : min(int(starts[d + 1]), hi + wide)].tolist())
-            if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP:
+            holds = q >= LEAST_OVERLAP and a >= LEAST_OVERLAP
+            if in_part and not holds:
+                near = terms[max(int(starts[d]), lo - PASSAGE) : min(int(starts[d + 1]), hi + PASSAGE)]
+                holds = index.unit_overlap(unit, near.tolist()) >= LEAST_OVERLAP
+            if holds:
                 found = (score, -lo, q, a)
                 if found > best.get((d, item), (0.0,)):
                     best[d, item] = found
@@ -257,7 +269,7 @@ def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", mos
         yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])), frequency, int(total.n), total.words / max(1, int(total.units)))
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", most_units: int = INDEX_UNITS) -> DataFrame:
+def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", most_units: int = INDEX_UNITS, in_part: bool = False) -> DataFrame:
     """One row per text and test item found in it: key, item, n_before (words before the best passage), score, question_overlap, answer_overlap.
 
     Words are lower-cased and stripped of punctuation. An item is indexed in units of about ``UNIT`` words with BM25 impacts as shares
@@ -266,6 +278,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     and an item counts if ``LEAST_OVERLAP`` of the shingles of its question and of its answer lie near the passage. Nothing is shuffled. The
     index is sent to all tasks; it holds ``most_units`` units, and more items take more passes over the texts.
 
+    With ``in_part`` an item of several units counts also where ``LEAST_OVERLAP`` of the shingles of one unit lie near the passage; the overlaps
+    are those of the whole item all the same.
+
     Words of punctuation only are passed over in items and texts, but count in n_before. An item of fewer than ``LEAST_WORDS`` words counts
     where all of them stand in a row, with score and overlaps 1. Null and empty texts hold nothing; items without a word match nothing; repeated texts and items each
     give their rows. Other columns are ignored. Without items there are no rows.
@@ -286,7 +301,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             kind = to_arrow_type(item_type)
             for whole in batches:
                 for batch in W.steps(whole, "text"):
-                    found = leaks(ix, W.filled(batch.column("text")))
+                    found = leaks(ix, W.filled(batch.column("text")), in_part)
                     columns = list(zip(*found, strict=True)) if found else [()] * 6
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("key").take(pa.array(columns[0], pa.int64())), pa.array([ix.items[i] for i in columns[1]], kind), pa.array(columns[2], pa.int64()),
@@ -302,7 +317,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most_units: int = INDEX_UNITS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most_units: int = INDEX_UNITS, in_part: bool = False) -> DataFrame:
     """``docs`` without the rows whose text holds a test item, as ``leaked_items`` finds them. All other rows stay as they are."""
     spark = docs.sparkSession
     out = docs
@@ -313,7 +328,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
             for whole in batches:
                 for batch in W.steps(whole, text):
                     stays = np.ones(batch.num_rows, bool)
-                    stays[[x[0] for x in leaks(sent.value, W.filled(batch.column(text)))]] = False
+                    stays[[x[0] for x in leaks(sent.value, W.filled(batch.column(text)), in_part)]] = False
                     yield batch.filter(pa.array(stays))
 
         out = out.mapInArrow(run, out.schema)

@@ -101,7 +101,7 @@ SQL["op7_difference_cover"] = f"""with {_WORDS},
 def op9_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
     from tabflow.llm.leaks import leaked_items
 
-    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"), in_part=True)
 
 
 @query

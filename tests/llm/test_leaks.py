@@ -4,8 +4,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabflow.llm import leaks as L
 from tabflow.llm.leaks import decontaminated, indexes, leaked_items
+from tabflow.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -95,3 +97,18 @@ def test_short_items(spark):
     assert sorted((r.doc_id, r.item_id, r.n_before) for r in leaked_items(docs, items).collect()) == want
     assert sorted((r.doc_id, r.item_id, r.n_before) for r in leaked_items(docs, items.filter("item_id < 6")).collect()) == want
     assert sorted(r.doc_id for r in decontaminated(docs, items, most_units=1).collect()) == [3, 4, 6, 7]
+
+
+def test_passages_of_long_items(spark, tmp_path):
+    """The query and the stage of the pipeline find a part of a long item; an item of one unit still needs question and answer."""
+    rng = random.Random(5)
+    long = [f"t{rng.randrange(3000)}" for _ in range(700)]
+    short = [f"s{i}" for i in range(20)]
+    spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    noise = [f"n{i}" for i in range(200)]
+    rows = [(1, noise + long[100:220] + noise), (2, noise + long[300:315] + noise), (3, noise + short[:12] + noise), (4, noise + short + noise), (5, noise), (6, long)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op9_block_max_wand"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (4, 2), (6, 1)]
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [2, 3, 5]
