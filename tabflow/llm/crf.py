@@ -162,13 +162,14 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.
     for p in pools:
         rng.shuffle(p)
     rows, at, total = [], [0] * n_labels, sum(map(len, pools))
-    y = 0
+    y, rest = 0, [i for i in range(n_labels) if pools[i]]
     for _ in range(total):
-        rest = [i for i in range(n_labels) if at[i] < len(pools[i])]
         if y not in rest or rng.random() < 0.3:
             y = int(rng.choice(rest))
         rows.append(pools[y][at[y]])
         at[y] += 1
+        if at[y] == len(pools[y]):
+            rest.remove(y)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     codes, lab = codes[row], lab[row]
     starts = np.arange(0, len(codes), length)
@@ -209,9 +210,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.
         slopes.append(lexicon_rows[place[inside]].T @ word_gap[inside])
         # Expected transitions: posteriors of neighbours, joined by how likely the move is.
         step = np.exp(model.moves - model.moves.max())
-        pair = post[follows - 1][:, :, None] * step[None] * post[follows][:, None, :] if len(follows) else np.zeros((0, n_labels, n_labels))
-        pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
-        slopes.append(truth[follows - 1].T @ truth[follows] - pair.sum(axis=0))
+        # Their sum is a product of matrices, so no table of all pairs of labels is made for each word.
+        one, two = post[follows - 1], post[follows]
+        pairs = step * ((one / np.maximum(((one @ step) * two).sum(axis=1, keepdims=True), 1e-300)).T @ two)
+        slopes.append(truth[follows - 1].T @ truth[follows] - pairs)
         for value, slope, square, scale in zip((model.weights, model.lexicon_weights, model.moves), slopes, squares, (rate, rate, rate), strict=True):
             square += slope * slope
             value += (scale * slope / np.sqrt(square)).astype(value.dtype)
@@ -223,22 +225,25 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
 
-def fit_languages(docs: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, most_languages: int = 100, most_bytes: int = 30_000) -> Model | None:
-    """Train on at most ``per_language`` texts of up to ``most_bytes`` bytes of each of the ``most_languages`` most frequent languages.
+def fit_languages(docs: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, most_bytes: int = 30_000) -> Model | None:
+    """Train on at most ``per_language`` texts of every language that labels name.
 
-    Texts are drawn by a hash of key and text. ``learn`` says which rows may be used. None if there is no labelled text.
+    Texts are drawn by a hash of key and text; of one of more than ``most_bytes`` bytes, the words from its first letter on that
+    have so many at most are used. ``learn`` says which rows may be used. None if there is no labelled text.
     """
     rows = docs.filter(learn) if learn is not None else docs
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("draw"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & (F.octet_length("text") <= most_bytes))
-    counts = {r["lang"]: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = rows.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    counts = {r["lang"]: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return None
     # The share of each language, with room for chance; what is too much is cut below.
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, 1.5 * per_language / n)).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col("draw")), F.lit(1 << 30)) < share * (1 << 30))
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, 1.5 * per_language / n)) for name, n in sorted(counts.items())], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang")
+    drawn = rows.filter(F.pmod(F.xxhash64(F.col("draw")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # A character has up to four bytes. The last word of a window goes if it may be cut, unless it is the only one.
+    window = F.regexp_replace(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{most_bytes // 4 - 1}}}", 0), r"\s+\S*$", "")
+    drawn = drawn.withColumn("text", F.when(F.octet_length("text") > most_bytes, window).otherwise(F.col("text")))
     drawn = drawn.groupBy("draw").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).orderBy("draw").limit(2 * per_language * len(counts))
     taken: dict[str, int] = {}
     texts, langs = [], []

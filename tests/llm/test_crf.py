@@ -70,3 +70,18 @@ def test_edges(spark, model):
     assert [r.lang_pred for r in languages(frame, None).collect()] == ["und"] * len(rows)
     assert languages(frame, fit_languages(frame)).filter("doc_id = 5").first().lang_pred == "xx"
     assert languages(frame.limit(0), model).count() == 0
+
+
+def test_every_label_is_learnt(spark):
+    """Many labels, one of them of long texts only, with or without spaces."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choice(list(letters), 6)) for _ in range(12)] for k in range(120)}
+    rows = [(i * 1000 + int(k[1:]), " ".join(rng.choice(w, 30)), k) for k, w in words.items() for i in range(3 if k != "l119" else 2)]
+    rows += [(10_000, "12 " + "lang texte sind hier " * 3000, "long"), (10_001, "日本語" * 20_000, "wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    assert model.labels == sorted([*words, "long", "wide"])
+    texts = [(1, " ".join(words["l119"]), "l119"), (2, "hier sind lang texte", "long"), (3, "日本語日本語", "wide")]
+    out = languages(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r["lang"] for r in out)
