@@ -130,3 +130,36 @@ def op8_recurrent_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages")
     return extracted(pages, fit_pages(pages))
+
+
+@query
+def op11_basic_factors(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.runs import looped, periodic_runs
+
+    return periodic_runs(looped(table(spark, folder, "documents")))
+
+
+def _runs_sql(levels: int) -> str:
+    """Runs of words for texts of up to ``2 ** (levels + 1)`` words, by hashes of factors of doubled length."""
+    steps = [f"h{k + 1} as (select doc_id, i, n, hash(h, lead(h, {1 << k}) over (partition by doc_id order by i)) as h from h{k} where n >= {4 << k})" for k in range(levels)]
+    near = " union all ".join(
+        f"select doc_id, i, {1 << k} as w, lead(i) over (partition by doc_id, h order by i) - i as d from h{k} where i + {1 << k} <= n" for k in range(levels + 1)
+    )
+    return rf"""with {_WORDS},
+    c as (select doc_id, words, len(words) as n, xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) as crc from w),
+    g as (select *, (crc // 10) % n as a, 1 + (n - (crc // 10) % n) // (3 + (crc // 10) % 8) as p from c where n > 0),
+    v as (select doc_id, n, i, case when crc % 10 = 0 and i >= a then words[1 + a + (i - a) % p] else words[1 + i] end as word from (select *, unnest(range(n)) as i from g)),
+    h0 as (select doc_id, i, n, hash(word) as h from v),
+    {", ".join(steps)},
+    s as (select *, i - row_number() over (partition by doc_id, w, d order by i) as part from ({near}) where d <= w),
+    r as (select distinct doc_id, min(i) as start, count(*) + w - 1 + d as length, d as period from s group by doc_id, w, d, part having count(*) + w - 1 + d >= greatest(6, 4 * d)),
+    b as (select doc_id, count(*) as n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, {{'e': -length::double / period, 's': start, 'p': period}}) as best,
+        string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines from r group by doc_id),
+    x as (select v.doc_id, string_agg(word, ' ' order by i) as kept from v anti join r on v.doc_id = r.doc_id and v.i >= r.start + r.period and v.i < r.start + r.length group by v.doc_id)
+    select c.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.p as period, 1000 * best.l // best.p as exponent_milli,
+        sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+    from c left join b on c.doc_id = b.doc_id left join x on c.doc_id = x.doc_id"""
+
+
+SQL["op11_basic_factors"] = _runs_sql(15)
