@@ -163,3 +163,19 @@ def _runs_sql(levels: int) -> str:
 
 
 SQL["op11_basic_factors"] = _runs_sql(15)
+
+
+@query
+def op12_metric_range(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.vectors import linked_vectors
+
+    return linked_vectors(table(spark, folder, "embeddings"))
+
+
+SQL["op12_metric_range"] = """with recursive v as (select vec_id, embedding::double[] as x from embeddings where len(embedding) > 0 and list_aggregate(list_transform(embedding, lambda c: c is not null and isfinite(c)), 'bool_and')),
+    u as (select vec_id, x, sqrt(list_dot_product(x, x)) as size from v where list_dot_product(x, x) > 0),
+    p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95),
+    reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, p.b from reach r join p on r.b = p.a),
+    c as (select a as vec_id, min(b) as component_id from reach group by 1),
+    k as (select a as vec_id, count(*) as n from p group by 1)
+    select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join k on c.vec_id = k.vec_id"""
