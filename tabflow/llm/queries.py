@@ -179,3 +179,20 @@ SQL["op12_metric_range"] = """with recursive v as (select vec_id, embedding::dou
     c as (select a as vec_id, min(b) as component_id from reach group by 1),
     k as (select a as vec_id, count(*) as n from p group by 1)
     select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join k on c.vec_id = k.vec_id"""
+
+
+@query
+def op13_angular_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from tabflow.llm.negatives import hard_negatives
+
+    rows = table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op13_angular_filter"] = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
+        from embeddings where label is not null and len(embedding) > 0 and list_aggregate(list_transform(embedding, lambda c: c is not null and isfinite(c)), 'bool_and')),
+    s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+    n as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+        from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score)
+    select * from n where rank <= 5"""
