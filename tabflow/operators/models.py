@@ -12,21 +12,20 @@ import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.maths import linear, sigmoid
+from tabflow.operators import trees as forests
 from tabflow.session import cut_lineage, in_parallel
 
 SEED = 157
@@ -133,12 +132,9 @@ def platt(scored: DataFrame, decision: str, label: str, out: str = "probability_
     return model.transform(base).withColumn(out, vector_to_array("__p")[0]).drop("__d", "__p", "__r", "__c")
 
 
-def extra_trees(df: DataFrame, label: str, trees: int = 1200, subset: str = "all", depth: int = 10, bootstrap: bool = False, features: str = "features", bins: int = 16) -> Model:
-    """Forest on whole rows. Thresholds are taken from coarse bins; they are not drawn at random."""
-    return RandomForestClassifier(
-        featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, bootstrap=bootstrap,
-        featureSubsetStrategy=subset, maxBins=bins, seed=SEED,
-    ).fit(df)
+def extra_trees(df: DataFrame, label: str, count: int = 1200, subset: str | float = "all", depth: int = 10, bootstrap: bool = False, features: str = "features") -> forests.Forest:
+    """Extremely randomised trees on whole rows, cuts drawn at random: :func:`tabflow.operators.trees.extra_trees`."""
+    return forests.extra_trees(df, label, count, subset, depth, bootstrap, features, SEED)
 
 
 def random_forest(df: DataFrame, label: str, trees: int = 100, depth: int = 1, features: str = "features", weight: str | None = None) -> Model:
@@ -146,29 +142,17 @@ def random_forest(df: DataFrame, label: str, trees: int = 100, depth: int = 1, f
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, **extra).fit(df)
 
 
-def gradient_boost_reg(df: DataFrame, label: str, trees: int = 2000, rate: float = 0.01, subset: str = "0.5", depth: int = 5, features: str = "features") -> Model:
-    """Boosted regression with column sampling per node."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees, stepSize=rate, maxDepth=depth, featureSubsetStrategy=subset, seed=SEED).fit(df)
-
+def gradient_boost_reg(df: DataFrame, label: str, rounds: int = 2000, rate: float = 0.01, share: float = 0.5, depth: int = 6, penalty: float = 0.01, features: str = "features") -> forests.Boosted:
+    """Second-order boosting of squared errors; ``share`` of the columns is drawn per tree, of these per level, of these per node."""
+    return forests.boost(df, label, 0, rounds, rate, depth, penalty, 1.0, share, share, share, features=features, seed=SEED)
 
-@dataclass(frozen=True)
-class BoostedClasses:
-    model: Model
-    classes: int
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(df)
-        raw = vector_to_array("rawPrediction")
-        up = F.transform(raw, lambda v: F.exp(v - F.array_max(raw)))
-        total = F.aggregate(up, F.lit(0.0), lambda s, v: s + v)
-        return scored.withColumn("probability", F.transform(up, lambda v: v / total)).drop("rawPrediction")
-
-
-def gradient_boost_clf(df: DataFrame, label: str, trees: int = 500, rate: float = 0.01, depth: int = 3, features: str = "features") -> BoostedClasses:
-    """One boosted model per class; probabilities are a softmax of their margins, not a joint fit."""
-    base = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=SEED)
-    model = OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=4).fit(df)
-    return BoostedClasses(model, len(model.models))
+def gradient_boost_clf(df: DataFrame, label: str, rounds: int = 500, rate: float = 0.01, depth: int = 3, features: str = "features") -> forests.Boosted:
+    """Second-order boosting of all classes at once: a round fits one tree for each to the derivatives of the softmax loss."""
+    classes = df.agg(F.max(label)).first()[0]
+    if classes is None:
+        raise ValueError("there is no row with a label")
+    return forests.boost(df, label, max(2, int(classes) + 1), rounds, rate, depth, 1.0, 1e-3, features=features, seed=SEED)
 
 
 def mlp(df: DataFrame, label: str, layers: Sequence[int], features: str = "features", max_iter: int = 100) -> Model:
