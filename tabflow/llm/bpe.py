@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -18,6 +17,9 @@ from tabflow.llm import words as W
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # Distinct pieces whose ids a task remembers; when full, it starts anew.
 MEMORY = 200_000
+# Ranks whose positions lie in one list of the index.
+BAND = 1024
+_NONE = np.iinfo(np.int64).max
 
 
 def byte_names() -> dict[str, int]:
@@ -27,6 +29,12 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _ascending(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Tokenizer:
     """Merges, special tokens and bytes of a byte-level tokenizer file.
 
@@ -42,7 +50,7 @@ class Tokenizer:
         if held["normalizer"] or held["pre_tokenizer"]["type"] != "ByteLevel" or held["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("not a plain byte-level tokenizer")
         vocab = model["vocab"]
-        self.of_byte = [0] * 256
+        self.of_byte = np.zeros(256, np.int64)
         for c, b in names.items():
             self.of_byte[b] = vocab[c]
         self.bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in held["added_tokens"])]))
@@ -52,10 +60,15 @@ class Tokenizer:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
-        self.made = [vocab[a + b] for a, b in merges]
-        if len(set(self.made)) != len(self.made) or any(i in set(self.of_byte) for i in self.made):
+        made = [vocab[a + b] for a, b in merges]
+        if len(set(made)) != len(made) or set(self.of_byte.tolist()) & set(made):
             raise ValueError("two merges make the same token")
+        # Pairs as numbers in ascending order, the rank of each, and the token that each rank makes.
+        pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
+        self.wide = np.int64(len(self.bytes) + 1)
+        keys = pairs[:, 0] * self.wide + pairs[:, 1]
+        order = np.argsort(keys)
+        self.pairs, self.rank, self.made = np.append(keys[order], _NONE), np.append(order, 0), np.array(made, np.int64)
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def pieces(self, text: str) -> list[str]:
@@ -69,63 +82,76 @@ class Tokenizer:
             start = m.end()
         return out + PIECES.findall(text[start:])
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece.
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every pair of symbols; the largest number for pairs that don't merge."""
+        keys = left * self.wide + right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where((self.pairs[at] == keys) & (left >= 0) & (right >= 0), self.rank[at], _NONE)
 
-        All pieces lie in one row of symbols. The index holds, for every rank in use, the positions of its left
-        symbols; ranks are taken in ascending order, and a merge files the two pairs it makes under their ranks.
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and where those of each begin (one more entry at the end).
+
+        All pieces lie in one row of symbols, with a bar after each. The index holds, for every band of ``BAND`` ranks, the positions of
+        the left symbols of its pairs. Bands are taken in ascending order; inside a band every piece merges the lowest rank it has,
+        at all positions of that pair and leftmost first, until the band is empty. Pieces do not touch and a merge makes pairs of later
+        ranks only, so each piece sees its ranks in ascending order. The two pairs that a merge makes are filed under their ranks.
         """
-        symbols: list[int] = []
-        ends = []
-        for p in pieces:
-            symbols += [self.of_byte[b] for b in p.encode()]
-            symbols.append(-1)
-            ends.append(len(symbols))
-        n, rank, made = len(symbols), self.rank, self.made
-        follow = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        get = rank.get
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-            r = get(pair)
-            if r is not None:
-                index.setdefault(r, []).append(i)
-        active = list(index)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
-            places = index.pop(r)
-            new = made[r]
-            # Lists grow from the left and the right neighbour, so they are put in order: equal pairs merge leftmost first.
-            places.sort()
-            for i in places:
+        raw = [p.encode() for p in pieces]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        n = int(sizes.sum()) + len(raw)
+        piece = np.repeat(np.arange(len(raw)), sizes + 1)
+        symbols = np.full(n + 1, -1, np.int64)
+        inner = np.ones(n, bool)
+        inner[np.cumsum(sizes + 1) - 1] = False
+        symbols[:n][inner] = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
+        follow, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, _NONE)
+        rank[:n] = self.ranks(symbols[:n], symbols[1:])
+        index: dict[int, list[np.ndarray]] = {}
+
+        def file(at: np.ndarray) -> None:
+            """Put positions under the band of their rank."""
+            at = at[rank[at] != _NONE]
+            band = rank[at] // BAND
+            order = np.argsort(band, kind="stable")
+            at, band = at[order], band[order]
+            edge = np.concatenate([[0], np.nonzero(band[1:] != band[:-1])[0] + 1, [len(at)]]) if len(at) else [0]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                index.setdefault(int(band[a]), []).append(at[a:b])
+
+        file(np.arange(n))
+        while index:
+            band = min(index)
+            # Those of pairs that another merge took or changed are gone or filed elsewhere.
+            at = _ascending(np.concatenate(index.pop(band)))
+            at = at[rank[at] // BAND == band]
+            while len(at):
+                own = piece[at]
+                first = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1])
+                least = np.repeat(np.minimum.reduceat(rank[at], first), np.diff(np.append(first, len(at))))
+                lowest = rank[at] == least
+                i = at[lowest]
+                # Equal symbols in a row overlap: every other pair of such a row is taken, from the left.
+                joined = np.concatenate([[False], i[1:] == follow[i[:-1]]])
+                start = np.maximum.accumulate(np.where(joined, 0, np.arange(len(i))))
+                i = i[(np.arange(len(i)) - start) % 2 == 0]
                 j = follow[i]
-                if symbols[i] < 0 or j >= n or get((symbols[i], symbols[j])) != r:
-                    continue
                 k = follow[j]
-                symbols[i], symbols[j] = new, -2
+                symbols[i] = self.made[rank[i]]
+                symbols[j] = -2
+                rank[j] = _NONE
                 follow[i] = k
-                if k < n:
-                    before[k] = i
-                    s = get((new, symbols[k]))
-                    if s is not None:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(active, s)
-                        index[s].append(i)
+                before[k] = i
                 h = before[i]
-                if h >= 0:
-                    s = get((symbols[h], new))
-                    if s is not None:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(active, s)
-                        index[s].append(h)
-        out, start = [], 0
-        for end in ends:
-            out.append([s for s in symbols[start : end - 1] if s >= 0])
-            start = end
-        return out
+                h = h[h >= 0]
+                changed = _ascending(np.concatenate([i, h]))
+                rank[changed] = self.ranks(symbols[changed], symbols[follow[changed]])
+                here = rank[changed] // BAND == band
+                file(changed[~here])
+                at = _ascending(np.concatenate([at, changed[here]]))
+                at = at[rank[at] // BAND == band]
+        left = symbols[:n] >= 0
+        return symbols[:n][left].astype("<u4"), np.concatenate([[0], np.cumsum(np.bincount(piece[left], minlength=len(raw)))])
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -136,7 +162,7 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, memory: int = MEMORY):
         self.tokenizer, self.memory = tokenizer, memory
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         special = self.tokenizer.special
@@ -146,7 +172,9 @@ class Encoder:
         split = [self.tokenizer.pieces(t) for t in texts]
         new = list({p for pieces in split for p in pieces if p not in known})
         plain = [p for p in new if p not in special]
-        known.update(zip(plain, (np.array(x, np.uint32).tobytes() for x in self.tokenizer.encode_pieces(plain)), strict=True))
+        ids, at = self.tokenizer.encode_pieces(plain)
+        held, edge = ids.tobytes(), (4 * at).tolist()
+        known.update(zip(plain, (held[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), strict=True))
         known.update({p: np.array([special[p]], np.uint32).tobytes() for p in new if p in special})
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in split]
