@@ -19,6 +19,8 @@ UNIT = 48
 K1, B = 1.2, 0.75
 # Units in one index; more items are searched in several passes. Units whose postings share a largest impact.
 INDEX_UNITS, RANGE = 4000, 16
+# Units of the finer ranges that passages are held against which the coarse ones let through.
+FINE = 4
 # Share of a unit's own score that a passage reaches, and of the shingles of question and answer it holds.
 LEAST_SCORE, LEAST_OVERLAP, SHINGLE = 0.5, 0.6, 3
 # Items of fewer words match where all their words stand in a row.
@@ -63,6 +65,7 @@ class Index:
         self.exact: dict[tuple[int, ...], list[int]] = {}
         for k, (_, terms, n_question) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number)) for w in terms]
+            name = dict(zip(ids, terms, strict=True))
             self.question.append(_shingles(ids[:n_question]))
             self.answer.append(_shingles(ids[n_question:]))
             self.words.append(len(ids))
@@ -74,14 +77,13 @@ class Index:
                 # Units of longer items are looked at by themselves, too.
                 self.unit.append(_shingles(part.tolist()) if n_units > 1 else set())
                 values, times = np.unique(part, return_counts=True)
-                idf = np.array([math.log(1 + (n_items - f + 0.5) / (f + 0.5)) for f in (frequency.get(terms[ids.index(v)], 1) for v in values)])
+                idf = np.array([math.log(1 + (n_items - f + 0.5) / (f + 0.5)) for f in (frequency.get(name[v], 1) for v in values.tolist())])
                 impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(part) / max(mean_words, 1.0)))
                 unit = len(self.item_of)
                 self.item_of.append(k)
                 for v, x in zip(values, impact / impact.sum(), strict=True):
                     postings.setdefault(int(v), []).append((unit, float(x)))
         n, units = len(self.number), len(self.item_of)
-        self.ranges = -(-units // RANGE)
         self.lists = [([u for u, _ in postings.get(t, ())], [x for _, x in postings.get(t, ())]) for t in range(n)]
         self.largest = [max(x, default=0.0) for _, x in self.lists]
         # For each place in short items of one length, the words that may stand there; the last entry is for unknown words.
@@ -102,26 +104,50 @@ class Index:
             if len(us) > 1 and (held[us] + xs <= COMMON).all():
                 held[us] += xs
                 common[t] = True
-        self.held = np.array([held[r * RANGE : (r + 1) * RANGE].max() for r in range(self.ranges)]) if units else np.zeros(0)
-        # Largest impacts of the other words by range, as flat lists.
-        rows = [(t, r, x) for t in range(n) if not common[t] for r, x in self.range_largest[t].items()]
-        count = np.zeros(n + 1, np.int64)
-        for t, _, _ in rows:
-            count[t + 1] += 1
-        self.first = np.cumsum(count)
-        self.flat_range = np.array([r for _, r, _ in rows], np.int64)
-        self.flat_most = np.array([x for _, _, x in rows])
+        self.coarse, self.fine = self._bounds(RANGE, common, held), self._bounds(FINE, common, held)
+
+    def _bounds(self, size: int, common: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Largest impacts of the words that are not common by ranges of ``size`` units, as flat lists: where a word's begin, ranges, impacts; and what common words add at most."""
+        ranges = -(-len(self.item_of) // size)
+        place, most = [], []
+        count = np.zeros(len(self.lists) + 1, np.int64)
+        for t, (us, xs) in enumerate(self.lists):
+            if us and not common[t]:
+                at, first = np.unique(np.array(us) // size, return_index=True)
+                place.append(at)
+                most.append(np.maximum.reduceat(np.array(xs), first))
+                count[t + 1] = len(at)
+        added = np.array([held[r * size : (r + 1) * size].max() for r in range(ranges)])
+        return np.cumsum(count), np.concatenate([*place, np.zeros(0, np.int64)]), np.concatenate([*most, np.zeros(0)]), added
+
+    @staticmethod
+    def _reach(bounds: tuple, terms: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the largest impacts of each owner's words, by range."""
+        first, place, most, added = bounds
+        count = first[terms + 1] - first[terms]
+        at = np.repeat(first[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(np.repeat(owner, count) * len(added) + place[at], most[at], minlength=n * len(added)).reshape(n, len(added))
 
     def hopeful(self, terms: np.ndarray, chunk: np.ndarray, n_chunks: int) -> np.ndarray:
-        """For stretches of STRIDE words, whether the passage of two that starts there may reach LEAST_SCORE in some range."""
+        """For stretches of STRIDE words, whether the passage of two that starts there may reach LEAST_SCORE in some range.
+
+        Coarse ranges are summed over all words of each stretch. Of the passages left, each word counts once, in finer ranges.
+        """
         known = terms >= 0
-        t, c = terms[known], chunk[known]
-        n = self.first[t + 1] - self.first[t]
-        t, c = np.repeat(t, n), np.repeat(c, n)
-        at = self.first[t] + np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-        bound = np.bincount(c * self.ranges + self.flat_range[at], self.flat_most[at], minlength=n_chunks * self.ranges).reshape(n_chunks, self.ranges)
+        terms, chunk = terms[known], chunk[known]
+        bound = self._reach(self.coarse, terms, chunk, n_chunks)
         bound[:-1] += bound[1:].copy()
-        return (bound + self.held >= LEAST_SCORE - 1e-9).any(axis=1)
+        out = (bound + self.coarse[3] >= LEAST_SCORE - 1e-9).any(axis=1)
+        passages = np.nonzero(out)[0]
+        number = np.cumsum(out) - 1
+        before = np.maximum(chunk - 1, 0)
+        here, there = out[chunk], out[before] & (chunk > 0)
+        wide = np.int64(len(self.number))
+        pairs = np.sort(np.concatenate([number[chunk[here]] * wide + terms[here], number[before[there]] * wide + terms[there]]))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        bound = self._reach(self.fine, pairs % wide, pairs // wide, len(passages))
+        out[passages] = (bound + self.fine[3] >= LEAST_SCORE - 1e-9).any(axis=1)
+        return out
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Units whose score for a set of terms is LEAST_SCORE or more, by block-max WAND."""
@@ -274,7 +300,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Words are lower-cased and stripped of punctuation. An item is indexed in units of about ``UNIT`` words with BM25 impacts as shares
     of the unit's own score, so one threshold fits all lengths. Every stretch of ``PASSAGE`` words, one each ``STRIDE``, is a query. Sums of the
-    largest impacts of ranges of units rule out most passages, block-max WAND finds all units that the others reach ``LEAST_SCORE`` with,
+    largest impacts of ranges of units, coarse ones and then finer ones, rule out most passages, block-max WAND finds all units that the others reach ``LEAST_SCORE`` with,
     and an item counts if ``LEAST_OVERLAP`` of the shingles of its question and of its answer lie near the passage. Nothing is shuffled. The
     index is sent to all tasks; it holds ``most_units`` units, and more items take more passes over the texts.
 
