@@ -56,6 +56,13 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    _WRITTEN.get(spark.sparkContext.applicationId, []).remove(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so later steps start from the written rows.
 
@@ -66,6 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: Sequence[str], base: str) -> str:
+    """A column name that starts with ``base`` and is not taken, in whatever case."""
+    used = {c.lower() for c in taken}
+    name, i = base, 0
+    while name.lower() in used:
+        i += 1
+        name = f"{base}_{i}"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a table that was read from too few splits.
 
