@@ -111,7 +111,7 @@ def op3_random_field(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = fit_languages(docs, learn=remainder(F.col("doc_id"), 3) != 1)
-    return languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"]).drop("lang_runs")
+    return languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"]).drop("lang_runs", "familiar")
 
 
 @query

@@ -45,7 +45,7 @@ def test_held_out_accuracy(spark, docs):
 def test_code_switching(spark, docs, model):
     texts = {r["lang"]: r.text.split()[:60] for r in docs.filter("doc_id > 500").filter(F.length("text") > 1500).collect()}
     mixed = texts["en"] + texts["de"] + texts["en"][:30]
-    post, _, letters = model.label(pa.array([" ".join(mixed)], pa.large_string()))
+    post, _, letters, _ = model.label(pa.array([" ".join(mixed)], pa.large_string()))
     want = np.array([model.labels.index(x) for x in ["en"] * 60 + ["de"] * 60 + ["en"] * 30])
     assert (post.argmax(axis=1) == want)[letters].mean() > 0.9
     row = languages(spark.createDataFrame([(" ".join(mixed),)], "text string"), model).first()
@@ -55,7 +55,7 @@ def test_code_switching(spark, docs, model):
 def test_stretches_join(docs, model):
     text = " ".join(r.text for r in docs.limit(60).collect())
     assert len(text.split()) > 5000
-    post, starts, _ = model.label(pa.array([text, "", "the and"], pa.large_string()))
+    post, starts, _, _ = model.label(pa.array([text, "", "the and"], pa.large_string()))
     assert len(post) == starts[-1] == len(text.split()) + 2 and np.allclose(post.sum(axis=1), 1)
 
 
