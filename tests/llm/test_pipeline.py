@@ -84,3 +84,25 @@ def test_nulls_and_repeats(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         assert stage(spark, docs, FOLDER).count() >= 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["mark", "_lang", "_score", "_runs", "lang_pred", "score", "lang_runs", "familiar", "base_found", "all_found", "key", "row", "item", "block", "text_1"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 60")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) > 30 and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+
+
+def test_language_rejects_foreign_words_whatever_the_labels(spark):
+    """A text of words like none learnt from goes, a text that mixes learnt languages stays, with one label as with four."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id > 500")
+    odd = "qzxv kjwq xxqz vvkq zqjx wqqz kkxj " * 20
+    for some in (docs.filter("lang = 'en'"), docs):
+        mixed = " ".join(r.text for r in some.filter(F.length("text") > 800).orderBy("doc_id").limit(6).collect())
+        extra = spark.createDataFrame([(-1, odd, None, "s", 1), (-2, mixed, None, "s", 1)], some.schema)
+        kept = ids(corpus_pipeline.language(spark, some.unionByName(extra), FOLDER))
+        assert -1 not in kept and -2 in kept
