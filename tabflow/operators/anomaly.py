@@ -157,9 +157,12 @@ def isolation_forest(df: DataFrame, key: str, vector: str, trees: int = 50, samp
     """Grow each tree on the ``sample`` rows with the smallest keyed hash (sampling is the method).
 
     A row is offered only to the trees whose hash cut it passes, so about four times the sample
-    size per tree is shuffled, whatever the table holds. Trees grow in parallel tasks.
+    size per tree is shuffled, whatever the table holds. Trees grow in parallel tasks. Rows with a null vector are not looked at.
     """
+    df = df.filter(F.col(vector).isNotNull())
     n = df.count()
+    if not n:
+        raise ValueError("there is no row with a vector")
     span = 1 << 30
     offered = span if n <= 4 * sample else max(1, int(span * 4 * sample / n))
     draw = F.transform(
@@ -196,13 +199,13 @@ def isolation_forest(df: DataFrame, key: str, vector: str, trees: int = 50, samp
 
 
 def flag_share(scored: DataFrame, score: str, share: float, out: str = "is_outlier") -> DataFrame:
-    """Call the rows above the ``1 - share`` quantile of the score outliers.
+    """Call the rows above the ``1 - share`` quantile of the score outliers; null for a NULL or NaN score.
 
     The scored rows are written once, so that the quantile does not score them again.
     """
     scored = cut_lineage(scored)
     border = exact_quantiles(scored, [score], [1 - share])[score][0]
-    return scored.withColumn(out, (F.col(score) > F.lit(border)).cast("int"))
+    return scored.withColumn(out, F.when(~F.isnan(score), (F.col(score) > F.lit(border)).cast("int")))
 
 
 @dataclass(frozen=True)

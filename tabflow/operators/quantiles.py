@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.session import LOOKUP_ROWS
 
@@ -28,7 +29,7 @@ _SKETCH = 20_000
 def find_rank(df: DataFrame, value: str, rank: int, small: int = FINAL, bracket: tuple | None = None):
     """Value at zero-based ``rank`` in ascending order, the rows below it and the rows equal to it.
 
-    NULLs are not counted. ``bracket`` may name borders the value is expected between.
+    NULL and NaN are not counted. ``bracket`` may name borders the value is expected between.
     """
     rows = df.select(value).na.drop()
     v = F.col(value)
@@ -72,7 +73,7 @@ def find_rank(df: DataFrame, value: str, rank: int, small: int = FINAL, bracket:
 
 
 def kth_smallest(df: DataFrame, value: str, rank: int, small: int = FINAL):
-    """The value at zero-based ``rank`` in ascending order; NULLs are not counted."""
+    """The value at zero-based ``rank`` in ascending order; NULL and NaN are not counted."""
     return find_rank(df, value, rank, small)[0]
 
 
@@ -81,9 +82,11 @@ def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
 
     Three passes whatever the number of columns: sketches give the brackets, counts check them,
     and the few values inside are fetched. A rank its bracket missed, or one with too many values
-    left, is searched for on its own.
+    left, is searched for on its own. NULL and NaN are not counted, at any size; a column without other values has None.
     """
     slack = 4 / _SKETCH
+    real = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in real else F.col(c) for c in dict.fromkeys(values)])
     wanted = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
     seen = df.agg(*[F.struct(F.count(c), F.percentile_approx(F.col(c).cast("double"), wanted, _SKETCH)).alias(c) for c in values]).first()
     counts = {c: seen[c][0] for c in values}

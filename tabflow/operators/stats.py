@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabflow.operators.rows import RANGE_ROWS, prefix_sums
+from tabflow.session import attach, cut_lineage
+
 _PAIRS_IN_ONE_AGG = 300
 
 
@@ -170,7 +173,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def bin_number(c: Column, low: float, high: float, bins: int) -> Column:
-    """Equal-width bin of a value; the top edge belongs to the last bin."""
+    """Equal-width bin of a value; the top edge belongs to the last bin. Without limits there is no value and no bin."""
+    if low is None:
+        return F.lit(None).cast("int")
     width = high - low
     if not width:
         return F.when(c.isNotNull(), F.lit(0))
@@ -183,12 +188,13 @@ def _limits(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]
 
 
 def histogram_by_class(df: DataFrame, cols: Sequence[str], label: str, bins: int = 100) -> DataFrame:
-    """Counts per feature, class and bin; a column of zeros only is left out."""
+    """Counts per feature, class and bin; a column of zeros only is left out, and so is one of NULL only."""
     limits = {c: v for c, v in _limits(df, cols).items() if v != (0.0, 0.0) and v[0] is not None}
     cells = [
         F.struct(F.lit(c).alias("column"), bin_number(F.col(c).cast("double"), *v, bins).alias("bin")) for c, v in limits.items()
     ]
-    long = df.select(label, F.explode(F.array(*cells)).alias("c")).select(label, "c.*")
+    cells = cells or [F.lit(None).cast("struct<column:string,bin:int>")]
+    long = df.select(label, F.explode(F.array(*cells)).alias("c")).filter("c is not null").select(label, "c.*")
     return long.groupBy("column", label, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -216,6 +222,51 @@ def mutual_info(
     return parts.groupBy("column").agg(F.sum(term).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """Digamma function of a whole number above 0, to ten digits: a table up to 20, its series beyond."""
+    gamma = 0.5772156649015329
+    small = F.array(*[F.lit(sum(1 / i for i in range(1, k)) - gamma) for k in range(1, 21)])
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0)))
+    return F.when(n <= 20, F.get(small, (n - 1).cast("int"))).otherwise(series)
+
+
+def mutual_info_neighbors(df: DataFrame, cols: Sequence[str], label: str, k: int = 3, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Mutual information of each real column with a class, by nearest neighbours (Ross 2014): ``(column, mi)``, not below 0.
+
+    A row's radius is the distance to its k-th neighbour of the same class (to the furthest, if the class has fewer others); m counts all rows closer
+    than that, itself included, or at radius 0 those of equal value. ``mi = psi(N) + mean psi(k) - mean psi(class size) - mean psi(m)``. Rows
+    with a null label, a NULL or a NaN, and classes of one row, are left out; a column without rows has no result.
+
+    Nothing is paired. Rows get their place in their class by ranges; a run of ``range_rows`` places with a halo of k on both sides holds all its
+    neighbours, so a class may be as large as the table. m is the difference of two running counts over values and borders in one order.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*cells)).alias("c")).select("y", "c.*").filter("y is not null and x is not null and not isnan(x)")
+    sizes = long.groupBy("column", "y").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    placed = prefix_sums(attach(cut_lineage(long), sizes, ["column", "y"], "inner"), ["x"], {"place": F.lit(1).cast("long")}, ["column", "y"], range_rows)
+    placed = cut_lineage(placed.select("column", "y", "x", "size", (F.col("place") - 1).alias("place")))
+    run, at = F.floor(F.col("place") / range_rows), F.col("place") % range_rows
+    runs = F.array_compact(F.array(run, F.when(at < k, run - 1), F.when(at >= range_rows - k, run + 1)))
+    near = placed.withColumn("home", run).withColumn("run", F.explode(runs))
+    order = Window.partitionBy("column", "y", "run").orderBy("place")
+    gaps = [F.abs(side(F.col("x"), i).over(order) - F.col("x")) for i in range(1, k + 1) for side in (F.lag, F.lead)]
+    near = near.withColumn("gaps", F.array_sort(F.array_compact(F.array(*gaps)))).filter("run = home")
+    used = F.least(F.lit(k), F.col("size") - 1)
+    near = near.withColumn("k", used).withColumn("radius", F.element_at("gaps", used.cast("int")))
+    # The neighbour itself is on the border and must not count, however the sum is rounded.
+    inner = F.greatest(F.lit(0.0), F.col("radius") * (1 - 1e-12) - F.abs("x") * 4e-16)
+    near = cut_lineage(near.select("column", "y", "place", "x", "size", "k", inner.alias("inner")))
+    points = near.select("column", F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("w"), "y", "place")
+    borders = [near.select("column", (F.col("x") + sign * F.col("inner")).alias("v"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("w"), "y", "place") for sign, kind in ((-1, 0), (1, 2))]
+    # Values equal to the lower border are not below it, those equal to the upper one are.
+    counted = prefix_sums(points.unionByName(borders[0]).unionByName(borders[1]), ["v", "kind"], {"upto": F.col("w")}, ["column"], range_rows)
+    inside = counted.filter("kind <> 1").groupBy("column", "y", "place").agg(F.sum(F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto"))).alias("m"))
+    terms = near.join(inside, ["column", "y", "place"]).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k")) - digamma(F.col("size")) - digamma(F.col("m"))).alias("rest"))
+    return terms.select("column", F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("rest")).alias("mi"))
+
+
 def top_percent(scores: DataFrame, value: str, percent: float = 40.0) -> list[str]:
     """Columns in the top share of a ``(column, value)`` table, ties by name."""
     found = sorted(((-r[value], r["column"]) for r in scores.collect()))

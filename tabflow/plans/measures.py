@@ -244,6 +244,24 @@ def mutual_info(t: Tables) -> DataFrame:
     return rounded(stats.mutual_info(t.sensor_row, _SENSORS, "att_flag"), 9)
 
 
+_MI_NEAR = """with v as (select image_id as id, label as y, unnest(pixels[1:4]) as x, concat('p', generate_subscripts(pixels[1:4], 1) - 1) as "column" from image),
+    g as (select a."column", a.id, a.x, a.y, abs(a.x - b.x) as d, b.id as other, row_number() over (partition by a."column", a.id order by abs(a.x - b.x), b.id) as i, count(*) over (partition by a."column", a.id) as others
+        from v a join v b on a."column" = b."column" and a.y = b.y and a.id <> b.id),
+    r as (select "column", id, x, others + 1 as size, least(3, others) as k, d as radius from g where i = least(3, others)),
+    m as (select r."column", r.id, any_value(size) as size, any_value(k) as k, count(*) as m from r join v on r."column" = v."column" and v.y in (select y from v group by y, "column" having count(*) > 1)
+        and (abs(v.x - r.x) < radius or v.x = r.x) group by 1, 2),
+    h as (select i as n, sum(case when i > 1 then 1.0::double / (i - 1) else 0 end) over (order by i) - 0.5772156649015329 as psi from range(1, 200000) t(i))
+    select m."column", greatest(0, any_value(t.psi) + avg(a.psi - b.psi - c.psi)) as mi from m join (select "column", count(*) as n from m group by 1) s on m."column" = s."column"
+    join h t on t.n = s.n join h a on a.n = m.k join h b on b.n = m.size join h c on c.n = m.m group by 1"""
+
+
+@query("mutual_info_neighbors", f"select \"column\", {R('mi', 6)} as mi from ({_MI_NEAR})")
+def mutual_info_neighbors(t: Tables) -> DataFrame:
+    """By the third neighbour of the same label, for the first four entries of every vector."""
+    data = t.image.select("label", *[F.col("pixels")[i].alias(f"p{i}") for i in range(4)])
+    return rounded(stats.mutual_info_neighbors(data, [f"p{i}" for i in range(4)], "label"), 6)
+
+
 @query("select_percentile", "select id, list_price, parch_like from (select id, sale_price * 2 as list_price, floor(sale_price / 10) as parch_like from house)")
 def select_percentile(t: Tables) -> DataFrame:
     data = t.house.select(

@@ -295,3 +295,58 @@ def test_sigmoid_and_clip(spark):
     assert one(spark, maths.sigmoid(F.lit(0.0))) == 0.5
     assert one(spark, maths.clip_log(F.lit(0.0))) == pytest.approx(math.log(1e-15))
     assert one(spark, maths.ratio_squared(F.lit(1.0), F.lit(0.0), 0.0)) == 0.0
+
+
+def near_info(x, y, k=3):
+    """Ross's estimator by all distances."""
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    good = [i for i in range(len(x)) if x[i] is not None and not math.isnan(x[i]) and y[i] is not None]
+    good = [i for i in good if sum(y[j] == y[i] for j in good) > 1]
+    out = []
+    for i in good:
+        d = sorted(abs(x[i] - x[j]) for j in good if j != i and y[j] == y[i])
+        r = d[min(k, len(d)) - 1]
+        m = sum(abs(x[j] - x[i]) < r or x[j] == x[i] for j in good)
+        out.append(psi(min(k, len(d))) - psi(len(d) + 1) - psi(m))
+    return max(0.0, psi(len(good)) + sum(out) / len(out))
+
+
+@pytest.mark.parametrize("range_rows", [250_000, 40])
+def test_mutual_info_neighbors_equals_brute_force(spark, range_rows):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 240).tolist()
+    cols = {"near": [float(v + 0.3 * rng.normal()) for v in y], "noise": rng.normal(size=240).tolist(), "ties": [float(round(v + rng.normal())) for v in y], "holes": [float(v) if i % 5 else None for i, v in enumerate(rng.normal(size=240))]}
+    cols["holes"][1] = float("nan")
+    y[7], y[8] = None, 9
+    rows = [(y[i], *[c[i] for c in cols.values()], None) for i in range(240)]
+    df = spark.createDataFrame(rows, "y int, near double, noise double, ties double, holes double, empty double")
+    got = {r["column"]: r["mi"] for r in stats.mutual_info_neighbors(df, [*cols, "empty"], "y", 3, range_rows).collect()}
+    assert set(got) == set(cols)
+    for name, values in cols.items():
+        assert got[name] == pytest.approx(near_info(values, y), abs=1e-9), name
+    assert got["near"] > 0.7 > 0.1 > got["noise"]
+
+
+def test_digamma(spark):
+    got = [r[0] for r in spark.createDataFrame([(1,), (2,), (20,), (21,), (1000,)], "n long").select(stats.digamma(F.col("n"))).collect()]
+    assert np.allclose(got, [sum(1 / i for i in range(1, n)) - 0.5772156649015329 for n in (1, 2, 20, 21, 1000)], atol=1e-10)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "x double, z double, y int")
+    assert stats.histogram_by_class(df, ["x", "z"], "y").count() == 0
+    assert stats.mutual_info(df, ["x", "z"], "y").count() == 0
+    assert stats.mutual_info_neighbors(df, ["x"], "y").count() == 0
+
+
+@pytest.mark.parametrize("small", [10, 100_000])
+def test_quantiles_pass_over_nan(spark, small):
+    from tabflow.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    x = [float(v) for v in rng.normal(size=3000)] + [1.0] * 200
+    rows = [(v,) for v in x] + [(float("nan"),)] * 900 + [(None,)] * 100
+    df = spark.createDataFrame(rows, "v double").withColumn("n", F.lit(float("nan")))
+    got = exact_quantiles(df, ["v", "n"], [0.1, 0.82, 0.95, 1.0], small)
+    assert got["v"] == pytest.approx(np.quantile(x, [0.1, 0.82, 0.95, 1.0]).tolist())
+    assert got["n"] == [None] * 4
