@@ -26,8 +26,6 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Entries of the path that are looked at.
-NEAR, AROUND = 10, 4
 
 
 @dataclass(slots=True)
@@ -41,15 +39,15 @@ def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
     found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-    return tuple(sorted({w.lower() for w in _WORD.findall(found)}))[:12]
+    return tuple(sorted({w.lower() for w in _WORD.findall(found)}))
 
 
 def page_blocks(page: str) -> list[Block]:
-    """Non-empty blocks. Only ``RAW`` elements without an end reach to the end of the page. Character references are decoded, white space is one space; inline tags leave no trace, a line break is white space."""
+    """Non-empty blocks, each with the distinct tags and names of all elements around it, outermost first. Only ``RAW`` elements without an end reach to the end of the page. Character references are decoded, white space is one space; inline tags leave no trace, a line break is white space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     open_tags: dict[str, int] = {}
-    sections: list[tuple[str, tuple[str, ...]]] = []
+    around: dict[str, int] = {}
     pieces: list[str] = []
     links, linked, at = 0, 0, 0
 
@@ -66,21 +64,22 @@ def page_blocks(page: str) -> list[Block]:
         linked = 0
 
     def path() -> tuple[str, ...]:
-        near = stack[-NEAR:]
-        tokens = [f"leaf:{near[-1][0]}"] if near else []
-        for tag, names in near:
-            tokens.append(tag)
-            tokens += [f".{n}" for n in names]
-        for tag, names in sections[-AROUND:]:
-            tokens.append(f"in:{tag}")
-            tokens += [f".{n}" for n in names]
-        return tuple(dict.fromkeys(tokens))
+        return (f"leaf:{stack[-1][0]}", *around) if stack else ()
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        tokens = (tag, *(f".{n}" for n in names), *([f"in:{tag}"] if tag in SECTIONS else []))
+        stack.append((tag, tokens))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        for t in tokens:
+            around[t] = around.get(t, 0) + 1
 
     def pop() -> None:
-        tag, _ = entry = stack.pop()
+        tag, tokens = stack.pop()
         open_tags[tag] -= 1
-        if sections and sections[-1] is entry:
-            sections.pop()
+        for t in tokens:
+            around[t] -= 1
+            if not around[t]:
+                del around[t]
 
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -109,11 +108,7 @@ def page_blocks(page: str) -> list[Block]:
                 elif tag not in VOID and not attributes.endswith("/"):
                     if stack and ((stack[-1][0] == "p" and tag in BLOCK) or (stack[-1][0] == tag and tag in LIKE)):
                         pop()
-                    entry = (tag, _names(attributes))
-                    stack.append(entry)
-                    open_tags[tag] = open_tags.get(tag, 0) + 1
-                    if tag in SECTIONS:
-                        sections.append(entry)
+                    push(tag, _names(attributes))
         elif m[1]:
             pieces.append(" ")
     if at < len(page):

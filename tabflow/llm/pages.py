@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabflow.llm import words as W
 from tabflow.llm.blocks import Block, page_blocks
 
-PATH, WORDS, FORM = 256, 32, 8
+PATH, WORDS, FORM = 512, 32, 8
 INPUT, HIDDEN = PATH + WORDS + FORM, 16
 # Names that speak against and for main text; they label the pages the model is trained on (fixed values).
 AGAINST = frozenset(
@@ -182,13 +182,20 @@ class Labeller:
         return out
 
 
+def _made_up(rng: np.random.Generator, most: int) -> tuple[str, ...]:
+    return tuple(f".made-up-{n}" for n in rng.integers(0, 1 << 30, int(rng.integers(0, most + 1))))
+
+
 def _dressed(blocks: list[Block], rng: np.random.Generator, pool: list[Block]) -> tuple[list[Block], list[int | None]]:
-    """A page of the sample with other names for its main text and with parts that speak against it, put between or into its blocks."""
+    """A page of the sample with other names for its main text and with parts that speak against it, put between or into its blocks; half of the pages get names that say nothing, too."""
     labels = [seeded(b) for b in blocks]
     main = MAIN[int(rng.integers(len(MAIN)))]
     inside = (f"in:{main[0]}" if main[0] in ("article", "main", "section") else main[0], *(f".{n}" for n in main[1]))
     renamed = rng.random() < 0.6
     out, out_labels = [], []
+    # Wrappers and names that say nothing, around all of the page, and more of them around single blocks.
+    noisy = rng.random() < 0.5
+    page_names = _made_up(rng, 12) if noisy else ()
 
     def part() -> None:
         tag, names = PARTS[int(rng.integers(len(PARTS)))]
@@ -212,13 +219,15 @@ def _dressed(blocks: list[Block], rng: np.random.Generator, pool: list[Block]) -
         out_labels.append(y)
     if rng.random() < 0.5:
         part()
+    if noisy:
+        out = [replace(b, path=tuple(dict.fromkeys([*b.path, "div", *page_names, *(_made_up(rng, 10) if rng.random() < 0.5 else ())]))) for b in out]
     # Without any tags now and then: words and the rest of the page must do.
     if rng.random() < 0.1:
         out = [replace(b, path=()) for b in out]
     return out, out_labels
 
 
-def train(pages: list[str], rounds: int = 14, copies: int = 3, longest: int = 80, seed: int = 1) -> Labeller:
+def train(pages: list[str], rounds: int = 10, copies: int = 6, longest: int = 80, seed: int = 1) -> Labeller:
     """Fit on pages whose tags tell main text, each as it is and in dressed copies; blocks the tags say nothing of have no weight."""
     rng = np.random.default_rng(seed)
     vectors, model = Vectors(), Labeller.random(seed)
@@ -272,7 +281,7 @@ def main_text(pages: list[str], model: Labeller, vectors: Vectors) -> list[str]:
 def extracted(pages: DataFrame, model: Labeller, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Key, ``keep``, text and n_chars (code points) of the main text of every page, from the whole page.
 
-    A page is a sequence of blocks; each has hashed tags and names of the elements around it, hashed words and its form, and the network
+    A page is a sequence of blocks; each has hashed tags and all names of all elements around it, hashed words and its form, and the network
     reads the sequence from both ends. Scripts, styles, comments and unfinished tags are no text. Null is an empty page: empty text, as for a page
     without main text. Repeated rows stay; other columns are ignored. The model has a fixed size and is sent to all tasks; nothing is shuffled.
     """

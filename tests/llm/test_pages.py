@@ -111,3 +111,20 @@ def test_embedded_elements_lose_nothing():
     assert "video" in page_blocks("<p>a<video>b</video>c")[1].path and page_blocks("<p>a<video>b</video>c")[2].path == page_blocks("<p>c")[0].path
     page = '<video src="a">' * 20_000 + "<script>" * 20_000
     assert texts(page + "<p>x") == []
+
+
+UTILITY = "alpha beta body-x card col container dark flex gap grid hidden inner large"
+ARTICLE = "<h1>A title of some words</h1><p>The first paragraph of the text is here, and it is long enough.</p><p>A second paragraph follows, with more words in it.</p>"
+TEXT = "A title of some words The first paragraph of the text is here, and it is long enough. A second paragraph follows, with more words in it."
+
+
+def test_all_names_and_the_whole_path(model):
+    block = page_blocks(f'<div class="{UTILITY} sidebar">{"<div>" * 30}<p>x')[0]
+    assert {".sidebar", ".alpha", ".large", "leaf:p"} <= set(block.path)
+    assert "in:aside" in page_blocks("<aside>" + "<section>" * 10 + "<p>x")[0].path
+    deep, back = "<div>" * 30, "</div>" * 30
+    for article in (f'<div class="{UTILITY} content">{ARTICLE}</div>', f"<article>{deep}{ARTICLE}{back}</article>"):
+        for part in (f'<div class="{UTILITY} sidebar"><p>See what else there is to read.</p></div>', f'<div class="sidebar">{deep}<p>See what else there is to read.</p>{back}</div>', f'<div class="comments">{deep}<p>I liked this very much, thanks.</p>{back}</div>'):
+            assert main_text([f"<body>{article}{part}</body>"], model, Vectors()) == [TEXT]
+    closed = page_blocks("<div class=a><div class=b><p>x</p></div><p>y</p></div><p>z")
+    assert [b.path for b in closed] == [("leaf:p", "div", ".a", ".b", "p"), ("leaf:p", "div", ".a", "p"), ("leaf:p", "p")]
