@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tabflow.llm import words as W
 from tabflow.llm.blocks import Block, page_blocks
 
-PATH, WORDS, FORM = 512, 32, 8
+PATH, WORDS, FORM = 1024, 32, 8
+PART = 4096
 INPUT, HIDDEN = PATH + WORDS + FORM, 16
 # Names that speak against and for main text; they label the pages the model is trained on (fixed values).
 AGAINST = frozenset(
@@ -30,6 +31,8 @@ PARTS = (
     ("div", ("advert",)), ("div", ("ads",)), ("div", ("promo",)), ("div", ("sponsored",)), ("div", ("related",)), ("div", ("share",)), ("div", ("social",)), ("header", ()), ("div", ("header",)), ("nav", ()),
     ("div", ("menu",)), ("ul", ("menu",)), ("ul", ("nav",)), ("footer", ()), ("div", ("footer",)), ("div", ("breadcrumb",)), ("dialog", ()), ("div", ("subscribe",)), ("div", ("login",)), ("div", ("popup",)), ("section", ("related",)),
 )
+# Share of the dressed pages with names that say nothing, and the most of them around the page and around a block.
+NOISY, NAMES = 0.5, 12
 MAIN = (("article", ()), ("main", ()), ("div", ("content",)), ("div", ("article",)), ("div", ("post",)), ("div", ("entry", "content")), ("section", ("story",)), ("div", ("main",)))
 
 
@@ -55,7 +58,9 @@ class Vectors:
             v = np.zeros(PATH, np.float32)
             for token in path:
                 h = xxhash.xxh3_64_intdigest(token)
+                # Two places of a token: few share both with another one.
                 v[h % PATH] += 1 if h >> 63 else -1
+                v[(h >> 12) % PATH] += 1 if h >> 62 & 1 else -1
             self.paths[path] = v
         return self.paths[path]
 
@@ -104,10 +109,13 @@ class Labeller:
         p["c"] = np.zeros(1, np.float32)
         return cls(p)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction; x is time by page by input, in reading order of the direction."""
-        n_time, n_pages, _ = x.shape
-        from_input = x @ self.p[f"x{d}"] + self.p[f"b{d}"]
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """What the gates of both directions and the output get from the input: all that is needed of it to score."""
+        return np.concatenate([x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"], (x @ self.p["o"][2 * HIDDEN :])[..., None]], axis=-1)
+
+    def _run(self, from_input: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """States of one direction; the input is time by page by gate, in reading order of the direction."""
+        n_time, n_pages, _ = from_input.shape
         h, c = np.zeros((n_pages, HIDDEN), np.float32), np.zeros((n_pages, HIDDEN), np.float32)
         states, kept = np.zeros((n_time, n_pages, HIDDEN), np.float32), []
         for t in range(n_time):
@@ -139,31 +147,31 @@ class Labeller:
         grads[f"x{d}"] += np.tensordot(x, dz_all, axes=([0, 1], [0, 1]))
         grads[f"b{d}"] += dz_all.sum(axis=(0, 1))
 
-    def _scores(self, x: np.ndarray, mask: np.ndarray):
-        forward, kept_f = self._run(x, mask, "f")
-        backward, kept_b = self._run(x[::-1], mask[::-1], "b")
-        both = np.concatenate([forward, backward[::-1], x], axis=2)
-        return both @ self.p["o"] + self.p["c"], both, kept_f, kept_b
+    def _scores(self, z: np.ndarray, mask: np.ndarray):
+        forward, kept_f = self._run(z[..., : 4 * HIDDEN], mask, "f")
+        backward, kept_b = self._run(z[::-1, :, 4 * HIDDEN : 8 * HIDDEN], mask[::-1], "b")
+        states = np.concatenate([forward, backward[::-1]], axis=2)
+        return states @ self.p["o"][: 2 * HIDDEN] + z[..., 8 * HIDDEN] + self.p["c"], states, kept_f, kept_b
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log loss over the weighted blocks, and its gradient."""
-        scores, both, kept_f, kept_b = self._scores(x, mask)
+        scores, states, kept_f, kept_b = self._scores(self.project(x), mask)
         prob = 1 / (1 + np.exp(-scores))
         total = max(weight.sum(), 1e-9)
         loss = -(weight * np.log(np.where(y > 0, prob, 1 - prob) + 1e-9)).sum() / total
         slope = ((prob - y) * weight / total).astype(np.float32)
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grads["o"] = np.tensordot(slope, both, axes=([0, 1], [0, 1]))
+        grads["o"] = np.concatenate([np.tensordot(slope, v, axes=([0, 1], [0, 1])) for v in (states, x)])
         grads["c"] = slope.sum().reshape(1)
         down = slope[:, :, None] * self.p["o"][: 2 * HIDDEN]
         self._back(x, mask, "f", kept_f, down[:, :, :HIDDEN], grads)
         self._back(x[::-1], mask[::-1], "b", kept_b, down[::-1, :, HIDDEN:], grads)
         return float(loss), grads
 
-    def probabilities(self, x: np.ndarray, starts: np.ndarray, cells: int = 50_000) -> np.ndarray:
-        """For blocks of several pages in a row; pages of like length are read together, any length whole."""
+    def probabilities(self, z: np.ndarray, starts: np.ndarray, cells: int = 50_000) -> np.ndarray:
+        """For the projected blocks of several pages in a row; pages of like length are read together, any length whole."""
         sizes = np.diff(starts)
-        out = np.zeros(len(x), np.float32)
+        out = np.zeros(len(z), np.float32)
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
         lo = 0
@@ -176,7 +184,7 @@ class Labeller:
             time = np.arange(longest)[:, None]
             mask = (time < sizes[pages]).astype(np.float32)
             at = np.minimum(starts[pages] + time, starts[pages] + sizes[pages] - 1)
-            scores = self._scores(x[at], mask)[0]
+            scores = self._scores(z[at], mask)[0]
             out[at[mask > 0]] = (1 / (1 + np.exp(-scores)))[mask > 0]
             lo = hi
         return out
@@ -187,15 +195,15 @@ def _made_up(rng: np.random.Generator, most: int) -> tuple[str, ...]:
 
 
 def _dressed(blocks: list[Block], rng: np.random.Generator, pool: list[Block]) -> tuple[list[Block], list[int | None]]:
-    """A page of the sample with other names for its main text and with parts that speak against it, put between or into its blocks; half of the pages get names that say nothing, too."""
+    """A page of the sample with other names for its main text and with parts that speak against it, put between or into its blocks; most pages get names that say nothing, too."""
     labels = [seeded(b) for b in blocks]
     main = MAIN[int(rng.integers(len(MAIN)))]
     inside = (f"in:{main[0]}" if main[0] in ("article", "main", "section") else main[0], *(f".{n}" for n in main[1]))
     renamed = rng.random() < 0.6
     out, out_labels = [], []
     # Wrappers and names that say nothing, around all of the page, and more of them around single blocks.
-    noisy = rng.random() < 0.5
-    page_names = _made_up(rng, 12) if noisy else ()
+    noisy = rng.random() < NOISY
+    page_names = _made_up(rng, NAMES) if noisy else ()
 
     def part() -> None:
         tag, names = PARTS[int(rng.integers(len(PARTS)))]
@@ -220,7 +228,7 @@ def _dressed(blocks: list[Block], rng: np.random.Generator, pool: list[Block]) -
     if rng.random() < 0.5:
         part()
     if noisy:
-        out = [replace(b, path=tuple(dict.fromkeys([*b.path, "div", *page_names, *(_made_up(rng, 10) if rng.random() < 0.5 else ())]))) for b in out]
+        out = [replace(b, path=tuple(dict.fromkeys([*b.path, "div", *page_names, *(_made_up(rng, NAMES) if rng.random() < 0.5 else ())]))) for b in out]
     # Without any tags now and then: words and the rest of the page must do.
     if rng.random() < 0.1:
         out = [replace(b, path=()) for b in out]
@@ -274,7 +282,10 @@ def main_text(pages: list[str], model: Labeller, vectors: Vectors) -> list[str]:
     parsed = [page_blocks(p) for p in pages]
     starts = np.concatenate([[0], np.cumsum([len(b) for b in parsed])]).astype(np.int64)
     places = np.concatenate([np.arange(len(b)) / max(1, len(b) - 1) for b in parsed] or [np.zeros(0)])
-    prob = model.probabilities(vectors([b for p in parsed for b in p], places), starts)
+    blocks = [b for p in parsed for b in p]
+    # Input vectors are wide: a part of the blocks at a time, of any page.
+    parts = [model.project(vectors(blocks[i : i + PART], places[i : i + PART])) for i in range(0, max(1, len(blocks)), PART)]
+    prob = model.probabilities(np.concatenate(parts), starts)
     return [" ".join(b.text for b, p in zip(blocks, prob[lo:], strict=False) if p > 0.5) for blocks, lo in zip(parsed, starts, strict=False)]
 
 

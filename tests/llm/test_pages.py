@@ -79,7 +79,7 @@ def test_gradient():
 
 def test_batches_do_not_matter(model):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, INPUT)).astype(np.float32)
+    x = model.project(rng.normal(size=(60, INPUT)).astype(np.float32))
     starts = np.array([0, 10, 10, 11, 40, 60])
     assert np.allclose(model.probabilities(x, starts), model.probabilities(x, starts, cells=1), atol=1e-5)
 
