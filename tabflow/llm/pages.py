@@ -131,7 +131,8 @@ class Labeller:
             states[t] = h
         return states, kept
 
-    def _back(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list, slope: np.ndarray, grads: dict) -> None:
+    def _back(self, mask: np.ndarray, d: str, kept: list, slope: np.ndarray, grads: dict) -> np.ndarray:
+        """Slopes at the gates of one direction, in its reading order; adds up those of the recurrent weights."""
         dh, dc = np.zeros_like(slope[0]), np.zeros_like(slope[0])
         dz_all = np.zeros((*slope.shape[:2], 4 * HIDDEN), np.float32)
         for t in range(len(slope) - 1, -1, -1):
@@ -144,8 +145,7 @@ class Labeller:
             grads[f"h{d}"] += h0.T @ dz
             dz_all[t] = dz
             dh, dc = dz @ self.p[f"h{d}"].T, dc * f
-        grads[f"x{d}"] += np.tensordot(x, dz_all, axes=([0, 1], [0, 1]))
-        grads[f"b{d}"] += dz_all.sum(axis=(0, 1))
+        return dz_all
 
     def _scores(self, z: np.ndarray, mask: np.ndarray):
         forward, kept_f = self._run(z[..., : 4 * HIDDEN], mask, "f")
@@ -154,18 +154,23 @@ class Labeller:
         return states @ self.p["o"][: 2 * HIDDEN] + z[..., 8 * HIDDEN] + self.p["c"], states, kept_f, kept_b
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss over the weighted blocks, and its gradient."""
-        scores, states, kept_f, kept_b = self._scores(self.project(x), mask)
+        """Mean log loss over the weighted blocks, and its gradient; blocks of weight stand where the mask is 1."""
+        real = mask > 0
+        inputs = x[real]
+        z = np.zeros((*mask.shape, 8 * HIDDEN + 1), x.dtype)
+        z[real] = self.project(inputs)
+        scores, states, kept_f, kept_b = self._scores(z, mask)
         prob = 1 / (1 + np.exp(-scores))
         total = max(weight.sum(), 1e-9)
         loss = -(weight * np.log(np.where(y > 0, prob, 1 - prob) + 1e-9)).sum() / total
         slope = ((prob - y) * weight / total).astype(np.float32)
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grads["o"] = np.concatenate([np.tensordot(slope, v, axes=([0, 1], [0, 1])) for v in (states, x)])
+        grads["o"] = np.concatenate([slope[real] @ states[real], slope[real] @ inputs])
         grads["c"] = slope.sum().reshape(1)
         down = slope[:, :, None] * self.p["o"][: 2 * HIDDEN]
-        self._back(x, mask, "f", kept_f, down[:, :, :HIDDEN], grads)
-        self._back(x[::-1], mask[::-1], "b", kept_b, down[::-1, :, HIDDEN:], grads)
+        gates = {"f": self._back(mask, "f", kept_f, down[:, :, :HIDDEN], grads), "b": self._back(mask[::-1], "b", kept_b, down[::-1, :, HIDDEN:], grads)[::-1]}
+        for d, slopes in gates.items():
+            grads[f"x{d}"], grads[f"b{d}"] = inputs.T @ slopes[real], slopes[real].sum(axis=0)
         return float(loss), grads
 
     def probabilities(self, z: np.ndarray, starts: np.ndarray, cells: int = 50_000) -> np.ndarray:
@@ -235,7 +240,7 @@ def _dressed(blocks: list[Block], rng: np.random.Generator, pool: list[Block]) -
     return out, out_labels
 
 
-def train(pages: list[str], rounds: int = 10, copies: int = 6, longest: int = 80, seed: int = 1) -> Labeller:
+def train(pages: list[str], rounds: int = 8, copies: int = 4, longest: int = 80, seed: int = 1) -> Labeller:
     """Fit on pages whose tags tell main text, each as it is and in dressed copies; blocks the tags say nothing of have no weight."""
     rng = np.random.default_rng(seed)
     vectors, model = Vectors(), Labeller.random(seed)
