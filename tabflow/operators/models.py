@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.maths import linear, sigmoid
 from tabflow.operators import trees as forests
-from tabflow.session import cut_lineage, in_parallel
+from tabflow.session import cut_lineage, spread
 
 SEED = 157
 
@@ -223,14 +221,102 @@ def adaboost(df: DataFrame, label: str, rounds: int = 10, rate: float = 1.0, dep
     return AdaBoost(kept, classes, errors)
 
 
-def kmeans(df: DataFrame, k: int = 2, starts: int = 20, max_iter: int = 500, features: str = "features") -> Model:
-    """Best of several starts by cost; a few starts run side by side."""
+@dataclass(frozen=True)
+class Centres:
+    """Cluster centres of the best start, its cost (squared distances over all rows) and the costs of all starts."""
+
+    centres: np.ndarray
+    cost: float
+    costs: list[float]
+    scans: int
+    features: str
 
-    def start(i: int) -> Model:
-        return KMeans(featuresCol=features, k=k, maxIter=max_iter, seed=SEED + i).fit(df)
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802
+        return list(self.centres)
 
-    fits = in_parallel(df.sparkSession, [partial(start, i) for i in range(starts)], 4)
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``, the nearest centre (the first on a tie); NULL for a NULL vector."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def nearest(s: pd.Series) -> pd.Series:
+            known = s.notna().to_numpy()
+            out = pd.Series([None] * len(s), dtype="Int32")
+            if known.any():
+                out[known] = _gaps(np.stack(s[known].to_numpy()).astype(float), centres).argmin(axis=1)
+            return out
+
+        return df.withColumn("prediction", nearest(F.when(F.col(self.features).isNotNull(), vector_to_array(self.features))))
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+
+
+def _spread_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres drawn one by one, in proportion to the squared distance from those drawn before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    for _ in range(k - 1):
+        gap = _gaps(x, x[chosen]).min(axis=1)
+        chosen.append(int(rng.choice(len(x), p=gap / gap.sum())) if gap.sum() > 0 else int(rng.integers(len(x))))
+    return x[chosen].copy()
+
+
+def _step_sums(rows: DataFrame, centres: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One scan for all starts: sums and sizes of the clusters of every start, and its cost. ``centres`` is start by cluster by entry."""
+    starts, k, dims = centres.shape
+    flat = centres.reshape(-1, dims)
+    step = max(1, cells // (starts * k))
+
+    def run(batches):
+        total = np.zeros((starts * k, dims + 2))
+        for batch in batches:
+            whole = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.zeros((0, dims))
+            for lo in range(0, len(whole), step):
+                x = whole[lo : lo + step]
+                gaps = _gaps(x, flat).reshape(len(x), starts, k)
+                near = gaps.argmin(axis=2)
+                mine = np.zeros((len(x), starts, k))
+                np.put_along_axis(mine, near[:, :, None], 1.0, axis=2)
+                total[:, :dims] += mine.reshape(len(x), -1).T @ x
+                total[:, dims] += mine.sum(axis=0).reshape(-1)
+                total[:, dims + 1] += (mine * gaps).sum(axis=0).reshape(-1)
+        yield pd.DataFrame({"cluster": np.arange(starts * k, dtype=np.int32), "part": list(total)})
+
+    parts = rows.mapInPandas(run, "cluster int, part array<double>").select("cluster", F.posexplode("part").alias("i", "v"))
+    out = np.zeros((starts * k, dims + 2))
+    # As many rows as the centres have entries.
+    for r in parts.groupBy("cluster", "i").agg(F.sum("v").alias("v")).collect():
+        out[r.cluster, r.i] = r.v
+    out = out.reshape(starts, k, dims + 2)
+    return out[..., :dims], out[..., dims], out[..., dims + 1].sum(axis=1)
+
+
+def kmeans(df: DataFrame, k: int = 2, starts: int = 20, max_iter: int = 500, features: str = "features", tol: float = 1e-4, sample: int = 2048) -> Centres:
+    """Lloyd's steps from several starts; the start of least cost wins, the first on a tie.
+
+    A scan serves all starts that still move: tasks return sums and sizes per start and cluster, so the number of scans is that of the slowest
+    start, whatever their number. A start is done when no centre moves further than ``tol``. Starts are drawn from the ``sample`` rows that a hash of
+    the vector puts first; every step reads all rows. A cluster without rows keeps its centre. NULL vectors take no part; no other rows is an error.
+    """
+    rows = spread(cut_lineage(df.filter(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"))))
+    drawn = rows.orderBy(F.xxhash64("x"), "x").limit(sample).collect()
+    if not drawn:
+        raise ValueError("there is no row with a vector")
+    first = np.array([r.x for r in drawn], float)
+    centres = np.stack([_spread_start(first, k, SEED + i) for i in range(starts)])
+    moving, scans = np.arange(starts), 0
+    while len(moving) and scans < max_iter:
+        sums, sizes, _ = _step_sums(rows, centres[moving])
+        scans += 1
+        new = np.where(sizes[..., None] > 0, sums / np.maximum(sizes, 1)[..., None], centres[moving])
+        moved = np.sqrt(((new - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centres[moving] = new
+        moving = moving[moved > tol]
+    costs = _step_sums(rows, centres)[2]
+    best = int(costs.argmin())
+    return Centres(centres[best], float(costs[best]), [float(c) for c in costs], scans + 1, features)
 
 
 def majority_label(scored: DataFrame, cluster: str, label: str) -> DataFrame:

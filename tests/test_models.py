@@ -329,3 +329,32 @@ def test_sweep_and_threshold_agree_on_nan(spark):
     again = metrics.apply_threshold(df.filter("y is not null and p is not null"), "y", "p", best.epsilon).first()
     assert (again.tp, again.fn, again.fp, again.tn, again.f1) == (best.tp, best.fn, best.fp, best.tn, best.f1)
     assert metrics.threshold_sweep(df.filter("isnan(p)"), "y", "p").count() == 0
+
+
+def test_kmeans_starts_share_scans(spark):
+    """Every start ends where a plain loop over the same rows ends, and more starts need no more scans than the slowest one."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.6, size=(60, 3)) for c in (0.0, 2.0, 5.0)]).round(3)
+    known = models.with_features(spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>"), "v")
+    data = known.unionByName(spark.createDataFrame([(None, None)], known.schema))
+    model = models.kmeans(data, 3, 4, 100, tol=1e-9)
+    ordered = known.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").collect()
+    first = np.array([r.v for r in ordered])
+    costs, steps = [], []
+    for i in range(4):
+        c, n = models._spread_start(first, 3, models.SEED + i), 0
+        while True:
+            near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.stack([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(3)])
+            n += 1
+            if np.abs(new - c).max() <= 1e-12:
+                break
+            c = new
+        costs.append(((x[:, None] - c) ** 2).sum(axis=2).min(axis=1).sum())
+        steps.append(n)
+    assert np.allclose(model.costs, costs) and model.cost == pytest.approx(min(costs)) and model.scans <= max(steps) + 2
+    got = model.transform(data).collect()
+    assert [r.prediction for r in got if r.v is None] == [None]
+    assert all(r.prediction == ((np.array(r.v) - model.centres) ** 2).sum(axis=1).argmin() for r in got if r.v is not None)
+    with pytest.raises(ValueError):
+        models.kmeans(data.limit(0))
