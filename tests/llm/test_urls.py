@@ -20,7 +20,7 @@ def ruled(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def brute(pages, labels, depth=4, width=50, least=5, z=2.6, prior=20.0):
+def brute(pages, labels, depth=4, least=5, z=2.6, prior=20.0):
     """The tree node by node."""
     info = {}
     for key, url in pages:
@@ -39,7 +39,7 @@ def brute(pages, labels, depth=4, width=50, least=5, z=2.6, prior=20.0):
             lab, bad = sum(map(len, known.values())), sum(map(sum, known.values()))
             for c, x in known.items():
                 rest = lab - len(x)
-                if c != "*" and len(children) <= width and len(children[c]) >= least and x and rest:
+                if c != "*" and len(children[c]) >= least and x and rest:
                     share = bad / lab
                     error = math.sqrt(share * (1 - share) * (1 / len(x) + 1 / rest))
                     if error > 0 and abs(sum(x) / len(x) - (bad - sum(x)) / rest) >= z * error:
