@@ -37,8 +37,8 @@ GATE = {
 NEAR = {"email": "mail|contact|write|@", "ip": r"\bip\b|server|host|addr|login", "card": "card|visa|credit|iban|pay|master", "phone": "phone|tel|call|fax|mobile|cell|whatsapp"}
 LEFT, RIGHT = 24, 8
 SPAN = "array<struct<start:int,kind:int,end:int,found:string>>"
-# Texts that are drawn for each that the sample may hold; few texts hold personal data.
-LOOKED_AT = 40
+# What every text with a base span holds.
+HINTS = r"@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{6}|[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]|[0-9]\.[0-9]+\.[0-9]"
 FEATURES = (
     "is_email", "is_ip", "is_card", "is_phone", "n_digits", "n_letters", "n_chars", "n_groups", "longest_group", "shortest_group", "n_dots", "n_seps",
     "n_spaces", "plus", "paren", "at", "luhn", "parts_ok", "first_digit", "near", "left_word", "right_word", "left_symbol", "right_symbol", "shares_domain",
@@ -183,35 +183,35 @@ def _nodes(node):
     return (int(node.split().featureIndex()), float(node.split().threshold()), _nodes(node.leftChild()), _nodes(node.rightChild()))
 
 
-def fit_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 3000, rounds: int = 12, depth: int = 3, precision: float = 0.98) -> Model:
-    """Train on a sample of at most ``sample_docs`` texts that hold base spans, drawn by hash from about ``LOOKED_AT`` times as many texts.
+def _examples(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """draw, kind, found, left, right and whether it is a base span (its other spellings are rows too): all candidates of texts that hold base spans.
+
+    Of a text only what ``described`` looks at goes on, so a row does not grow with its text.
+    """
+    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    around = lambda s, base: F.struct(
+        s["kind"].alias("kind"), s["found"].alias("found"), F.lit(base).alias("base"), F.substr("text", F.greatest(s["start"] - LEFT, F.lit(0)) + 1, F.least(s["start"], F.lit(LEFT))).alias("left"),
+        F.substr("text", s["end"] + 1, F.lit(RIGHT)).alias("right"))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("draw")).filter(F.rlike("text", F.lit(HINTS)))
+    rows = rows.select("draw", "text", base_spans(F.col("text")).alias("base"))
+    other = F.filter(wide_spans(F.col("text")), lambda s: ~F.exists("base", lambda b: touch(b, s)))
+    spans = F.concat(F.transform("base", lambda s: around(s, True)), F.transform(other, lambda s: around(s, False)))
+    found = rows.select("draw", F.explode(F.when(F.size("base") > 0, spans)).alias("s")).select("draw", "s.*")
+    as_they_are = F.array(F.struct(F.col("found"), F.lit(0).alias("label")))
+    spelled = F.when(F.col("base"), variants(F.struct("kind", "found"))).otherwise(as_they_are)
+    return found.select("draw", "kind", "left", "right", F.explode(spelled).alias("v")).select("draw", "kind", "left", "v.found", "right", "v.label")
+
+
+def fit_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 12, depth: int = 3, precision: float = 0.98) -> Model:
+    """Train on the candidates of all texts that hold base spans.
 
     Labels are weak: base spans and their other spellings speak for a kind, look-alikes and generator spans that touch
     no base span against it. Two thirds of the texts fit the trees, the rest set for each kind the least score at which
     the share of true spans is ``precision``. With no such text, or labels of one kind only, nothing is selected.
     """
-    # The draw comes first, so that what is sorted and looked at does not grow with the corpus.
-    share = min(1.0, LOOKED_AT * sample_docs / max(1, docs.count()))
-    spans = (
-        docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("draw"))
-        .filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
-        .filter(F.rlike("text", F.lit(r"@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{6}|[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]|[0-9]\.[0-9]+\.[0-9]")))
-        .filter(F.length("text") <= 100_000)
-        .orderBy("draw", F.length("text")).limit(sample_docs)
-        .select("draw", "text", base_spans(F.col("text")).alias("base"))
-    )
-    spans = cut_lineage(spans.filter(F.size("base") > 0))
-    truth = spans.select("draw", "text", F.explode("base").alias("s")).select("draw", "text", "s", F.explode(variants(F.col("s"))).alias("v"))
-    # The variant stands where the base span stood.
-    truth = truth.select(
-        "draw", F.concat(F.substr("text", F.lit(1), F.col("s.start")), F.col("v.found"), F.substr("text", F.col("s.end") + 1, F.lit(64))).alias("text"),
-        F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), (F.col("s.start") + F.length("v.found")).alias("end"), F.col("v.found").alias("found")).alias("s"),
-        F.col("v.label").alias("label"),
-    )
-    other = spans.select("draw", "text", F.explode(F.filter(wide_spans(F.col("text")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).alias("s"))
-    rows = truth.unionByName(other.withColumn("label", F.lit(0)))
-    rows = rows.select("draw", "label", F.col("s.kind").alias("kind"), described(F.col("s"), F.col("text")).alias("x"))
-    rows = cut_lineage(rows.select("draw", "label", "kind", *[F.col("x")[i].alias(f) for i, f in enumerate(FEATURES)]).repartition(4, "draw"))
+    span = F.struct(F.length("left").alias("start"), "kind", (F.length("left") + F.length("found")).alias("end"), "found")
+    rows = _examples(docs, key, text).select("draw", "label", "kind", described(span, F.concat("left", "found", "right")).alias("x"))
+    rows = cut_lineage(rows.select("draw", "label", "kind", *[F.col("x")[i].alias(f) for i, f in enumerate(FEATURES)]))
     if rows.select("label").distinct().count() < 2:
         return Model()
     fit = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.filter(F.pmod(F.shiftright("draw", 32), F.lit(3)) != 0))

@@ -93,3 +93,17 @@ def test_luhn(spark):
 def test_fit_without_examples(spark):
     docs = spark.createDataFrame([(1, "no such thing"), (2, None)], "doc_id long, text string")
     assert fit_candidates(docs).trees == [] and fit_candidates(docs.limit(0)).trees == []
+
+
+def test_all_texts_are_learnt_from(spark):
+    """However many texts there are, and however long."""
+    from tabflow.llm import pii
+
+    long = "word " * 21_000
+    docs = spark.range(3300).selectExpr("id as doc_id", "concat('mail a', id, '@b', id, '.org or 12', id, '-34-56-7') as text")
+    assert pii._examples(docs, "doc_id", "text").agg(F.count_distinct("draw")).first()[0] == 3300
+    wide = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.lit(long + "mail a"), F.col("id").cast("string"), F.lit("@b.org or 12-34-56-789 or "), F.lit("4111111111111111")).alias("text"))
+    rows = pii._examples(wide, "doc_id", "text").collect()
+    assert len({r.draw for r in rows}) == 12 and {r.kind for r in rows if r.label} == {0, 2}
+    assert max(len(r.left) for r in rows) == pii.LEFT and max(len(r.right) for r in rows) == pii.RIGHT
+    assert fit_candidates(wide).trees
