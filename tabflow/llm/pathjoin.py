@@ -26,15 +26,17 @@ FIRST_DEPTH, MOST_DEPTH = 2, 4
 BUCKET = 256
 # Sets of a larger bucket that others may stand behind, and the similarity of sketches from which they do.
 LEADERS, BEHIND = 8, 0.75
+# How far below the threshold an estimated similarity may be for sets to be compared exactly.
+MARGIN = 0.3
 # Sets and bytes of text that one task verifies at once.
 BLOCK_SETS, BLOCK_BYTES = 400, 4 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Independent runs after which a pair at the threshold has met in a bucket with probability ``recall``."""
+    """Independent runs after which a pair at the threshold has met in a bucket with probability ``recall``, however deep its buckets were split."""
     met = 1.0
-    for _ in range(FIRST_DEPTH):
+    for _ in range(MOST_DEPTH):
         met = 1 - math.exp(-BRANCHES * threshold * met)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
@@ -142,7 +144,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
     """Links inside buckets of bounded size, as a star per group of similar sets. Needs node, sid, size, sketch."""
-    least = threshold - 0.3
+    least = threshold - MARGIN
 
     def links(table: pa.Table) -> pa.RecordBatch:
         node, sid, size = (table.column(c).to_numpy() for c in ("node", "sid", "size"))
@@ -200,12 +202,14 @@ def _counted(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(met, "node"))
 
 
-def _led(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of sets to a leader of their node that they resemble, and the rows that are left, leaders among them.
+def _led(rows: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Sets ``a`` that stand behind a leader of their node, and the rows that are left, leaders among them; both with the ``leaders`` they are linked to.
 
-    Leaders are drawn by hash, up to ``LEADERS`` for a node, none of which resembles an earlier one. A set behind a leader has left the node: the
-    leader meets what resembles it. So a node of near copies shrinks to a few rows, however large it was.
+    Leaders are drawn by hash, up to ``LEADERS`` for a node, none of which resembles an earlier one. A set behind a leader has left the node. So a
+    node of near copies shrinks to a few rows, however large it was. What is similar to a set that left is not far from its leader, as one minus
+    the similarity is a distance: every set is linked to all leaders that near, whether it leaves or stays.
     """
+    near = threshold - MARGIN
     drawn = [F.min(F.struct(F.xxhash64("sid", "node", F.lit(i)).alias("h"), "sid", "sketch")).alias(f"l{i}") for i in range(LEADERS)]
     leaders = rows.groupBy("node").agg(*drawn).select("node", F.array(*[f"l{i}.sid" for i in range(LEADERS)]).alias("ids"), F.array(*[f"l{i}.sketch" for i in range(LEADERS)]).alias("sketches"))
 
@@ -233,18 +237,21 @@ def _led(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             ids = batch.column("ids").flatten().to_numpy().reshape(-1, LEADERS)
             stays = batch.column("stays").flatten().to_numpy(zero_copy_only=False).reshape(-1, LEADERS)
             theirs = padded(batch.column("sketches").flatten()).reshape(-1, LEADERS, SKETCH)
-            leader, behind = np.zeros(len(sid), np.int64), np.zeros(len(sid), bool)
+            close, behind = np.zeros((len(sid), LEADERS), bool), np.zeros(len(sid), bool)
             leads = ((ids == sid[:, None]) & stays).any(axis=1)
             for i in range(LEADERS):
-                at = np.nonzero(stays[:, i] & ~behind & ~leads)[0]
-                at = at[_alike(own[at], theirs[at, i]) >= BEHIND] if len(at) else at
-                leader[at], behind[at] = ids[at, i], True
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "sid", "size", "sketch")), pa.array(leader, pa.int64(), mask=~behind)], ["node", "sid", "size", "sketch", "leader"])
+                at = np.nonzero(stays[:, i] & ~leads)[0]
+                if len(at):
+                    like = _alike(own[at], theirs[at, i])
+                    close[at, i] = like >= near
+                    behind[at[like >= BEHIND]] = True
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(close.sum(axis=1))]), pa.int32()), pa.array(ids[close], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "sid", "size", "sketch")), lists, pa.array(behind)], ["node", "sid", "size", "sketch", "leaders", "behind"])
 
     leaders = leaders.mapInArrow(apart, "node long, ids array<long>, sketches array<binary>, stays array<boolean>")
     joined = rows.select("node", "sid", "size", "sketch").join(leaders, "node")
-    judged = cut_lineage(joined.mapInArrow(judge, "node long, sid long, size int, sketch binary, leader long"))
-    return judged.filter("leader is not null").select(F.col("sid").alias("a"), F.col("leader").alias("b")), judged.filter("leader is null").drop("leader")
+    judged = cut_lineage(joined.mapInArrow(judge, "node long, sid long, size int, sketch binary, leaders array<long>, behind boolean"))
+    return judged.filter("behind").select(F.col("sid").alias("a"), "leaders"), judged.filter("not behind").drop("behind")
 
 
 def _candidate_links(sketches: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -257,20 +264,20 @@ def _candidate_links(sketches: DataFrame, threshold: float, recall: float) -> Da
     for depth in range(FIRST_DEPTH, MOST_DEPTH + 1):
         if large.isEmpty():
             return found
-        links, left = _led(large)
-        rows = _counted(left)
-        found = found.unionByName(links).unionByName(_bucket_links(rows.filter(F.col("n") <= BUCKET), threshold))
+        links, left = _led(large, threshold)
+        rows = _counted(left.drop("leaders"))
+        near = links.unionByName(left.select(F.col("sid").alias("a"), "leaders")).select("a", F.explode("leaders").alias("b"))
+        found = found.unionByName(near).unionByName(_bucket_links(rows.filter(F.col("n") <= BUCKET), threshold))
         large = rows.filter(F.col("n") > BUCKET)
         if depth < MOST_DEPTH:
             rows = _counted(cut_lineage(_deeper(large)))
             found = found.unionByName(_bucket_links(rows.filter(F.col("n") <= BUCKET), threshold))
             large = rows.filter(F.col("n") > BUCKET)
-    # What still is large has no near copies: it is dealt into blocks, and some of its sets go to every block of theirs.
-    blocks = F.ceil(F.col("n") / BUCKET)
-    draw = F.xxhash64("node", "sid")
-    home = F.array(F.pmod(draw, blocks))
-    every = F.when(F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("n") / 32)) == 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(home)
-    dealt = large.withColumn("block", F.explode(every)).withColumn("node", F.xxhash64("node", "block"))
+    # What still is large has few near copies left: it is dealt into blocks, and every block meets every other in a node of their own.
+    blocks = F.ceil(F.col("n") / (4 * BUCKET))
+    home = F.pmod(F.xxhash64("node", "sid"), blocks)
+    dealt = large.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumn("node", F.xxhash64("node", F.least("home", "other"), F.greatest("home", "other")))
     return found.unionByName(_bucket_links(dealt, threshold))
 
 
@@ -323,7 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     of the text. Sets that are equal are one from the start. A set walks down random trees: at a node it
     goes to the children named by tokens that a hash of the node and the token samples, so similar sets meet in buckets and others
     part. Buckets of up to ``BUCKET`` sets are compared by sketches. In larger ones near copies first go behind a leader, the rest is split further, and
-    what stays large is dealt into blocks at last; ``runs_for`` gives the number of trees for ``recall``. Sets that the links connect are then compared
+    what stays large is compared block by block at last; ``runs_for`` gives the number of trees for ``recall``. Sets that the links connect are then compared
     exactly, large groups in pairs of blocks. A link is an exact statement; one is missed with probability 1 - ``recall`` at most at
     the threshold, less above it. Sets are known by 64-bit hashes.
 

@@ -146,3 +146,32 @@ def test_near_copies_leave_large_buckets(spark):
     few, many = left(300), left(1500)
     assert few[0] <= 30 and many[0] <= 30
     assert few[0] + few[1] == 300 and many[0] + many[1] == 1500
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts that share most of their words stay in large buckets without near copies; pairs among them are found all the same."""
+    monkeypatch.setattr(pathjoin, "BUCKET", 4)
+    monkeypatch.setattr(pathjoin, "LEADERS", 1)
+    rng = random.Random(3)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for f in range(90):
+        own, at = list(base), rng.randrange(0, 100)
+        own[at : at + 95] = [f"f{f}w{i}" for i in range(95)]
+        rows += [" ".join(own), noisy(rng, own, 2)]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert sum(n for _, _, n, _ in want) == 180
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_what_resembles_a_set_behind_a_leader_is_linked(spark, monkeypatch):
+    """A set far enough from a leader to stay, and so near to one that left that they may be similar, is linked to the leader, too."""
+    monkeypatch.setattr(pathjoin, "LEADERS", 1)
+    tokens = np.arange(1, 2000, dtype=np.uint32) * np.uint32(7)
+    sets = [(i, list(map(int, tokens[a : a + 64]))) for i, a in ((1, 0), (2, 8), (3, 18), (4, 500))]
+    rows = [(1, sid, 64, bytes(np.array(x, "<u4").tobytes())) for sid, x in sets]
+    df = spark.createDataFrame(rows, "node long, sid long, size int, sketch binary")
+    links, left = pathjoin._led(df)
+    (leader,) = {b for r in links.collect() for b in r.leaders} | {b for r in left.collect() for b in r.leaders} or {4}
+    linked = {r.a for r in links.collect()} | {r.sid for r in left.collect() if r.leaders}
+    assert linked | {leader} >= ({1, 2, 3} if leader != 4 else {4})
