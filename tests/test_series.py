@@ -185,3 +185,24 @@ def test_hashed_neighbors(spark):
     assert neighbors.fit_hash(noise, "id", "v", 5) is None
     assert neighbors.knn_approx(noise, noise, "id", "v", 5).count() == 1500
     assert neighbors.fit_hash(noise.limit(0), "id", "v", 5) is None
+
+
+def test_neighbors_hold_few_numbers_at_once(spark, monkeypatch):
+    """Whatever the number of cells, tables and rows, arrays of distances and frames of copied vectors stay small; results don't change."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 20))
+    x[600:] = x[:100]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(neighbors, "BLOCK_VALUES", 2000)
+    block, largest = neighbors._block, []
+
+    def watched(q, rows, *args):
+        largest.append(len(q) * len(rows))
+        return block(q, rows, *args)
+
+    monkeypatch.setattr(neighbors, "_block", watched)
+    found = neighbors._nearest(x, x, np.arange(700), np.arange(700), 5, "euclidean", True)
+    assert len(largest) > 1 and max(largest) <= 2000
+    want = brute_neighbors(x, range(len(x)), 5, "euclidean", True)
+    assert found.groupby("query_id")["neighbor_id"].apply(list).to_dict() == want
+    assert max(s.stop - s.start for s in neighbors._slices(5000, 64)) * 64 <= 2000
