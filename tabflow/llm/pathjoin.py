@@ -266,8 +266,9 @@ def _candidate_links(sketches: DataFrame, threshold: float, recall: float) -> Da
             return found
         links, left = _led(large, threshold)
         rows = _counted(left.drop("leaders"))
-        near = links.unionByName(left.select(F.col("sid").alias("a"), "leaders")).select("a", F.explode("leaders").alias("b"))
-        found = found.unionByName(near).unionByName(_bucket_links(rows.filter(F.col("n") <= BUCKET), threshold))
+        near = cut_lineage(links.unionByName(left.select(F.col("sid").alias("a"), "leaders")).filter(F.size("leaders") > 0))
+        # A set hangs on one leader; leaders near the same set hang on each other, once for all sets that are near the same ones.
+        found = found.unionByName(near.select("a", F.array_min("leaders").alias("b"))).unionByName(_star(near.select("leaders").distinct(), "leaders")).unionByName(_bucket_links(rows.filter(F.col("n") <= BUCKET), threshold))
         large = rows.filter(F.col("n") > BUCKET)
         if depth < MOST_DEPTH:
             rows = _counted(cut_lineage(_deeper(large)))
@@ -281,6 +282,21 @@ def _candidate_links(sketches: DataFrame, threshold: float, recall: float) -> Da
     return found.unionByName(_bucket_links(dealt, threshold))
 
 
+def _star(rows: DataFrame, column: str) -> DataFrame:
+    """Links ``a`` and ``b`` of the least of a list of sets with each other one."""
+    return rows.select(F.array_min(column).alias("a"), F.explode(column).alias("b")).filter("a < b").distinct()
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links that connect the same sets: of all that ``a`` hangs on it keeps the least, on which the others hang instead.
+
+    A large group is met in many buckets or blocks, in each with another root. So its links outnumber its sets by the number of
+    these; here they are about one for each set. A list has as many entries as buckets or blocks its set was met in.
+    """
+    held = cut_lineage(links.groupBy("a").agg(F.collect_set("b").alias("on")))
+    return held.select("a", F.array_min("on").alias("b")).unionByName(_star(held, "on"))
+
+
 def _verified(members: DataFrame, width: int, threshold: float) -> DataFrame:
     """Exact links inside tasks. Rows: job, group, side (0, 1, or 2 for both), sid, text; a pair counts if it is of one group
     and its sides are 0 and 1, or both 2. Returns sid, n_links and root, a smallest set of its own side or the other linked to it."""
@@ -342,7 +358,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets = seen.filter("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("first"), F.count("*").alias("n_copies"), F.max("n_bytes").alias("n_bytes"))
     sets = cut_lineage(sets.select("sid", "first.key", "first.mark", "n_copies", "n_bytes"))
     sketches = cut_lineage(seen.filter("sid is not null").select("sid", "size", "sketch").distinct())
-    near = connected(_candidate_links(sketches, threshold, recall))
+    near = connected(_thinned(_candidate_links(sketches, threshold, recall)))
     groups = near.join(sets, near.node == sets.sid).select("sid", "root", "key", "mark", "n_bytes")
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"), F.sum("n_bytes").alias("bytes"))
     groups = cut_lineage(groups.join(sizes, "root"))
@@ -361,7 +377,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = groups.hint("merge").join(rows, same).select("sid", "text").dropDuplicates(["sid"])
     checked = cut_lineage(_verified(dealt.join(texts, "sid").select("job", "group", "side", "sid", "text"), width, threshold))
     links = checked.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
-    classes = connected(checked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    classes = connected(_thinned(checked.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
     known = (
         sets.select("sid", F.struct(F.col("key").isNull().alias("none"), "key", "mark").alias("least"), "n_copies").join(links, "sid", "left").join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left")
         .select("sid", "least", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "sid").alias("root"))

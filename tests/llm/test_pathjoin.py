@@ -95,6 +95,30 @@ def test_crowd_equals_brute_force(spark, crowd, monkeypatch):
     assert result(near_duplicates(docs)) == brute(crowd)
 
 
+def test_links_do_not_grow_with_buckets_or_blocks(spark, crowd, monkeypatch):
+    monkeypatch.setattr(pathjoin, "BUCKET", 24)
+    monkeypatch.setattr(pathjoin, "BLOCK_SETS", 20)
+    found = []
+
+    def seen(links):
+        found.append((links.distinct().count(), links.select("a").union(links.select("b")).distinct().count()))
+        return connected(links)
+
+    monkeypatch.setattr(pathjoin, "connected", seen)
+    docs = spark.createDataFrame(crowd, "doc_id long, text string")
+    near_duplicates(docs)
+    # One link for each set, and a few between those that sets hang on; one for each bucket or block a set was met in would be many more.
+    assert len(found) == 2
+    assert all(links <= 2.5 * sets for links, sets in found)
+
+
+def test_thinned_links_connect_the_same_sets(spark):
+    rng = np.random.default_rng(3)
+    links = spark.createDataFrame([tuple(map(int, x)) for x in rng.integers(0, 300, (250, 2))] + [(7, 7), (900, 900), (5, 1), (5, 2)], "a long, b long")
+    thin = pathjoin._thinned(links)
+    assert {tuple(r) for r in connected(thin).collect()} == {tuple(r) for r in connected(links).collect()}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
