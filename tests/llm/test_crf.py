@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tabflow.llm import crf
 from tabflow.llm.crf import fit_languages, languages, marginals, remainder
 from tabflow.llm.queries import QUERIES
 
@@ -85,3 +86,16 @@ def test_every_label_is_learnt(spark):
     texts = [(1, " ".join(words["l119"]), "l119"), (2, "hier sind lang texte", "long"), (3, "日本語日本語", "wide")]
     out = languages(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model).collect()
     assert all(r.lang_pred == r["lang"] for r in out)
+
+
+def test_words_are_scored_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{rng.integers(3000)}x{rng.integers(9)}" for _ in range(n)) for n in (0, 1, 400, 2500, 5000)] + ["", "12 34", "é ü"], pa.large_string())
+    model = crf.Model(["a", "b"], rng.normal(size=(crf.BUCKETS, 2)).astype(np.float32), pa.array(["w1x1"], pa.large_string()), np.array([0]), np.eye(2, dtype=np.float32), rng.normal(size=(2, 2)), rng.random(crf.SEEN) < 0.5)
+    want = model.label(texts)
+    held = []
+    for name in ("features", "seen_grams"):
+        monkeypatch.setattr(crf, name, lambda words, f=getattr(crf, name): held.append(len(words)) or f(words))
+    monkeypatch.setattr(crf, "LABEL_WORDS", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(model.label(texts), want, strict=True))
+    assert len(held) > 20 and max(held) <= 100
