@@ -28,6 +28,8 @@ SEED = 157
 SCAN_NUMBERS = 8_000_000
 # Bytes that the tasks of a scan may answer with to the driver; more are added up in groups.
 ANSWER_BYTES = 8 << 20
+# Cells of the grid of bins up to which boosting adds up all rows of a cell first, which all trees treat alike.
+MOST_CELLS = 1 << 20
 # Rounds of boosting whose trees are walked again before margins are written.
 WRITE_ROUNDS = 10
 _F32 = float(np.finfo(np.float32).max)
@@ -515,6 +517,9 @@ def boost(
     numbers, and each node takes the cut of most gain ``GL^2/(HL+penalty) + GR^2/(HR+penalty) - G^2/(H+penalty)`` whose sides weigh ``least_weight`` or
     more, of equal ones the first. Leaves hold ``-rate * G / (H + penalty)``. Columns are drawn per tree, then per level, then per node. Margins are
     written every ``write_rounds`` rounds; the trees since are walked again. Rows with a null are not learnt from; NaN is above all values.
+
+    No tree tells rows of the same bins apart. If few features have at most ``MOST_CELLS`` combinations of bins, the rows of each are added up once
+    (for classes, those of each class), and the scans of all rounds read these sums, which don't grow with the rows.
     """
     columns = 1 if classes in (0, 2) else classes
     raw = packed_rows(df, features, [label])
@@ -522,22 +527,14 @@ def boost(
     width = len(borders)
     base, unit = _start(raw, classes, columns)
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column("x")[i].as_py(), "<f4").reshape(-1, width)
-                margins = np.tile(base, (len(x), 1))
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (_binned(x, borders).astype("<i2").tobytes(), batch.column("c0")[i].as_py(), margins.astype("<f8").tobytes())], ["x", "y", "margins"])
-
-    shape = "x binary, y binary, margins binary"
-    rows = cut_lineage(raw.mapInArrow(binned, shape))
+    rows = cut_lineage(_summed_cells(raw, borders, base, unit, classes) if (bins + 1) ** width <= MOST_CELLS else _binned_rows(raw, borders, base, unit, classes))
     tasks = rows.rdd.getNumPartitions()
     trees = _no_trees(0, 1, np.int16)
     losses: list[float] = []
     written = 0
     for n in range(rounds):
         if n - written == write_rounds:
-            rows, written = cut_lineage(rows.mapInArrow(_walked(trees, written * columns, columns, depth, width), shape)), n
+            rows, written = cut_lineage(rows.mapInArrow(_walked(trees, written * columns, columns, depth, width), _BLOCK)), n
             tasks = rows.rdd.getNumPartitions()
         roots = len(trees.left) + np.arange(columns)
         trees = Trees(np.concatenate([trees.roots, roots]), np.concatenate([trees.feature, np.zeros(columns, np.int32)]), np.concatenate([trees.cut, np.zeros(columns, np.int16)]),
@@ -547,30 +544,94 @@ def boost(
             if not len(active):
                 break
             active, owner, loss = _boost_level(
-                rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, unit, rate, penalty, least_weight, (by_tree, by_level, by_node), seed, tasks)
+                rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, base, unit, rate, penalty, least_weight, (by_tree, by_level, by_node), seed, tasks)
             if level == 0:
                 losses.append(loss)
     return Boosted(trees, columns, base, borders, depth, features, classes, losses)
 
 
-def _block(batch: pa.RecordBatch, i: int, columns: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(batch.column("x")[i].as_py(), "<i2").reshape(-1, width)
-    return x, np.frombuffer(batch.column("y")[i].as_py(), "<f8"), np.frombuffer(batch.column("margins")[i].as_py(), "<f8").reshape(-1, columns).copy()
+# Rows of a block: bins; label, or for a number the sum of its gaps to the first margin in whole units; how many rows; sum of the squared gaps; margins.
+_BLOCK = "x binary, y binary, n binary, q binary, margins binary"
+
+
+def _as_block(x: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    held = (x.astype("<i2"), y.astype("<i8"), n.astype("<i8"), q.astype("<f8"), np.tile(base, (len(x), 1)).astype("<f8"))
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in held], ["x", "y", "n", "q", "margins"])
+
+
+def _binned_block(batch: pa.RecordBatch, i: int, borders: np.ndarray, base: np.ndarray, unit: float, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, labels (numbers: gaps to the first margin in whole units) and squared gaps of a block of packed rows."""
+    x = _binned(np.frombuffer(batch.column("x")[i].as_py(), "<f4").reshape(-1, len(borders)), borders)
+    y = np.frombuffer(batch.column("c0")[i].as_py(), "<f8")
+    return (x, y.astype(np.int64), np.zeros(len(y))) if classes else (x, np.rint((y - base[0]) * unit).astype(np.int64), (y - base[0]) ** 2)
+
+
+def _binned_rows(raw: DataFrame, borders: np.ndarray, base: np.ndarray, unit: float, classes: int) -> DataFrame:
+    """A row of a block for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y, q = _binned_block(batch, i, borders, base, unit, classes)
+                yield _as_block(x, y, np.ones(len(x)), q, base)
+
+    return raw.mapInArrow(run, _BLOCK)
+
+
+def _summed_cells(raw: DataFrame, borders: np.ndarray, base: np.ndarray, unit: float, classes: int) -> DataFrame:
+    """A row of a block for all rows of the same bins and, if there are classes, of the same class."""
+    width, size = len(borders), borders.shape[1] + 1
+    steps = size ** np.arange(width)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y, q = _binned_block(batch, i, borders, base, unit, classes)
+                cell = x @ steps * max(1, classes) + (y if classes else 0)
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                edge = np.concatenate([[0], np.nonzero(cell[1:] != cell[:-1])[0] + 1])
+                n = np.diff(np.concatenate([edge, [len(cell)]]))
+                whole = np.zeros(len(edge), np.int64) if classes else np.add.reduceat(y[order], edge)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cell[edge], n, whole, np.add.reduceat(q[order], edge))], ["cell", "n", "y", "q"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, n, y, q = (batch.column(c).to_numpy() for c in ("cell", "n", "y", "q"))
+                x = cell[:, None] // max(1, classes) // steps % size
+                yield _as_block(x, cell % classes if classes else y, n, q, base)
+
+    cells = raw.mapInArrow(sums, "cell long, n long, y long, q double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "y", "q")])
+    return cells.repartition(raw.sparkSession.sparkContext.defaultParallelism).mapInArrow(pack, _BLOCK)
+
+
+def _block(batch: pa.RecordBatch, i: int, columns: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x, y, n, q, margins = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("x", "<i2"), ("y", "<i8"), ("n", "<i8"), ("q", "<f8"), ("margins", "<f8")))
+    return x.reshape(-1, width), y, n, q, margins.reshape(-1, columns).copy()
 
 
 def _walked(trees: Trees, since: int, columns: int, depth: int, width: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y, margins = _block(batch, i, columns, width)
+                x, y, n, q, margins = _block(batch, i, columns, width)
                 for t in range(since, len(trees.roots)):
                     margins[:, t % columns] += trees.value[trees.leaves(x, t, depth), 0]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (x.tobytes(), y.tobytes(), margins.tobytes())], ["x", "y", "margins"])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, n, q, margins)], ["x", "y", "n", "q", "margins"])
 
     return walk
 
 
-def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, unit, rate, penalty, least_weight, shares, seed, tasks):
+def _whole_sums(cell: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by cell, exact: doubles hold them up to 2 ** 53, so large ones are added in two parts."""
+    if np.abs(values).max(initial=0) * float(len(cell)) < 2**53:
+        return np.bincount(cell, values.astype(float), size).astype(np.int64)
+    high, low = values >> 26, values & ((1 << 26) - 1)
+    return (np.bincount(cell, high.astype(float), size).astype(np.int64) << 26) + np.bincount(cell, low.astype(float), size).astype(np.int64)
+
+
+def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, base, unit, rate, penalty, least_weight, shares, seed, tasks):
     """One level of the trees of round ``n``: splits, values of the new leaves, and the loss before the round."""
     slot = np.full(len(trees.left), -1, np.int64)
     slot[active] = np.arange(len(active))
@@ -582,14 +643,17 @@ def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth,
         loss, seen = 0.0, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y, margins = _block(batch, i, columns, width)
+                x, y, times, q, margins = _block(batch, i, columns, width)
                 for t in range(written * columns, current):
                     margins[:, t % columns] += trees.value[trees.leaves(x, t, depth), 0]
-                g, h = gradients(margins, y, classes)
                 if level == 0:
-                    loss += _loss(margins, y, classes)
-                    seen += len(y)
-                g, h = np.rint(g * unit).astype(np.int64), np.rint(h * float(1 << 30)).astype(np.int64)
+                    loss += _loss(margins, y, times, q, classes, base, unit)
+                    seen += int(times.sum())
+                if classes:
+                    g, h = (np.rint(v * float(1 << 30)).astype(np.int64) * times[:, None] for v in gradients(margins, y, classes))
+                else:
+                    # Whole numbers before they are added, so that sums are the same however rows are put together.
+                    g, h = np.rint((margins - base) * unit).astype(np.int64) * times[:, None] - y[:, None], times[:, None] << 30
                 for k in range(columns):
                     node = slot[trees.leaves(x, current + k, level)]
                     good = np.nonzero(node >= 0)[0]
@@ -597,8 +661,7 @@ def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth,
                         continue
                     cell = ((node[good, None] * width + np.arange(width)) * bin_count + x[good]).ravel()
                     for j, v in enumerate((g, h)):
-                        # A block's sum stays below 2 ** 53, where doubles hold whole numbers.
-                        total[j] += np.bincount(cell, np.repeat(v[good, k].astype(float), width), total.shape[1]).astype(np.int64)
+                        total[j] += _whole_sums(cell, np.repeat(v[good, k], width), total.shape[1])
         size = width * bin_count
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(len(active))), *(pa.array([total[j, a * size : (a + 1) * size].tobytes() for a in range(len(active))], pa.binary()) for j in (0, 1)),
@@ -642,11 +705,12 @@ def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth,
     return np.concatenate([left, left + 1]), np.concatenate([owner[spots], owner[spots]]), loss
 
 
-def _loss(margins: np.ndarray, y: np.ndarray, classes: int) -> float:
+def _loss(margins: np.ndarray, y: np.ndarray, times: np.ndarray, q: np.ndarray, classes: int, base: np.ndarray, unit: float) -> float:
     """Sum of squared errors, or of negative log probabilities."""
     if not classes:
-        return float(((margins[:, 0] - y) ** 2).sum())
-    return float(-np.log(np.maximum(_probabilities(margins)[np.arange(len(y)), y.astype(int)], 1e-300)).sum())
+        gap = margins[:, 0] - base[0]
+        return max(0.0, float((times * gap * gap - 2 * gap * (y / unit) + q).sum()))
+    return float(-(times * np.log(np.maximum(_probabilities(margins)[np.arange(len(y)), y], 1e-300))).sum())
 
 
 def _borders(df: DataFrame, features: str, label: str, bins: int) -> np.ndarray:

@@ -221,3 +221,26 @@ def test_falling(spark):
     assert falling(df, "x", "y", 7) and falling(df.limit(0), "x", "y") and falling(df.filter("x = 3"), "x", "y")
     assert not falling(spark.createDataFrame([*rows, (50.5, 0.0)], "x double, y double"), "x", "y", 7)
     assert not falling(spark.createDataFrame([*rows, (98.9, 0.0)], "x double, y double"), "x", "y", 50)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_boosting_scans_sums_of_equal_bins(spark, monkeypatch, classes):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 2))
+    y = x[:, 0] * x[:, 1] if classes == 0 else rng.integers(0, 3, 3000).astype(float) * (x[:, 0] > 0)
+    df = table(spark, x, y, 3)
+    read = []
+    monkeypatch.setattr(T, "_boost_level", lambda rows, *a, own=T._boost_level: read.append(rows) or own(rows, *a))
+    few = T.boost(df, "y", classes, 3, 0.3, 2, bins=8)
+    rows = sum(len(r.n) // 8 for r in read[0].select("n").collect())
+    assert rows <= 9 * 9 * max(1, classes) and sum(np.frombuffer(r.n, "<i8").sum() for r in read[0].select("n").collect()) == 3000
+    monkeypatch.setattr(T, "MOST_CELLS", 0)
+    every = T.boost(df, "y", classes, 3, 0.3, 2, bins=8)
+    assert sum(len(r.n) // 8 for r in read[-1].select("n").collect()) == 3000
+    assert np.array_equal(few.trees.value, every.trees.value) and np.array_equal(few.trees.cut, every.trees.cut)
+    assert np.allclose(few.losses, every.losses)
+
+
+def test_whole_sums_are_exact():
+    cell, values = np.array([0, 1, 0, 1]), np.array([(1 << 58) + 1, -(1 << 58) - 3, 2, 1])
+    assert T._whole_sums(cell, values, 3).tolist() == [(1 << 58) + 3, -(1 << 58) - 2, 0]
