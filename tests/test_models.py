@@ -358,3 +358,16 @@ def test_kmeans_starts_share_scans(spark):
     assert all(r.prediction == ((np.array(r.v) - model.centres) ** 2).sum(axis=1).argmin() for r in got if r.v is not None)
     with pytest.raises(ValueError):
         models.kmeans(data.limit(0))
+
+
+def test_kmeans_scans_read_written_rows(spark, monkeypatch):
+    plans = []
+
+    def seen(rows, centres, *more, own=models._step_sums):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return own(rows, centres, *more)
+
+    monkeypatch.setattr(models, "_step_sums", seen)
+    df = models.with_features(spark.range(60, numPartitions=1).selectExpr("array(cast(id % 2 * 50 + id as double), 1D) as v"), "v")
+    assert models.kmeans(df, 2, 3).clusterCenters()[0].shape == (2,)
+    assert plans and not any("Exchange" in p for p in plans)
