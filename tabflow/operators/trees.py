@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,14 @@ from pyspark.sql import functions as F
 from tabflow.session import cut_lineage
 
 SEED = 157
-# Numbers a scan of extra trees may hold; trees are dealt into scans of that size.
-SCAN_NUMBERS = 8_000_000
+# Numbers that a scan of extra trees adds up for all its nodes; trees are dealt into scans of that size. A task holds those of one tree at a time.
+SCAN_NUMBERS = 32_000_000
+# Bytes of features that a task of extra trees holds at once, and those of them it sorts by node at once.
+HELD_BYTES, UNIT_BYTES = 64 << 20, 4 << 20
+# Blocks that every core should get where trees are shared out, so that cores end at about the same time.
+CORE_BLOCKS = 4
+# Groups of rows that are gone through at once.
+_GROUPS = 1024
 # Bytes that the tasks of a scan may answer with to the driver; more are added up in groups.
 ANSWER_BYTES = 8 << 20
 # Cells of the grid of bins up to which boosting adds up all rows of a cell first, which all trees treat alike.
@@ -104,6 +111,26 @@ def _added(blocks: DataFrame, scan, answer: str, key: str, add, schema: str, mos
     return [row for a, b in zip(edge[:-1], edge[1:], strict=True) for row in add(held.slice(a, b - a)).to_pylist()]
 
 
+@dataclass
+class Paths:
+    """What a walk down some trees needs: a leaf is its own child, and nothing lies above its cut. ``node`` holds the numbers in all trees."""
+
+    node: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+
+    def walked(self, x: np.ndarray, tree: int, steps: int) -> np.ndarray:
+        """Where the rows of ``x`` are after ``steps`` steps from the root of the tree that stands at place ``tree``."""
+        at = np.full(len(x), tree, np.intp)
+        flat, base = x.reshape(-1), np.arange(len(x)) * x.shape[1]
+        for _ in range(steps):
+            # All places exist; "clip" only spares a check of each.
+            cell = base + self.feature.take(at, mode="clip")
+            at = self.child.take(at, mode="clip") + (flat.take(cell, mode="clip") > self.cut.take(at, mode="clip"))
+        return at
+
+
 @dataclass
 class Trees:
     """Nodes of many trees: feature, cut (larger values go right), left child (the right one follows; -1 for a leaf), values."""
@@ -126,6 +153,20 @@ class Trees:
             node = np.where(inner, down + (x[every, self.feature[node]] > self.cut[node]), node)
         return node
 
+    def paths(self, trees: np.ndarray) -> Paths:
+        """The nodes of some trees, numbered anew, the roots first."""
+        part = [self.roots[trees]]
+        while len(part[-1]):
+            down = self.left[part[-1]]
+            down = down[down >= 0]
+            part.append(np.stack([down, down + 1], axis=1).ravel())
+        node = np.concatenate(part)
+        place = np.full(len(self.left), -1, np.int32)
+        place[node] = np.arange(len(node), dtype=np.int32)
+        leaf = self.left[node] < 0
+        child = np.where(leaf, np.arange(len(node)), place[self.left[node]]).astype(np.int32)
+        return Paths(node, self.feature[node].astype(np.int32), np.where(leaf, np.float32(np.inf), self.cut[node]).astype(np.float32), child)
+
     def grown(self, parent: np.ndarray, feature: np.ndarray, cut: np.ndarray, left_value: np.ndarray, right_value: np.ndarray) -> np.ndarray:
         """Split leaves; returns the numbers of their left children."""
         n, base = len(parent), len(self.left)
@@ -154,7 +195,10 @@ class Forest:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` (array by class) and ``prediction`` (most probable class, the first on a tie); null features give null."""
-        trees, depth = self.trees, self.depth
+        trees, depth = len(self.trees.roots), self.depth
+        paths = self.trees.paths(np.arange(trees))
+        value = self.trees.value[paths.node].astype(np.int64 if self.trees.value.max(initial=0) >= 1 << 31 else np.int32)
+        paths = replace(paths, node=None)
 
         @F.pandas_udf("array<double>")
         def share(s: pd.Series) -> pd.Series:
@@ -162,11 +206,10 @@ class Forest:
             out = pd.Series([None] * len(s), s.index, object)
             if some.any():
                 x = _lowest(np.clip(np.stack(s[some].to_numpy()).astype(float), -_F32, _F32).astype(np.float32))
-                total = np.zeros((len(x), trees.value.shape[1]))
-                for t in range(len(trees.roots)):
-                    v = trees.value[trees.leaves(x, t, depth)]
-                    total += v / np.maximum(v.sum(axis=1, keepdims=True), 1)
-                out[some] = pd.Series(list(total / len(trees.roots)), s.index[some])
+                total = np.zeros((len(x), value.shape[1]))
+                for t in range(trees):
+                    total += _shares(value.take(paths.walked(x, t, depth), axis=0))
+                out[some] = pd.Series(list(total / trees), s.index[some])
             return out
 
         scored = df.withColumn("probability", share(_as_array(df, self.features)))
@@ -206,6 +249,7 @@ def grow_extra_trees(blocks: DataFrame, plans: Sequence[Plan], classes: int, fea
     A level takes two scans: the first finds the least and largest value of every node and feature, between which a cut is drawn; the second
     counts the classes to the right of it. The cut with the purest sides (Gini) stays, of equal ones that of the first feature. A node draws
     ``subset`` features among those that vary in it. A NaN is the smallest number. Levels of more than ``scan_numbers`` numbers take several scans.
+    Nodes of one class are not looked at again.
     """
     forest = _no_trees(len(plans), classes, np.float32)
     keys = _mixed(np.array([p.number for p in plans], np.uint64) + _mixed(np.uint64(seed)))
@@ -213,12 +257,7 @@ def grow_extra_trees(blocks: DataFrame, plans: Sequence[Plan], classes: int, fea
     owner = np.arange(len(plans))
     level = 0
     depths = np.array([p.depth for p in plans])
-    # Where there are fewer partitions than cores, several tasks share the trees of a block.
-    tasks, cores = blocks.rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism
-    shares = max(1, min(len(plans), cores // max(1, tasks)))
-    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    if shares > 1:
-        blocks, tasks = cut_lineage(blocks.repartition(cores)), cores
+    blocks, tasks, shares = _dealt(blocks, len(plans))
     while len(active):
         keep = depths[owner] > level
         active, owner, keys = active[keep], owner[keep], keys[keep]
@@ -241,61 +280,208 @@ def grow_extra_trees(blocks: DataFrame, plans: Sequence[Plan], classes: int, fea
     return forest
 
 
+def _dealt(blocks: DataFrame, trees: int) -> tuple[DataFrame, int, int]:
+    """Blocks dealt evenly to the cores, the number of tasks that read them, and into how many shares trees are dealt where blocks are few."""
+    count, cores = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(trees, -(-CORE_BLOCKS * cores // max(1, count))))
+    cells = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    # More than a few blocks a core lie in tasks of their own already.
+    if shares > 1 or count < 2 * CORE_BLOCKS * cores:
+        cells = cut_lineage(cells.repartitionByRange(cores, "share", "block").sortWithinPartitions("share", "block"))
+    return cells, max(1, cells.rdd.getNumPartitions()), shares
+
+
+@dataclass
+class _Unit:
+    """Rows that are sorted by node at once: features and one more row below all cuts, classes, folds, and the blocks they came in."""
+
+    x: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray | None
+    blocks: list[tuple[int, int]]
+
+
+def _held(batches: Iterator[pa.RecordBatch], folds: bool) -> Iterator[tuple[int, list[_Unit]]]:
+    """Units of at most ``HELD_BYTES`` together (or one block), all of one share."""
+    share, held, unit, bytes_ = None, [], [], 0
+
+    def joined(parts: list) -> _Unit:
+        width = parts[0][0].shape[1]
+        x = np.concatenate([*(p[0] for p in parts), np.full((1, width), -np.inf, np.float32)])
+        return _Unit(x, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]) if folds else None, [p[3] for p in parts])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            here = batch.column("share")[i].as_py()
+            x = _lowest(np.frombuffer(batch.column("x")[i].as_buffer(), "<f4").reshape(-1, batch.column("width")[i].as_py()))
+            y = np.frombuffer(batch.column("c0")[i].as_buffer(), "<f8").astype(np.int64)
+            fold = np.frombuffer(batch.column("c1")[i].as_buffer(), "<f8").astype(np.int64) if folds else None
+            full = share is not None and (here != share or bytes_ + x.nbytes > HELD_BYTES)
+            if unit and (full or sum(p[0].nbytes for p in unit) + x.nbytes > UNIT_BYTES):
+                held.append(joined(unit))
+                unit = []
+            if full:
+                yield share, held
+                held, bytes_ = [], 0
+            share = here
+            unit.append((x, y, fold, (batch.column("block")[i].as_py(), len(x))))
+            bytes_ += x.nbytes
+    if unit:
+        held.append(joined(unit))
+    if held:
+        yield share, held
+
+
+def _answers(rows: Iterator[dict], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of answers as batches of some size."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += 64 + sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if size > most:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def _planes(size: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of ``size`` rows each in groups of equal width: the rows as one plane for each place in a group, and the groups of a segment.
+
+    ``place`` are the rows, segment after segment; what a group lacks is filled with ``first`` of its segment.
+    """
+    mean = len(place) / len(size)
+    width = 8 if mean >= 16 else 4 if mean >= 8 else 2 if mean >= 4 else 1
+    groups = -(-size // width)
+    at = np.repeat(first, groups * width)
+    start = np.cumsum(groups) - groups
+    at[np.arange(len(place)) + np.repeat(start * width - (np.cumsum(size) - size), size)] = place
+    return np.ascontiguousarray(at.reshape(-1, width).T), groups
+
+
+def _reduced(op: np.ufunc, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``op`` over segments of rows."""
+    while len(values) >= 16 * len(size):
+        start = np.cumsum(size) - size
+        at, size = _planes(size, start, np.arange(len(values)))
+        out = values.take(at[0], axis=0)
+        for plane in at[1:]:
+            op(out, values.take(plane, axis=0), out=out)
+        values = out
+    return op.reduceat(values, np.cumsum(size) - size, axis=0)
+
+
+def _ranges(x: np.ndarray, order: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest values of segments of the rows ``order``."""
+    at, groups = _planes(size, order[np.cumsum(size) - size], order)
+    low, high = (np.empty((at.shape[1], x.shape[1]), np.float32) for _ in range(2))
+    held = np.empty((min(_GROUPS, at.shape[1]), x.shape[1]), np.float32)
+    for a in range(0, at.shape[1], _GROUPS):
+        least, most = low[a : a + _GROUPS], high[a : a + _GROUPS]
+        x.take(at[0, a : a + _GROUPS], axis=0, out=least, mode="clip")
+        most[:] = least
+        for plane in at[1:]:
+            values = x.take(plane[a : a + _GROUPS], axis=0, out=held[: len(least)], mode="clip")
+            np.minimum(least, values, out=least)
+            np.maximum(most, values, out=most)
+    return _reduced(np.minimum, low, groups), _reduced(np.maximum, high, groups)
+
+
+def _above(x: np.ndarray, order: np.ndarray, size: np.ndarray, cuts: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """How many rows of each segment lie above the cut of its node, by feature. The last row of ``x`` lies above none."""
+    at, groups = _planes(size, np.full(len(size), len(x) - 1), order)
+    features = x.shape[1]
+    # Eight counts below 256 are added as one number.
+    count = np.zeros((at.shape[1], -(-features // 8) * 8), np.uint8)
+    node = np.repeat(node, groups)
+    held, more = np.empty((min(_GROUPS, len(node)), features), np.float32), np.empty((min(_GROUPS, len(node)), features), bool)
+    for a in range(0, len(node), _GROUPS):
+        cut, here = cuts.take(node[a : a + _GROUPS], axis=0), count[a : a + _GROUPS, :features]
+        for plane in at:
+            values = x.take(plane[a : a + _GROUPS], axis=0, out=held[: len(cut)], mode="clip")
+            over = np.greater(values, cut, out=more[: len(cut)])
+            np.add(here, over.view(np.uint8), out=here)
+    most = 255 // len(at)
+    parts = -(-groups // most)
+    first = np.cumsum(parts) - parts
+    start = np.repeat(np.cumsum(groups) - groups, parts) + most * (np.arange(parts.sum()) - np.repeat(first, parts))
+    count = np.add.reduceat(count.view(np.uint64), start, axis=0).view(np.uint8)[:, :features]
+    return count if len(parts) == len(count) else np.add.reduceat(count, first, axis=0, dtype=np.int64)
+
+
+def _shares(value: np.ndarray) -> np.ndarray:
+    """Class counts as shares."""
+    return value / np.maximum(value.sum(axis=1, keepdims=True), 1)
+
+
 def _split_nodes(blocks: DataFrame, forest: Trees, plans: Sequence[Plan], active: np.ndarray, owner: np.ndarray, keys: np.ndarray, level: int, classes: int, features: int, bootstrap: bool, seed: int, tasks: int, shares: int):
     """Split the nodes of some trees where that helps; returns their children, the trees and the keys of these."""
     names = np.unique(owner)
     first = {int(t): int(i) for t, i in zip(names, np.searchsorted(owner, names), strict=True)}
     count = {int(t): int(n) for t, n in zip(names, np.bincount(owner)[names], strict=True)}
-    slot = np.full(len(forest.left), -1, np.int64)
-    slot[active] = np.arange(len(active))
+    # Tasks get the nodes of these trees only.
+    paths = forest.paths(names)
+    slot = np.full(len(forest.left), -1, np.int32)
+    slot[active] = np.arange(len(active)) - np.searchsorted(owner, owner)
+    slot = slot[paths.node]
+    paths = replace(paths, node=None)
     folds = any(p.fold >= 0 for p in plans)
+    fold_of = {int(t): plans[t].fold for t in names}
+    number_of = {int(t): plans[t].number for t in names}
+    root = {int(t): i for i, t in enumerate(names)}
+
+    def sorted_rows(t: int, unit: _Unit) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a tree in order of node and class, and ``node * classes + class`` of these."""
+        key = slot.take(paths.walked(unit.x[:-1], root[t], level)) * np.int64(classes) + unit.y
+        # Negative where the row's node is not among those to split.
+        good = key >= 0
+        if fold_of[t] >= 0:
+            good &= unit.fold != fold_of[t]
+        at = np.nonzero(good)[0]
+        if bootstrap:
+            weight = np.concatenate([_poisson(block, rows, number_of[t], seed) for block, rows in unit.blocks])
+            at = np.repeat(at, weight[at])
+        key = key[at]
+        order = np.argsort(key.astype(np.uint16) if count[t] * classes <= 1 << 16 else key, kind="stable")
+        return at[order], key[order]
+
+    def segments(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.concatenate([[0], np.nonzero(name[1:] != name[:-1])[0] + 1])
+        return name[edge], np.diff(np.append(edge, len(name)))
 
-    def inside(batches: Iterator[pa.RecordBatch]):
-        """Rows of each tree and block in order of their node there: tree, features, classes, weights and node."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                width = batch.column("width")[i].as_py()
-                x = _lowest(np.frombuffer(batch.column("x")[i].as_py(), "<f4").reshape(-1, width))
-                y = np.frombuffer(batch.column("c0")[i].as_py(), "<f8").astype(np.int64)
-                fold = np.frombuffer(batch.column("c1")[i].as_py(), "<f8").astype(np.int64) if folds else None
-                share = batch.column("share")[i].as_py()
-                for t in first:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for share, units in _held(batches, folds):
+                for t, n in count.items():
                     if t % shares != share:
                         continue
-                    node = slot[forest.leaves(x, t, level)]
-                    good = node >= 0
-                    weight = np.ones(len(x), np.int64)
-                    if plans[t].fold >= 0:
-                        good &= fold != plans[t].fold
-                    if bootstrap:
-                        weight = _poisson(batch.column("block")[i].as_py(), len(x), plans[t].number, seed)
-                        good &= weight > 0
-                    at = np.nonzero(good)[0]
-                    if len(at):
-                        at = at[np.lexsort((y[at], node[at]))]
-                        yield t, x[at], y[at], weight[at], node[at] - first[t]
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = {t: np.full((n, features), np.inf, np.float32) for t, n in count.items()}
-        high = {t: np.full((n, features), -np.inf, np.float32) for t, n in count.items()}
-        total = {t: np.zeros((n, classes), np.int64) for t, n in count.items()}
-        seen = set()
-        for t, x, y, weight, node in inside(batches):
-            seen.add(t)
-            edge = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1])
-            here = node[edge]
-            low[t][here] = np.minimum(low[t][here], np.minimum.reduceat(x, edge, axis=0))
-            high[t][here] = np.maximum(high[t][here], np.maximum.reduceat(x, edge, axis=0))
-            np.add.at(total[t], (node, y), weight)
-        for t in sorted(seen):
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), *(pa.array([v[t].tobytes()], pa.binary()) for v in (low, high, total))], ["tree", "low", "high", "total"])
+                    low, high = np.full((n, features), np.inf, np.float32), np.full((n, features), -np.inf, np.float32)
+                    total = np.zeros(n * classes, np.int64)
+                    for unit in units:
+                        order, key = sorted_rows(t, unit)
+                        if len(order):
+                            total += np.bincount(key, minlength=n * classes)
+                            here, size = segments(key // classes)
+                            least, most = _ranges(unit.x, order, size)
+                            low[here] = np.minimum(low[here], least)
+                            high[here] = np.maximum(high[here], most)
+                    total = total.reshape(n, classes)
+                    some = np.nonzero(total.any(axis=1))[0]
+                    if len(some):
+                        yield {"tree": t, "node": some.astype("<i4").tobytes(), "low": low[some].tobytes(), "high": high[some].tobytes(), "total": total[some].tobytes()}
+
+        yield from _answers(rows(), pa.schema([("tree", pa.int64()), *((c, pa.binary()) for c in ("node", "low", "high", "total"))]))
 
     def drawn(table: pa.Table) -> pa.Table:
         t = table.column("tree")[0].as_py()
         n = count[t]
-        low, high = (np.stack([np.frombuffer(b, np.float32).reshape(n, features) for b in table.column(c).to_pylist()]) for c in ("low", "high"))
-        total = sum(np.frombuffer(b, np.int64).reshape(n, classes) for b in table.column("total").to_pylist())
-        low, high = low.min(axis=0), high.max(axis=0)
+        low, high = np.full((n, features), np.inf, np.float32), np.full((n, features), -np.inf, np.float32)
+        total = np.zeros((n, classes), np.int64)
+        for r in table.to_pylist():
+            here = np.frombuffer(r["node"], "<i4")
+            low[here] = np.minimum(low[here], np.frombuffer(r["low"], np.float32).reshape(-1, features))
+            high[here] = np.maximum(high[here], np.frombuffer(r["high"], np.float32).reshape(-1, features))
+            total[here] += np.frombuffer(r["total"], np.int64).reshape(-1, classes)
         key = keys[first[t] : first[t] + n]
         vary = (high > low) & ((total > 0).sum(axis=1) > 1)[:, None]
         # Of the features that vary, those with the smallest draws.
@@ -308,7 +494,7 @@ def _split_nodes(blocks: DataFrame, forest: Trees, plans: Sequence[Plan], active
         return pa.table({"tree": [t], "cut": pa.array([cut.astype("<f4").tobytes()], pa.binary()), "total": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     cuts, totals = {}, {}
-    for r in _added(blocks, ranges, "tree long, low binary, high binary, total binary", "tree", drawn, "tree long, cut binary, total binary", tasks * len(active) * 8 * (features + classes)):
+    for r in _added(blocks, ranges, "tree long, node binary, low binary, high binary, total binary", "tree", drawn, "tree long, cut binary, total binary", tasks * len(active) * 8 * (features + classes)):
         t = r["tree"]
         cuts[t], totals[t] = np.frombuffer(r["cut"], "<f4").reshape(-1, features), np.frombuffer(r["total"], "<i8").reshape(-1, classes)
         if level == 0:
@@ -318,31 +504,46 @@ def _split_nodes(blocks: DataFrame, forest: Trees, plans: Sequence[Plan], active
     if not some:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
+    def tried(t: int) -> np.ndarray:
+        """Features with a cut of every open node in ascending order, filled up with others where a node has fewer."""
+        none = np.isnan(cuts[t][some[t]])
+        return np.sort(np.argsort(none, axis=1, kind="stable")[:, : int((~none).sum(axis=1).max())], axis=1)
+
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = {t: np.zeros((n, classes, features), np.int64) for t, n in count.items() if t in some}
-        seen = set()
-        for t, x, y, weight, node in inside(batches):
-            if t in some:
-                seen.add(t)
-                with np.errstate(invalid="ignore"):
-                    over = (x > cuts[t][node]) * weight[:, None]
-                edge = np.concatenate([[0], np.nonzero((node[1:] != node[:-1]) | (y[1:] != y[:-1]))[0] + 1])
-                right[t][node[edge], y[edge]] += np.add.reduceat(over, edge, axis=0)
-        for t in sorted(seen):
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([right[t][some[t]].tobytes()], pa.binary())], ["tree", "right"])
+        def rows() -> Iterator[dict]:
+            for share, units in _held(batches, folds):
+                for t, spots in some.items():
+                    if t % shares != share:
+                        continue
+                    right = np.zeros((count[t] * classes, features), np.int64)
+                    seen = False
+                    for unit in units:
+                        order, key = sorted_rows(t, unit)
+                        if len(order):
+                            seen = True
+                            here, size = segments(key)
+                            right[here] += _above(unit.x, order, size, cuts[t], here // classes)
+                    if seen:
+                        right = np.take_along_axis(right.reshape(-1, classes, features)[spots], tried(t)[:, None, :], axis=2)
+                        # In as few bytes as the largest count takes.
+                        yield {"tree": t, "right": right.astype(np.min_scalar_type(int(right.max()))).tobytes()}
+
+        yield from _answers(rows(), pa.schema([("tree", pa.int64()), ("right", pa.binary())]))
 
     def best(table: pa.Table) -> pa.Table:
         t = table.column("tree")[0].as_py()
-        spots = some[t]
-        right = sum(np.frombuffer(b, np.int64).reshape(len(spots), classes, features) for b in table.column("right").to_pylist())
+        spots, columns = some[t], tried(t)
+        right = np.zeros((len(spots), classes, columns.shape[1]), np.int64)
+        for b in table.column("right").to_pylist():
+            right += np.frombuffer(b, f"u{len(b) // right.size}").reshape(right.shape)
         left = totals[t][spots][:, :, None] - right
         n_left, n_right = left.sum(axis=1), right.sum(axis=1)
-        fine = ~np.isnan(cuts[t][spots]) & (n_left > 0) & (n_right > 0)
+        fine = ~np.isnan(np.take_along_axis(cuts[t][spots], columns, axis=1)) & (n_left > 0) & (n_right > 0)
         purity = (left.astype(float) ** 2).sum(axis=1) / np.maximum(n_left, 1) + (right.astype(float) ** 2).sum(axis=1) / np.maximum(n_right, 1)
-        feature = np.argmax(np.where(fine, purity, -1.0), axis=1)
+        place = np.argmax(np.where(fine, purity, -1.0), axis=1)
         every = np.arange(len(spots))
-        feature = np.where(fine[every, feature], feature, -1)
-        chosen = right[every, :, feature]
+        feature = np.where(fine[every, place], columns[every, place], -1)
+        chosen = right[every, :, place]
         return pa.table({"tree": [t], "feature": pa.array([feature.astype("<i4").tobytes()], pa.binary()), "right": pa.array([chosen.astype("<i8").tobytes()], pa.binary())})
 
     won = _added(blocks, sides, "tree long, right binary", "tree", best, "tree long, feature binary, right binary", tasks * 8 * classes * features * sum(len(o) for o in some.values()))
@@ -359,7 +560,10 @@ def _split_nodes(blocks: DataFrame, forest: Trees, plans: Sequence[Plan], active
     spots, feature, cut, right, total, tree = (np.concatenate(v) for v in (spots, feature, cut, right, total, tree))
     left = forest.grown(active[spots], feature, cut, total - right, right)
     key = keys[spots]
-    return np.concatenate([left, left + 1]), np.concatenate([tree, tree]), np.concatenate([child_keys(key, 0), child_keys(key, 1)])
+    node, tree, key = np.concatenate([left, left + 1]), np.concatenate([tree, tree]), np.concatenate([child_keys(key, 0), child_keys(key, 1)])
+    # A node of one class is a leaf.
+    mixed = (forest.value[node] > 0).sum(axis=1) > 1
+    return node[mixed], tree[mixed], key[mixed]
 
 
 def extra_trees(df: DataFrame, label: str, trees: int = 1200, subset: str | int | float = "all", depth: int = 10, bootstrap: bool = False, features: str = "features", seed: int = SEED) -> Forest:
@@ -401,20 +605,19 @@ def extra_trees_by_fold(df: DataFrame, label: str, fold: str, folds: int, config
             plans += [Plan(i, subset_size(config["subset"], width), config["depth"], f) for i in range(config["trees"])]
             group += [(c, f)] * config["trees"]
     forest = grow_extra_trees(blocks, plans, classes, width, seed=seed)
-    depth = max(c["depth"] for c in configs)
+    depth = [c["depth"] for c in configs]
+    paths = forest.paths(np.arange(len(plans)))
+    value = forest.value[paths.node].astype(np.int64 if forest.value.max(initial=0) >= 1 << 31 else np.int32)
+    paths = replace(paths, node=None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x = _lowest(np.frombuffer(batch.column("x")[i].as_py(), "<f4").reshape(-1, width))
                 y, at = (np.frombuffer(batch.column(c)[i].as_py(), "<f8").astype(np.int64) for c in ("c0", "c1"))
-                total: dict[tuple[int, int], np.ndarray] = {}
-                for t, name in enumerate(group):
-                    v = forest.value[forest.leaves(x, t, depth)]
-                    share = v / np.maximum(v.sum(axis=1, keepdims=True), 1)
-                    total[name] = total[name] + share if name in total else share
                 out = []
-                for (c, f), p in total.items():
+                for (c, f), trees in groupby(range(len(group)), key=group.__getitem__):
+                    p = sum(_shares(value.take(paths.walked(x, t, depth[c]), axis=0)) for t in trees)
                     hit, test = np.argmax(p, axis=1) == y, at == f
                     out.append((c, f, int(test.sum()), int((hit & test).sum()), int((~test).sum()), int((hit & ~test).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["config_id", "fold", "test_rows", "test_hits", "train_rows", "train_hits"])

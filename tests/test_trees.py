@@ -121,6 +121,65 @@ def test_folds_grow_together(spark):
         assert (r.test_rows, r.test_hits, r.train_rows, r.train_hits) == (100, hits[True], 200, hits[False])
 
 
+def test_scans_read_mixed_nodes_and_answer_in_few_bytes(spark, monkeypatch):
+    x, y = spiral(600)
+    levels, answers = [], []
+
+    def split(blocks, forest, plans, active, owner, keys, *a, own=T._split_nodes):
+        levels.append((forest.value[active] > 0).sum(axis=1))
+        return own(blocks, forest, plans, active, owner, keys, *a)
+
+    def added(blocks, scan, answer, *a, own=T._added):
+        if "right" in answer:
+            answers.append((blocks.rdd.getNumPartitions(), sum(len(r.right) for r in blocks.mapInArrow(scan, answer).collect())))
+        return own(blocks, scan, answer, *a)
+
+    monkeypatch.setattr(T, "_split_nodes", split)
+    monkeypatch.setattr(T, "_added", added)
+    blocks = T.packed_rows(table(spark, x, y, 5), "features", ["y"])
+    forest = T.grow_extra_trees(blocks, [T.Plan(i, 2, 6) for i in range(16)], 3, 5)
+    assert len(levels) == 6 and all((n > 1).all() for n in levels[1:])
+    # Two features of five were tried, and counts below 256 take a byte.
+    inner = (forest.left >= 0).sum()
+    assert sum(n for _, n in answers[2:]) <= 8 * inner * 3 * 2
+    # Five blocks keep all cores busy.
+    assert answers[0][0] >= spark.sparkContext.defaultParallelism
+    every = (forest.value[forest.roots].sum(axis=1) == 600).all()
+    assert every and all((forest.leaves(x, t, 6) == forest.paths(np.arange(16)).node[forest.paths(np.arange(16)).walked(x, t, 6)]).all() for t in range(16))
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 40, 5000])
+def test_sums_of_segments(size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(7000, 5)).astype(np.float32)
+    name = np.sort(rng.integers(0, max(1, 7000 // size), 7000))
+    order = rng.permutation(7000)
+    here, count = np.unique(name, return_counts=True)
+    cuts = rng.normal(size=(len(here), 5)).astype(np.float32)
+    cuts[::3, 1] = np.nan
+    edge = np.cumsum(count) - count
+    low, high = T._ranges(x, order, count)
+    assert np.array_equal(low, np.minimum.reduceat(x[order], edge)) and np.array_equal(high, np.maximum.reduceat(x[order], edge))
+    want = np.add.reduceat((x[order] > np.repeat(cuts, count, axis=0)).astype(int), edge)
+    below = np.concatenate([x, np.full((1, 5), -np.inf, np.float32)])
+    assert np.array_equal(T._above(below, order, count, cuts, np.arange(len(here))), want)
+
+
+def test_held_rows_are_bounded(spark, monkeypatch):
+    x, y = spiral(800)
+    df = table(spark, x, y, 9)
+    plans = [T.Plan(i, 5, 5) for i in range(6)]
+    want = T.grow_extra_trees(T.packed_rows(df, "features", ["y"]), plans, 3, 5)
+    monkeypatch.setattr(T, "HELD_BYTES", 5000)
+    monkeypatch.setattr(T, "UNIT_BYTES", 2500)
+    blocks = T.packed_rows(df, "features", ["y"])
+    got = T.grow_extra_trees(blocks, plans, 3, 5)
+    assert np.array_equal(want.value, got.value) and np.array_equal(want.cut, got.cut)
+    batch = blocks.withColumn("share", F.lit(0)).toArrow().to_batches()
+    held = list(T._held(iter(batch), False))
+    assert len(held) > 1 and sum(len(u.y) for _, units in held for u in units) == 800
+
+
 def boosted_reference(x, y, classes, rounds, rate, depth, penalty, borders, base, least_weight=1.0):
     """Margins of exhaustive second-order boosting over the same bins."""
     bins = T._binned(x, borders)
