@@ -609,6 +609,8 @@ def extra_trees_by_fold(df: DataFrame, label: str, fold: str, folds: int, config
     paths = forest.paths(np.arange(len(plans)))
     value = forest.value[paths.node].astype(np.int64 if forest.value.max(initial=0) >= 1 << 31 else np.int32)
     paths = replace(paths, node=None)
+    # Where blocks are few, the fits are shared out.
+    cells, _, shares = _dealt(blocks, len(configs) * folds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -616,14 +618,16 @@ def extra_trees_by_fold(df: DataFrame, label: str, fold: str, folds: int, config
                 x = _lowest(np.frombuffer(batch.column("x")[i].as_py(), "<f4").reshape(-1, width))
                 y, at = (np.frombuffer(batch.column(c)[i].as_py(), "<f8").astype(np.int64) for c in ("c0", "c1"))
                 out = []
-                for (c, f), trees in groupby(range(len(group)), key=group.__getitem__):
+                for fit, ((c, f), trees) in enumerate(groupby(range(len(group)), key=group.__getitem__)):
+                    if fit % shares != batch.column("share")[i].as_py():
+                        continue
                     p = sum(_shares(value.take(paths.walked(x, t, depth[c]), axis=0)) for t in trees)
                     hit, test = np.argmax(p, axis=1) == y, at == f
                     out.append((c, f, int(test.sum()), int((hit & test).sum()), int((~test).sum()), int((hit & ~test).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["config_id", "fold", "test_rows", "test_hits", "train_rows", "train_hits"])
 
     sums = ["test_rows", "test_hits", "train_rows", "train_hits"]
-    parts = blocks.mapInArrow(score, "config_id long, fold long, " + ", ".join(f"{s} long" for s in sums))
+    parts = cells.mapInArrow(score, "config_id long, fold long, " + ", ".join(f"{s} long" for s in sums))
     return parts.groupBy("config_id", "fold").agg(*[F.sum(s).alias(s) for s in sums])
 
 

@@ -121,6 +121,15 @@ def test_folds_grow_together(spark):
         assert (r.test_rows, r.test_hits, r.train_rows, r.train_hits) == (100, hits[True], 200, hits[False])
 
 
+def test_few_blocks_are_scored_by_all_cores(spark):
+    x, y = spiral(300)
+    df = table(spark, x, y, 1, np.arange(300) % 3)
+    configs = [{"trees": 2, "subset": "all", "depth": 3}, {"trees": 3, "subset": "sqrt", "depth": 2}, {"trees": 1, "subset": "all", "depth": 1}]
+    out = T.extra_trees_by_fold(df, "y", "fold", 3, configs)
+    assert len(out.inputFiles()) >= spark.sparkContext.defaultParallelism / 2
+    assert sorted((r.config_id, r.fold, r.test_rows, r.train_rows) for r in out.collect()) == [(c, f, 100, 200) for c in range(3) for f in range(3)]
+
+
 def test_scans_read_mixed_nodes_and_answer_in_few_bytes(spark, monkeypatch):
     x, y = spiral(600)
     levels, answers = [], []
