@@ -17,6 +17,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,8 @@ _GROUPS = 1024
 ANSWER_BYTES = 8 << 20
 # Cells of the grid of bins up to which boosting adds up all rows of a cell first, which all trees treat alike.
 MOST_CELLS = 1 << 20
-# Rounds of boosting whose trees are walked again before margins are written.
-WRITE_ROUNDS = 10
+# Rounds of boosting whose trees are walked again before margins are written; more where the rows are sums of cells.
+WRITE_ROUNDS, CELL_WRITE_ROUNDS = 10, 40
 _F32 = float(np.finfo(np.float32).max)
 
 
@@ -648,24 +649,43 @@ class Boosted:
     losses: list[float]
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        bins = _binned(x, self.borders)
-        out = np.tile(self.base, (len(x), 1))
+        return self._walked(_binned(x, self.borders))
+
+    def _walked(self, bins: np.ndarray) -> np.ndarray:
+        out = np.tile(self.base, (len(bins), 1))
         for t in range(len(self.trees.roots)):
             out[:, t % self.per_round] += self.trees.value[self.trees.leaves(bins, t, self.depth), 0]
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction``, and for classes ``probability`` (array by class); null features give null."""
+        """Add ``prediction``, and for classes ``probability`` (array by class); null features give null.
+
+        Rows of equal bins have equal margins: where there are few combinations of bins, a task walks down the trees once for each of them.
+        """
         model = self
+        width, size = len(self.borders), self.borders.shape[1] + 1
+        steps = size ** np.arange(width) if size**width <= MOST_CELLS else None
 
         @F.pandas_udf("array<double>")
-        def margin(s: pd.Series) -> pd.Series:
-            some = s.notna().to_numpy()
-            out = pd.Series([None] * len(s), s.index, object)
-            if some.any():
-                m = model.margins(np.clip(np.stack(s[some].to_numpy()).astype(float), -_F32, _F32).astype(np.float32))
-                out[some] = pd.Series(list(_probabilities(m) if model.classes else m), s.index[some])
-            return out
+        def margin(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            spot, known = None if steps is None else np.full(size**width, -1, np.int32), []
+            for s in parts:
+                some = s.notna().to_numpy()
+                out = pd.Series([None] * len(s), s.index, object)
+                if some.any():
+                    x = _binned(np.clip(np.stack(s[some].to_numpy()).astype(float), -_F32, _F32).astype(np.float32), model.borders)
+                    if spot is None:
+                        m = model._walked(x)
+                    else:
+                        cell = x @ steps
+                        new, first = np.unique(cell, return_index=True)
+                        new, first = (v[spot[new] < 0] for v in (new, first))
+                        if len(new):
+                            spot[new] = sum(map(len, known)) + np.arange(len(new))
+                            known = [np.concatenate([*known, model._walked(x[first])])]
+                        m = known[0][spot[cell]]
+                    out[some] = pd.Series(list(_probabilities(m) if model.classes else m), s.index[some])
+                yield out
 
         scored = df.withColumn("probability" if self.classes else "__margin", margin(_as_array(df, self.features)))
         if self.classes:
@@ -715,7 +735,7 @@ def drawn_columns(features: int, shares: Sequence[float], keys: Sequence[int], s
 
 def boost(
     df: DataFrame, label: str, classes: int, rounds: int, rate: float, depth: int, penalty: float = 1.0, least_weight: float = 1.0, by_tree: float = 1.0, by_level: float = 1.0,
-    by_node: float = 1.0, bins: int = 64, features: str = "features", seed: int = SEED, write_rounds: int = WRITE_ROUNDS,
+    by_node: float = 1.0, bins: int = 64, features: str = "features", seed: int = SEED, write_rounds: int | None = None,
 ) -> Boosted:
     """Second-order gradient boosting with histograms; ``classes`` is 0 for a number, else how many classes 0, 1, ... the label has.
 
@@ -724,6 +744,7 @@ def boost(
     numbers, and each node takes the cut of most gain ``GL^2/(HL+penalty) + GR^2/(HR+penalty) - G^2/(H+penalty)`` whose sides weigh ``least_weight`` or
     more, of equal ones the first. Leaves hold ``-rate * G / (H + penalty)``. Columns are drawn per tree, then per level, then per node. Margins are
     written every ``write_rounds`` rounds; the trees since are walked again. Rows with a null are not learnt from; NaN is above all values.
+    Where the columns drawn for a tree have few combinations of bins, tasks sum by these, once for all levels of the tree.
 
     No tree tells rows of the same bins apart. If few features have at most ``MOST_CELLS`` combinations of bins, the rows of each are added up once
     (for classes, those of each class), and the scans of all rounds read these sums, which don't grow with the rows.
@@ -734,27 +755,31 @@ def boost(
     width = len(borders)
     base, unit = _start(raw, classes, columns)
 
-    rows = cut_lineage(_summed_cells(raw, borders, base, unit, classes) if (bins + 1) ** width <= MOST_CELLS else _binned_rows(raw, borders, base, unit, classes))
+    few = (bins + 1) ** width <= MOST_CELLS
+    write_rounds = write_rounds or (CELL_WRITE_ROUNDS if few else WRITE_ROUNDS)
+    rows = cut_lineage(_summed_cells(raw, borders, base, unit, classes) if few else _binned_rows(raw, borders, base, unit, classes))
     tasks = rows.rdd.getNumPartitions()
-    trees = _no_trees(0, 1, np.int16)
+    done: list[Trees] = []
     losses: list[float] = []
     written = 0
     for n in range(rounds):
         if n - written == write_rounds:
-            rows, written = cut_lineage(rows.mapInArrow(_walked(trees, written * columns, columns, depth, width), _BLOCK)), n
+            rows, written = cut_lineage(rows.mapInArrow(_walked(done[written:], columns, depth, width), _BLOCK)), n
             tasks = rows.rdd.getNumPartitions()
-        roots = len(trees.left) + np.arange(columns)
-        trees = Trees(np.concatenate([trees.roots, roots]), np.concatenate([trees.feature, np.zeros(columns, np.int32)]), np.concatenate([trees.cut, np.zeros(columns, np.int16)]),
-                      np.concatenate([trees.left, np.full(columns, -1, np.int64)]), np.concatenate([trees.value, np.zeros((columns, 1))]))
-        active, owner = roots, np.arange(columns)
-        for level in range(depth):
-            if not len(active):
-                break
-            active, owner, loss = _boost_level(
-                rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, base, unit, rate, penalty, least_weight, (by_tree, by_level, by_node), seed, tasks)
-            if level == 0:
-                losses.append(loss)
-    return Boosted(trees, columns, base, borders, depth, features, classes, losses)
+        level = _Round(_no_trees(columns, 1, np.int16), n * columns, columns, classes, width, bins, depth, base, unit, rate, penalty, least_weight, (by_tree, by_level, by_node), seed)
+        losses.append(level.grow(rows, done[written:], tasks))
+        done.append(level.trees)
+    return Boosted(_joined(done, columns), columns, base, borders, depth, features, classes, losses)
+
+
+def _joined(parts: Sequence[Trees], columns: int) -> Trees:
+    """Trees of all rounds as one, in order."""
+    if not parts:
+        return _no_trees(0, 1, np.int16)
+    at = np.cumsum([0, *(len(t.left) for t in parts)])
+    left = [np.where(t.left >= 0, t.left + a, -1) for t, a in zip(parts, at[:-1], strict=True)]
+    joined = lambda name: np.concatenate([getattr(t, name) for t in parts])
+    return Trees(np.concatenate([a + np.arange(columns) for a in at[:-1]]), joined("feature"), joined("cut"), np.concatenate(left), joined("value"))
 
 
 # Rows of a block: bins; label, or for a number the sum of its gaps to the first margin in whole units; how many rows; sum of the squared gaps; margins.
@@ -818,13 +843,18 @@ def _block(batch: pa.RecordBatch, i: int, columns: int, width: int) -> tuple[np.
     return x.reshape(-1, width), y, n, q, margins.reshape(-1, columns).copy()
 
 
-def _walked(trees: Trees, since: int, columns: int, depth: int, width: int):
+def _add_rounds(margins: np.ndarray, x: np.ndarray, rounds: Sequence[Trees], depth: int) -> None:
+    for trees in rounds:
+        for k in range(margins.shape[1]):
+            margins[:, k] += trees.value[trees.leaves(x, k, depth), 0]
+
+
+def _walked(rounds: Sequence[Trees], columns: int, depth: int, width: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y, n, q, margins = _block(batch, i, columns, width)
-                for t in range(since, len(trees.roots)):
-                    margins[:, t % columns] += trees.value[trees.leaves(x, t, depth), 0]
+                _add_rounds(margins, x, rounds, depth)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, n, q, margins)], ["x", "y", "n", "q", "margins"])
 
     return walk
@@ -838,37 +868,173 @@ def _whole_sums(cell: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return (np.bincount(cell, high.astype(float), size).astype(np.int64) << 26) + np.bincount(cell, low.astype(float), size).astype(np.int64)
 
 
-def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth, level, active, owner, base, unit, rate, penalty, least_weight, shares, seed, tasks):
-    """One level of the trees of round ``n``: splits, values of the new leaves, and the loss before the round."""
+@dataclass
+class _Round:
+    """Trees of one round, one for every margin, and what they are grown by; ``first`` is the number of the first of all rounds' trees."""
+
+    trees: Trees
+    first: int
+    columns: int
+    classes: int
+    width: int
+    bins: int
+    depth: int
+    base: np.ndarray
+    unit: float
+    rate: float
+    penalty: float
+    least_weight: float
+    shares: tuple[float, float, float]
+    seed: int
+
+    def grow(self, rows: DataFrame, since: Sequence[Trees], tasks: int) -> float:
+        """Grow the trees on ``rows``, whose margins lack the rounds ``since``; returns the loss before the round."""
+        active, owner = self.trees.roots.copy(), np.arange(self.columns)
+        drawn = [np.nonzero(drawn_columns(self.width, self.shares[:1], (self._tree_key(k),), self.seed))[0] for k in range(self.columns)]
+        boxes = None
+        if tasks * 16 * sum((self.bins + 1) ** len(d) for d in drawn) <= ANSWER_BYTES:
+            boxes = [_Box(d, np.zeros(len(d), np.int64), np.full(len(d), self.bins + 1)) for d in drawn]
+        loss, sums = math.nan, []
+        for level in range(self.depth):
+            won = _boost_level(rows, self, since, level, active, owner, tasks, boxes, sums)
+            if level == 0:
+                loss = sum(r["loss"] for r in won) / max(1, sum(r["seen"] for r in won))
+                # A tree that doesn't split is its root.
+                for r in won:
+                    self.trees.value[active[r["node"]], 0] = r["own"]
+            split = [r for r in won if r["feature"] >= 0]
+            if not split:
+                break
+            spots = np.array([r["node"] for r in split])
+            left = self.trees.grown(active[spots], np.array([r["feature"] for r in split], np.int32), np.array([r["bin"] for r in split], np.int16),
+                                    np.array([[r["left"]] for r in split]), np.array([[r["right"]] for r in split]))
+            if boxes is not None:
+                halves = [boxes[r["node"]].cut(r["feature"], r["bin"]) for r in split]
+                boxes = [half[side] for side in (0, 1) for half in halves]
+            active, owner = np.concatenate([left, left + 1]), np.concatenate([owner[spots], owner[spots]])
+        return loss
+
+    def _tree_key(self, k: int) -> int:
+        return (self.first + k) << 20
+
+    def best_cut(self, g: np.ndarray, h: np.ndarray, level: int, owner: int, node: int) -> dict:
+        """Cut and values of a node of the tree ``owner`` from its sums by feature and bin, whole numbers; those of a feature that can't be drawn may be 0."""
+        tree_key, level_key = self._tree_key(owner), self._tree_key(owner) + level + 1
+        free = drawn_columns(self.width, self.shares, (tree_key, level_key, level_key * 1024 + 64 + node), self.seed)
+        # A feature that may be cut has all sums. They are added as whole numbers.
+        own = int(np.argmax(free))
+        all_g, all_h = g[own].sum() / self.unit, h[own].sum() / float(1 << 30)
+        left_g, left_h = np.cumsum(g, axis=1)[:, :-1] / self.unit, np.cumsum(h, axis=1)[:, :-1] / float(1 << 30)
+        right_g, right_h = all_g - left_g, all_h - left_h
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left_g**2 / (left_h + self.penalty) + right_g**2 / (right_h + self.penalty) - all_g**2 / (all_h + self.penalty)
+        gain[~free] = -1.0
+        # Sums are rounded to 2 ** -30; sides below that are empty.
+        least = max(self.least_weight, 1e-9)
+        gain[(left_h < least) | (right_h < least) | ~np.isfinite(gain)] = -1.0
+        f, b = divmod(int(np.argmax(np.round(gain, 9))), self.bins)
+        good = gain[f, b] > 1e-9
+        leaf = [-self.rate * float(x) / (float(w) + self.penalty) for x, w in ((left_g[f, b], left_h[f, b]), (right_g[f, b], right_h[f, b]), (all_g, all_h))]
+        return {"feature": f if good else -1, "bin": b, "left": leaf[0], "right": leaf[1], "own": leaf[2]}
+
+
+@dataclass
+class _Box:
+    """Ranges of bins, one for every column drawn for a tree, that lead to a node."""
+
+    drawn: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def sums(self, g: np.ndarray, h: np.ndarray, width: int) -> list[np.ndarray]:
+        """Sums by feature and bin from those by all combinations of bins of the drawn columns."""
+        out = []
+        for v in (g, h):
+            part = v[tuple(slice(a, b) for a, b in zip(self.low, self.high, strict=True))]
+            held = np.zeros((width, v.shape[0]), np.int64)
+            for j, f in enumerate(self.drawn):
+                held[f, self.low[j] : self.high[j]] = part.sum(axis=tuple(i for i in range(len(self.drawn)) if i != j))
+            out.append(held)
+        return out
+
+    def cut(self, feature: int, border: int) -> tuple[_Box, _Box]:
+        high, low = self.high.copy(), self.low.copy()
+        high[self.drawn == feature] = low[self.drawn == feature] = border + 1
+        return _Box(self.drawn, self.low, high), _Box(self.drawn, low, self.high)
+
+
+def _derivatives(round_: _Round, batches: Iterator[pa.RecordBatch], since: Sequence[Trees]):
+    """Bins of every block, both derivatives as whole numbers, the loss before the round and the number of rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y, times, q, margins = _block(batch, i, round_.columns, round_.width)
+            _add_rounds(margins, x, since, round_.depth)
+            if round_.classes:
+                g, h = (np.rint(v * float(1 << 30)).astype(np.int64) * times[:, None] for v in gradients(margins, y, round_.classes))
+            else:
+                # Whole numbers before they are added, so that sums are the same however rows are put together.
+                g, h = np.rint((margins - round_.base) * round_.unit).astype(np.int64) * times[:, None] - y[:, None], times[:, None] << 30
+            yield x, g, h, lambda: _loss(margins, y, times, q, round_.classes, round_.base, round_.unit), int(times.sum())  # noqa: B023
+
+
+def _sum_boxes(round_: _Round, rows: DataFrame, since: Sequence[Trees], drawn: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+    """Sums of derivatives of every tree by the combinations of bins of its columns, and the loss before the round: one scan for all levels."""
+    size = round_.bins + 1
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((2, size ** len(d)), np.int64) for d in drawn]
+        loss, seen = 0.0, 0
+        for x, g, h, lost, n in _derivatives(round_, batches, since):
+            loss, seen = loss + lost(), seen + n
+            for k, d in enumerate(drawn):
+                cell = x[:, d].astype(np.int64) @ (size ** np.arange(len(d))[::-1])
+                for j, v in enumerate((g, h)):
+                    total[k][j] += _whole_sums(cell, v[:, k], total[k].shape[1])
+        first = np.arange(len(drawn)) == 0
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(len(drawn))), *(pa.array([t[j].tobytes() for t in total], pa.binary()) for j in (0, 1)), pa.array(np.where(first, loss, 0.0)), pa.array(np.where(first, seen, 0))],
+            ["tree", "g", "h", "loss", "seen"])
+
+    held = rows.mapInArrow(sums, "tree long, g binary, h binary, loss double, seen long").toArrow()
+    out = []
+    for k, d in enumerate(drawn):
+        own = held.filter(pc.equal(held.column("tree"), k))
+        g, h = (sum(np.frombuffer(b, np.int64) for b in own.column(c).to_pylist()).reshape((size,) * len(d)) for c in ("g", "h"))
+        out.append((g, h, math.fsum(own.column("loss").to_pylist()), sum(own.column("seen").to_pylist())))
+    return out
+
+
+def _boost_level(rows: DataFrame, round_: _Round, since: Sequence[Trees], level: int, active: np.ndarray, owner: np.ndarray, tasks: int, boxes: list[_Box] | None, held: list) -> list[dict]:
+    """Cuts of the nodes of one level by a scan of their sums by feature and bin, and at the root the loss before the round.
+
+    With ``boxes`` there is a scan at the root only: its sums stay in ``held``, and the nodes below read theirs from them.
+    """
+    trees, width, bin_count = round_.trees, round_.width, round_.bins + 1
+    if boxes is not None:
+        if level == 0:
+            held += _sum_boxes(round_, rows, since, [b.drawn for b in boxes])
+        won = []
+        for a, k in enumerate(owner.tolist()):
+            g, h, loss, seen = held[k]
+            won.append({"node": a, **round_.best_cut(*boxes[a].sums(g, h, width), level, k, int(active[a])), "loss": loss, "seen": seen})
+        return won
     slot = np.full(len(trees.left), -1, np.int64)
     slot[active] = np.arange(len(active))
-    current = n * columns
-    bin_count = bins + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(active) * width * bin_count), np.int64)
         loss, seen = 0.0, 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y, times, q, margins = _block(batch, i, columns, width)
-                for t in range(written * columns, current):
-                    margins[:, t % columns] += trees.value[trees.leaves(x, t, depth), 0]
-                if level == 0:
-                    loss += _loss(margins, y, times, q, classes, base, unit)
-                    seen += int(times.sum())
-                if classes:
-                    g, h = (np.rint(v * float(1 << 30)).astype(np.int64) * times[:, None] for v in gradients(margins, y, classes))
-                else:
-                    # Whole numbers before they are added, so that sums are the same however rows are put together.
-                    g, h = np.rint((margins - base) * unit).astype(np.int64) * times[:, None] - y[:, None], times[:, None] << 30
-                for k in range(columns):
-                    node = slot[trees.leaves(x, current + k, level)]
-                    good = np.nonzero(node >= 0)[0]
-                    if not len(good):
-                        continue
-                    cell = ((node[good, None] * width + np.arange(width)) * bin_count + x[good]).ravel()
-                    for j, v in enumerate((g, h)):
-                        total[j] += _whole_sums(cell, np.repeat(v[good, k], width), total.shape[1])
+        for x, g, h, lost, n in _derivatives(round_, batches, since):
+            if level == 0:
+                loss, seen = loss + lost(), seen + n
+            for k in range(round_.columns):
+                node = slot[trees.leaves(x, k, level)]
+                good = np.nonzero(node >= 0)[0]
+                if not len(good):
+                    continue
+                cell = ((node[good, None] * width + np.arange(width)) * bin_count + x[good]).ravel()
+                for j, v in enumerate((g, h)):
+                    total[j] += _whole_sums(cell, np.repeat(v[good, k], width), total.shape[1])
         size = width * bin_count
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(len(active))), *(pa.array([total[j, a * size : (a + 1) * size].tobytes() for a in range(len(active))], pa.binary()) for j in (0, 1)),
@@ -877,39 +1043,12 @@ def _boost_level(rows, trees, n, written, columns, classes, width, bins, depth,
     def choose(table: pa.Table) -> pa.Table:
         a = table.column("node")[0].as_py()
         g, h = (sum(np.frombuffer(b, np.int64).reshape(width, bin_count) for b in table.column(c).to_pylist()) for c in ("g", "h"))
-        g, h = g / unit, h / float(1 << 30)
-        left_g, left_h = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
-        all_g, all_h = g[0].sum(), h[0].sum()
-        right_g, right_h = all_g - left_g, all_h - left_h
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left_g**2 / (left_h + penalty) + right_g**2 / (right_h + penalty) - all_g**2 / (all_h + penalty)
-        path = int(active[a] - trees.roots[current])
-        tree_key, level_key = (current + int(owner[a])) << 20, ((current + int(owner[a])) << 20) + level + 1
-        free = drawn_columns(width, shares, (tree_key, level_key, level_key * 1024 + 64 + path), seed)
-        gain[~free] = -1.0
-        # Sums are rounded to 2 ** -30; sides below that are empty.
-        gain[(left_h < max(least_weight, 1e-9)) | (right_h < max(least_weight, 1e-9)) | ~np.isfinite(gain)] = -1.0
-        f, b = divmod(int(np.argmax(np.round(gain, 9))), bins)
-        good = gain[f, b] > 1e-9
-        leaf = [-rate * float(x) / (float(w) + penalty) for x, w in ((left_g[f, b], left_h[f, b]), (right_g[f, b], right_h[f, b]), (all_g, all_h))]
-        return pa.table({"node": [a], "feature": [f if good else -1], "bin": [b], "left": [leaf[0]], "right": [leaf[1]], "own": [leaf[2]],
-                         "loss": [math.fsum(table.column("loss").to_pylist())], "seen": [sum(table.column("seen").to_pylist())]})
+        best = round_.best_cut(g, h, level, int(owner[a]), int(active[a]))
+        return pa.table({"node": [a], **{k: [v] for k, v in best.items()}, "loss": [math.fsum(table.column("loss").to_pylist())], "seen": [sum(table.column("seen").to_pylist())]})
 
-    won = _added(
+    return _added(
         rows, sums, "node long, g binary, h binary, loss double, seen long", "node", choose,
         "node long, feature long, bin long, left double, right double, own double, loss double, seen long", tasks * 16 * len(active) * width * bin_count)
-    if level == 0:
-        # A tree that doesn't split is its root.
-        for r in won:
-            trees.value[active[r["node"]], 0] = r["own"]
-    split = [r for r in won if r["feature"] >= 0]
-    loss = sum(r["loss"] for r in won) / max(1, sum(r["seen"] for r in won)) if level == 0 else math.nan
-    if not split:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), loss
-    spots = np.array([r["node"] for r in split])
-    left = trees.grown(active[spots], np.array([r["feature"] for r in split], np.int32), np.array([r["bin"] for r in split], np.int16),
-                       np.array([[r["left"]] for r in split]), np.array([[r["right"]] for r in split]))
-    return np.concatenate([left, left + 1]), np.concatenate([owner[spots], owner[spots]]), loss
 
 
 def _loss(margins: np.ndarray, y: np.ndarray, times: np.ndarray, q: np.ndarray, classes: int, base: np.ndarray, unit: float) -> float:

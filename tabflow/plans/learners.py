@@ -173,7 +173,8 @@ def gradient_boost_reg(t: Tables) -> DataFrame:
     data = with_features(spread(scaled_sensors(t)), ["s1", "s3", "s4"]).withColumn("load", F.col("s1") * F.col("s3"))
     keys = rows.split_random(data.select("row_key").distinct(), "row_key", TEST_SHARE)
     data = cut_lineage(data.join(keys, "row_key"))
-    scored = models.gradient_boost_reg(data.filter("is_test = 0"), "load", BOOST_ROUNDS, 0.3, 1.0, 5).transform(data.filter("is_test = 1"))
+    # All of the operator's defaults: 2000 rounds at rate 0.01, half of the columns for a tree, of these for a level, of these for a node.
+    scored = models.gradient_boost_reg(data.filter("is_test = 0"), "load").transform(data.filter("is_test = 1"))
     gap = F.col("load") - F.col("prediction")
     return scored.agg(F.count(F.lit(1)).alias("n_rows"), (F.avg(gap * gap) < F.var_pop("load") / 2).alias("beats_mean"))
 

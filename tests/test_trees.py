@@ -312,3 +312,45 @@ def test_boosting_scans_sums_of_equal_bins(spark, monkeypatch, classes):
 def test_whole_sums_are_exact():
     cell, values = np.array([0, 1, 0, 1]), np.array([(1 << 58) + 1, -(1 << 58) - 3, 2, 1])
     assert T._whole_sums(cell, values, 3).tolist() == [(1 << 58) + 3, -(1 << 58) - 2, 0]
+
+
+def test_boosting_sums_drawn_columns_once_a_round(spark, monkeypatch):
+    """Trees of few drawn columns take one scan for all levels and are those of a scan a level."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 4)).round(1)
+    for classes, y in ((0, x[:, 0] * x[:, 1]), (3, (x[:, 0] > 0) + (x[:, 1] > x[:, 2]) * 1.0)):
+        df = table(spark, x, y, 3)
+        kw = {"by_tree": 0.5, "by_level": 0.5, "by_node": 0.5, "bins": 12}
+        scans = []
+        with monkeypatch.context() as m:
+            m.setattr(T, "_sum_boxes", lambda *a, own=T._sum_boxes: scans.append(1) or own(*a))
+            once = T.boost(df, "y", classes, 9, 0.3, 4, **kw)
+        assert len(scans) == 9
+        with monkeypatch.context() as m:
+            m.setattr(T, "ANSWER_BYTES", 0)
+            m.setattr(T, "MOST_CELLS", 0)
+            every = T.boost(df, "y", classes, 9, 0.3, 4, write_rounds=4, **kw)
+            want = every.transform(df).select("id", "prediction").collect()
+        for name in ("roots", "feature", "cut", "left", "value"):
+            assert np.array_equal(getattr(once.trees, name), getattr(every.trees, name))
+        assert np.allclose(once.losses, every.losses) and len(once.trees.roots) == 9 * max(1, classes)
+        assert sorted(map(tuple, once.transform(df).select("id", "prediction").collect())) == sorted(map(tuple, want))
+
+
+
+
+def test_boosted_query_keeps_the_operators_defaults(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tabflow.operators import models
+    from tabflow.plans import learners
+
+    def boost(df, label, classes, rounds, rate, depth, penalty, least_weight, *shares, **kw):
+        assert (rounds, rate, depth, penalty, shares) == (2000, 0.01, 6, 0.01, (0.5, 0.5, 0.5))
+        raise StopIteration
+
+    monkeypatch.setattr(models.forests, "boost", boost)
+    rows = [(i, float(i % 50), 1.0, i % 11 / 100, i % 9 / 100, 0) for i in range(60)]
+    sensors = spark.createDataFrame(rows, "row_key long, s1 double, s2 double, s3 double, s4 double, att_flag int")
+    with pytest.raises(StopIteration):
+        learners.gradient_boost_reg(SimpleNamespace(sensor_row=sensors, spark=spark))
