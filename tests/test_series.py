@@ -206,3 +206,48 @@ def test_neighbors_hold_few_numbers_at_once(spark, monkeypatch):
     want = brute_neighbors(x, range(len(x)), 5, "euclidean", True)
     assert found.groupby("query_id")["neighbor_id"].apply(list).to_dict() == want
     assert max(s.stop - s.start for s in neighbors._slices(5000, 64)) * 64 <= 2000
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_neighbors_by_blocks(spark, monkeypatch, metric):
+    """Vectors that cells don't tell apart are not copied: blocks of queries pass units of rows, and only the last pass stays on disk."""
+    from tabflow import session
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    x[850:] = x[:50]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    want = brute_neighbors(x, range(0, 900, 2), 7, metric, True)
+    monkeypatch.setattr(neighbors, "UNIT_BYTES", 40_000)
+    monkeypatch.setattr(neighbors, "PACK_BYTES", 8_000)
+    monkeypatch.setattr(neighbors, "MOST_COPIES", 1)
+    chosen = []
+    monkeypatch.setattr(neighbors, "knn_by_blocks", lambda *a, own=neighbors.knn_by_blocks: chosen.append(1) or own(*a))
+    session.release(spark)
+    found = {}
+    for r in sorted(neighbors.knn(df, df.filter("id % 2 = 0"), "id", "v", 7, metric, True, sent_rows=10).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.neighbor_id)
+    assert found == want and chosen == [1]
+    assert session.release(spark) == 1
+
+
+def test_neighbors_by_blocks_of_odd_rows(spark):
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 2.0]), (None, [0.0, 3.0]), (4, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = neighbors.knn_by_blocks(df, df.filter("id = 4 or id is null"), "id", "v", 3, exclude_self=True).collect()
+    want = {None: [(1, 1.0), (1, 2.0), (None, 0.0)], 4: [(None, 29**0.5), (1, 34**0.5), (1, 41**0.5)]}
+    for k, near in want.items():
+        assert sorted(((r.neighbor_id, round(r.distance, 9)) for r in got if r.query_id == k), key=str) == sorted(((i, round(d, 9)) for i, d in near), key=str)
+    assert neighbors.knn_by_blocks(df.limit(0), df, "id", "v", 3).count() == 0
+    assert neighbors.knn_by_blocks(df, df, "id", "v", 50).count() == 16
+
+
+def test_steps_of_a_fold_are_deleted(spark):
+    from tabflow import session
+    from tabflow.operators import tune
+
+    session.release(spark)
+    df = spark.range(30).selectExpr("id", "cast(id % 3 as int) as fold")
+    table = tune.fold_sweep(df, "fold", 3, [{"a": 1}, {"a": 2}], lambda train, test, c: session.cut_lineage(train).count() / c["a"])
+    assert [r.fold0 for r in table.orderBy("config_id").collect()] == [20.0, 10.0]
+    assert session.release(spark) == 1
