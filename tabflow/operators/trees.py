@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import RDD
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,8 @@ ANSWER_BYTES = 8 << 20
 MOST_CELLS = 1 << 20
 # Rounds of boosting whose trees are walked again before margins are written; more where the rows are sums of cells.
 WRITE_ROUNDS, CELL_WRITE_ROUNDS = 10, 40
+# Cells that a task of a scan of them should get.
+TASK_CELLS = 4096
 _F32 = float(np.finfo(np.float32).max)
 
 
@@ -759,6 +762,7 @@ def boost(
     write_rounds = write_rounds or (CELL_WRITE_ROUNDS if few else WRITE_ROUNDS)
     rows = cut_lineage(_summed_cells(raw, borders, base, unit, classes) if few else _binned_rows(raw, borders, base, unit, classes))
     tasks = rows.rdd.getNumPartitions()
+    kept = _kept(rows) if few else None
     done: list[Trees] = []
     losses: list[float] = []
     written = 0
@@ -766,12 +770,31 @@ def boost(
         if n - written == write_rounds:
             rows, written = cut_lineage(rows.mapInArrow(_walked(done[written:], columns, depth, width), _BLOCK)), n
             tasks = rows.rdd.getNumPartitions()
+            if kept is not None:
+                kept.unpersist()
+                kept = _kept(rows)
         level = _Round(_no_trees(columns, 1, np.int16), n * columns, columns, classes, width, bins, depth, base, unit, rate, penalty, least_weight, (by_tree, by_level, by_node), seed)
-        losses.append(level.grow(rows, done[written:], tasks))
+        losses.append(level.grow(rows, kept, done[written:], tasks))
         done.append(level.trees)
+    if kept is not None:
+        kept.unpersist()
     return Boosted(_joined(done, columns), columns, base, borders, depth, features, classes, losses)
 
 
+def _kept(rows: DataFrame) -> RDD:
+    """Sums of cells, few as they are, in the memory of a few tasks, since every round reads them."""
+    cells = rows.agg(F.coalesce(F.sum(F.octet_length("n")), F.lit(0))).first()[0] // 8
+    held = rows.rdd.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-cells // TASK_CELLS))))
+    names = rows.columns
+
+    def batch(part: Iterator) -> Iterator[pa.RecordBatch]:
+        values = list(part)
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in values], pa.binary()) for c in names], names)
+
+    return held.mapPartitions(batch).persist()
+
+
 def _joined(parts: Sequence[Trees], columns: int) -> Trees:
     """Trees of all rounds as one, in order."""
     if not parts:
@@ -887,8 +910,8 @@ class _Round:
     shares: tuple[float, float, float]
     seed: int
 
-    def grow(self, rows: DataFrame, since: Sequence[Trees], tasks: int) -> float:
-        """Grow the trees on ``rows``, whose margins lack the rounds ``since``; returns the loss before the round."""
+    def grow(self, rows: DataFrame, kept: RDD | None, since: Sequence[Trees], tasks: int) -> float:
+        """Grow the trees on ``rows``, whose margins lack the rounds ``since``; returns the loss before the round. ``kept`` are the same rows in memory."""
         active, owner = self.trees.roots.copy(), np.arange(self.columns)
         drawn = [np.nonzero(drawn_columns(self.width, self.shares[:1], (self._tree_key(k),), self.seed))[0] for k in range(self.columns)]
         boxes = None
@@ -896,7 +919,7 @@ class _Round:
             boxes = [_Box(d, np.zeros(len(d), np.int64), np.full(len(d), self.bins + 1)) for d in drawn]
         loss, sums = math.nan, []
         for level in range(self.depth):
-            won = _boost_level(rows, self, since, level, active, owner, tasks, boxes, sums)
+            won = _boost_level(rows, kept, self, since, level, active, owner, tasks, boxes, sums)
             if level == 0:
                 loss = sum(r["loss"] for r in won) / max(1, sum(r["seen"] for r in won))
                 # A tree that doesn't split is its root.
@@ -977,7 +1000,7 @@ def _derivatives(round_: _Round, batches: Iterator[pa.RecordBatch], since: Seque
             yield x, g, h, lambda: _loss(margins, y, times, q, round_.classes, round_.base, round_.unit), int(times.sum())  # noqa: B023
 
 
-def _sum_boxes(round_: _Round, rows: DataFrame, since: Sequence[Trees], drawn: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+def _sum_boxes(round_: _Round, rows: DataFrame, kept: RDD | None, since: Sequence[Trees], drawn: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
     """Sums of derivatives of every tree by the combinations of bins of its columns, and the loss before the round: one scan for all levels."""
     size = round_.bins + 1
 
@@ -995,7 +1018,10 @@ def _sum_boxes(round_: _Round, rows: DataFrame, since: Sequence[Trees], drawn: S
             pa.array(np.arange(len(drawn))), *(pa.array([t[j].tobytes() for t in total], pa.binary()) for j in (0, 1)), pa.array(np.where(first, loss, 0.0)), pa.array(np.where(first, seen, 0))],
             ["tree", "g", "h", "loss", "seen"])
 
-    held = rows.mapInArrow(sums, "tree long, g binary, h binary, loss double, seen long").toArrow()
+    if kept is None:
+        held = rows.mapInArrow(sums, "tree long, g binary, h binary, loss double, seen long").toArrow()
+    else:
+        held = pa.Table.from_batches(kept.mapPartitions(sums).collect())
     out = []
     for k, d in enumerate(drawn):
         own = held.filter(pc.equal(held.column("tree"), k))
@@ -1004,7 +1030,7 @@ def _sum_boxes(round_: _Round, rows: DataFrame, since: Sequence[Trees], drawn: S
     return out
 
 
-def _boost_level(rows: DataFrame, round_: _Round, since: Sequence[Trees], level: int, active: np.ndarray, owner: np.ndarray, tasks: int, boxes: list[_Box] | None, held: list) -> list[dict]:
+def _boost_level(rows: DataFrame, kept: RDD | None, round_: _Round, since: Sequence[Trees], level: int, active: np.ndarray, owner: np.ndarray, tasks: int, boxes: list[_Box] | None, held: list) -> list[dict]:
     """Cuts of the nodes of one level by a scan of their sums by feature and bin, and at the root the loss before the round.
 
     With ``boxes`` there is a scan at the root only: its sums stay in ``held``, and the nodes below read theirs from them.
@@ -1012,7 +1038,7 @@ def _boost_level(rows: DataFrame, round_: _Round, since: Sequence[Trees], level:
     trees, width, bin_count = round_.trees, round_.width, round_.bins + 1
     if boxes is not None:
         if level == 0:
-            held += _sum_boxes(round_, rows, since, [b.drawn for b in boxes])
+            held += _sum_boxes(round_, rows, kept, since, [b.drawn for b in boxes])
         won = []
         for a, k in enumerate(owner.tolist()):
             g, h, loss, seen = held[k]
