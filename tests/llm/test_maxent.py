@@ -109,3 +109,26 @@ def test_end_is_frequent_however_rare(spark):
     assert M.END in v.heads and len(v.heads) == sum(M.CLASSES)
     # Words beyond the classes keep their counts.
     assert v.rest_total.sum() == 4002 - 10 * (len(v.heads) - 1) - 2 and v.rest_distinct.sum() == 401 - len(v.heads)
+
+
+def test_rare_words_follow_their_context(spark):
+    """A word beyond the classes is likelier after the word that it always follows, at the same count, and all of them still add up to 1."""
+    text = [f"a{i % 200} b{i % 200}" for i in range(40_000)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").withColumn("learn", F.lit(True)).coalesce(1)
+    rows = docs.select("text", F.lit(0).cast("long").alias("block"), "learn")
+    v = M.vocabulary(M._counts(rows, 1, 2))
+    assert v.depth == 2 and v.cell_total.sum() == v.rest_total.sum() and v.cell_distinct.sum() == v.rest_distinct.sum()
+    w = M.train(rows, v)
+    rare = [i for i in range(200) if not np.isin(M.W.word_hashes(pa.array([f"b{i}"])), v.heads)[0]]
+    assert len(rare) > 30
+
+    def score(i, j):
+        t = M.tokens(pa.array([f"a{i} b{j}"], pa.large_string()))
+        return M.token_scores(w, v, t, np.full(len(t.hashes), 200))[1]
+
+    gain = [score(i, i) - score(j, i) for i, j in zip(rare[:-1], rare[1:], strict=True)]
+    assert np.mean(gain) > 0.2 and np.mean(np.array(gain) > 0) > 0.8
+
+
+def test_levels_grow_with_the_texts():
+    assert [M.levels(n) for n in (0, 1 << 20, 1 << 24, 1 << 28, 1 << 35)] == [1, 1, 2, 3, 5]
